@@ -70,7 +70,7 @@ def length_profile(lengths: DataFrame, by: list[str] | None = None) -> DataFrame
         F.min("len").alias("min_len"),
         F.round(F.sum(F.col("len") * F.col("n")) / F.sum("n"), 4).alias("mean_len"),
         *[
-            F.round(F.percentile("len", F.lit(p), "n"), 4).alias(name)
+            F.round(F.percentile("len", F.lit(p), F.col("n")), 4).alias(name)
             for p, name in zip(PERCENTILES, ["median_len", "p90", "p95", "p99"])
         ],
         F.max("len").alias("max_len"),

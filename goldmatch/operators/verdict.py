@@ -57,12 +57,17 @@ def executed_pairs(executions: DataFrame) -> DataFrame:
     )
 
 
-def sample_verdict(items: DataFrame, pairs: DataFrame, differing: DataFrame) -> DataFrame:
-    """items ⨝ executed pairs ⨝ differing results: is_correct and error_message.
+def joined_pairs(items: DataFrame, pairs: DataFrame, differing: DataFrame) -> DataFrame:
+    """items ⨝ executed pairs ⨝ differing results. All three have one line per
+    item, so the joins cannot skew."""
+    return items.join(pairs, "item_id").join(differing, "item_id", "left")
+
+
+def judge(joined: DataFrame) -> DataFrame:
+    """is_correct and error_message of joined pairs.
 
     A failed prediction comes before a failed gold statement, which comes before
-    a mismatch. Only two successful executions can be correct. All three inputs
-    have one line per item, so the joins cannot skew.
+    a mismatch. Only two successful executions can be correct.
     """
     same = (
         F.when(F.col("same_bag").isNull(), F.lit(True))
@@ -71,7 +76,6 @@ def sample_verdict(items: DataFrame, pairs: DataFrame, differing: DataFrame) ->
     )
     pred_ok = F.col("pred_status") == S.SUCCESS
     gold_ok = F.col("gold_status") == S.SUCCESS
-    joined = items.join(pairs, "item_id").join(differing, "item_id", "left")
     return (
         joined.withColumn("is_correct", pred_ok & gold_ok & same)
         .withColumn(
@@ -84,23 +88,21 @@ def sample_verdict(items: DataFrame, pairs: DataFrame, differing: DataFrame) ->
     )
 
 
+def sample_verdict(items: DataFrame, pairs: DataFrame, differing: DataFrame) -> DataFrame:
+    return judge(joined_pairs(items, pairs, differing))
+
+
+def finished(joined: DataFrame) -> DataFrame:
+    """Joined pairs to the twelve fields of a sample result."""
+    tagged = with_sql_tags(judge(joined)).withColumn(
+        "predicted_sql", sqltext.extract_sql(F.col("raw_output"))
+    )
+    return tagged.select(*SAMPLE_FIELDS)
+
+
 def sample_results(items: DataFrame, pairs: DataFrame, differing: DataFrame) -> DataFrame:
     """The fact table of all reports: twelve fields per item."""
-    judged = with_sql_tags(sample_verdict(items, pairs, differing))
-    return judged.select(
-        "item_id",
-        "db_id",
-        "question",
-        "gold_sql",
-        sqltext.extract_sql(F.col("raw_output")).alias("predicted_sql"),
-        "difficulty",
-        "query_type",
-        "is_correct",
-        "gold_status",
-        "pred_status",
-        "error_message",
-        "execution_time_ms",
-    )
+    return finished(joined_pairs(items, pairs, differing))
 
 
 def remaining_items(items: DataFrame, done: DataFrame) -> DataFrame:
