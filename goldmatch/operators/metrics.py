@@ -125,30 +125,24 @@ def fixed_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "key string, position int")
 
 
-def _table(cells: DataFrame, key: str, keys: list[str]) -> DataFrame:
-    found = group_of(cells, key).withColumnRenamed(key, "key")
-    lines = fixed_keys(cells, keys).join(found, "key", "left")
+def _table(samples: DataFrame, dimension: str, keys: list[str]) -> DataFrame:
+    """Fixed lines left-joined to the long form, which is computed once."""
+    found = long_of(metric_cells(samples)).where(F.col("dimension").isin(dimension, "overall"))
+    lines = fixed_keys(samples, keys).join(found, "key", "left")
     return lines.select(
         "position",
-        label(F.col("key")).alias("label"),
+        F.when(F.col("key") == "all", F.lit("OVERALL")).otherwise(label(F.col("key"))).alias("label"),
         F.coalesce("total", F.lit(0)).alias("total"),
         F.coalesce("correct", F.lit(0)).alias("correct"),
         percent(F.coalesce("accuracy", F.lit(0.0))).alias("accuracy"),
-    )
+    ).orderBy("position")
 
 
 def tier_table(samples: DataFrame) -> DataFrame:
     """Tiers in fixed order, absent ones as zeros, then OVERALL."""
-    cells = metric_cells(samples)
-    last = overall_of(cells).select(
-        F.lit(len(TIERS)).alias("position"),
-        F.lit("OVERALL").alias("label"),
-        F.col("total_queries").alias("total"),
-        F.col("correct_queries").alias("correct"),
-        percent(F.col("execution_accuracy")).alias("accuracy"),
-    )
-    return _table(cells, "difficulty", TIERS).unionByName(last).orderBy("position")
+    return _table(samples, "difficulty", [*TIERS, "all"])
 
 
 def type_table(samples: DataFrame) -> DataFrame:
-    return _table(metric_cells(samples), "query_type", QUERY_TYPES).orderBy("position")
+    """Query types in fixed order, absent ones as zeros."""
+    return _table(samples, "query_type", QUERY_TYPES)

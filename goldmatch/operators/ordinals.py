@@ -52,6 +52,7 @@ def spread_positions(
         (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
         F.sum("_n").over(in_group).alias("_size"),
     )
+    blocks = written(blocks, "blocks")
     joined = placed.join(blocks, _same_key(placed, blocks, [*group, "_part"]))
     out = [placed[c] for c in df.columns] + [(F.col("_at") + F.col("_shift")).alias(name)]
     if size:

@@ -26,7 +26,10 @@ SAMPLE_FIELDS = [
 
 
 def exists_guard(items: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Status of items whose database is not in the inventory; null status = go on."""
+    """Status of items whose database is not in the inventory; null status = go on.
+
+    Pass the inventory as a stored table: its size then decides about a broadcast.
+    """
     known = inventory.select("db_id").distinct().withColumn("_known", F.lit(True))
     missing = F.col("_known").isNull()
     return items.join(known, "db_id", "left").select(
@@ -58,9 +61,19 @@ def executed_pairs(executions: DataFrame) -> DataFrame:
 
 
 def joined_pairs(items: DataFrame, pairs: DataFrame, differing: DataFrame) -> DataFrame:
-    """items ⨝ executed pairs ⨝ differing results. All three have one line per
-    item, so the joins cannot skew."""
-    return items.join(pairs, "item_id").join(differing, "item_id", "left")
+    """items ⨝ executed pairs ⨝ differing results.
+
+    All three have one line per item, so the joins cannot skew. What is read from
+    the texts is computed first: a report that needs only tags then moves tags
+    through the joins, and the texts are pruned from the scan's output.
+    """
+    read = with_sql_tags(items).withColumns(
+        {
+            "_ordered": sqltext.order_sensitive(F.col("gold_sql")),
+            "predicted_sql": sqltext.extract_sql(F.col("raw_output")),
+        }
+    )
+    return read.join(pairs, "item_id").join(differing, "item_id", "left")
 
 
 def judge(joined: DataFrame) -> DataFrame:
@@ -71,7 +84,7 @@ def judge(joined: DataFrame) -> DataFrame:
     """
     same = (
         F.when(F.col("same_bag").isNull(), F.lit(True))
-        .when(sqltext.order_sensitive(F.col("gold_sql")), F.lit(False))
+        .when(F.col("_ordered"), F.lit(False))
         .otherwise(F.col("same_bag"))
     )
     pred_ok = F.col("pred_status") == S.SUCCESS
@@ -84,7 +97,7 @@ def judge(joined: DataFrame) -> DataFrame:
             .when(~gold_ok, F.concat(F.lit(S.GOLD_SQL_ERROR + ": "), F.col("gold_message")))
             .when(~F.col("is_correct"), F.lit(S.RESULT_SET_MISMATCH)),
         )
-        .drop("same_bag", "gold_message", "pred_message")
+        .drop("same_bag", "_ordered", "gold_message", "pred_message")
     )
 
 
@@ -94,10 +107,7 @@ def sample_verdict(items: DataFrame, pairs: DataFrame, differing: DataFrame) ->
 
 def finished(joined: DataFrame) -> DataFrame:
     """Joined pairs to the twelve fields of a sample result."""
-    tagged = with_sql_tags(judge(joined)).withColumn(
-        "predicted_sql", sqltext.extract_sql(F.col("raw_output"))
-    )
-    return tagged.select(*SAMPLE_FIELDS)
+    return judge(joined).select(*SAMPLE_FIELDS)
 
 
 def sample_results(items: DataFrame, pairs: DataFrame, differing: DataFrame) -> DataFrame:

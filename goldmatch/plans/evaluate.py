@@ -10,9 +10,10 @@ from __future__ import annotations
 import re
 import threading
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from itertools import islice
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,7 +24,7 @@ from goldmatch.functions.cells import canonical_frame
 from goldmatch.functions.sqltext import extract_sql
 from goldmatch.operators.compare import differing_items
 from goldmatch.operators.verdict import executed_pairs, sample_results
-from goldmatch.session import scratch_path
+from goldmatch.session import scratch_path, written
 
 # Table name -> reader; a view belongs to a session, so tables are read per session.
 Database = dict[str, Callable[[SparkSession], DataFrame]]
@@ -39,6 +40,7 @@ DIALECT = {
 ROWS_SCHEMA = "at long, cells array<string>, item_id long, side string"
 LOG_SCHEMA = "item_id long, side string, status string, error_message string, execution_time_ms double"
 _CANCEL_EVERY = 0.5
+CHUNK = 1000
 
 
 @dataclass
@@ -62,7 +64,7 @@ class Runner:
     timeout_seconds: float = TIMEOUT_SECONDS
     max_rows: int | None = None
     by_name: bool = False
-    threads: int = 4
+    threads: int = 8
     _sessions: dict[str, SparkSession] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -75,16 +77,25 @@ class Runner:
                 read(session).createOrReplaceTempView(name)
             self._sessions[db_id] = session
 
-    def run(self, statements: list[Statement]) -> tuple[DataFrame, DataFrame]:
-        """(execution log, result rows with dense row_no)."""
+    def run(self, statements: Iterable[Statement]) -> tuple[DataFrame, DataFrame]:
+        """(execution log, result rows with dense row_no).
+
+        Statements are taken in chunks and their log lines stored, so the driver
+        holds one chunk at a time.
+        """
+        log_path, any_rows = scratch_path(self.spark, "execution-log"), False
+        statements = iter(statements)
         with ThreadPoolExecutor(self.threads) as pool:
-            log = list(pool.map(self.execute, statements))
-        log_df = self.spark.createDataFrame(log, LOG_SCHEMA)
-        if not any(line[2] == S.SUCCESS for line in log):
-            rows = self.spark.createDataFrame([], ROWS_SCHEMA)
-        else:
+            while chunk := list(islice(statements, CHUNK)):
+                log = list(pool.map(self.execute, chunk))
+                any_rows = any_rows or any(line[2] == S.SUCCESS for line in log)
+                stored = self.spark.createDataFrame(log, LOG_SCHEMA).coalesce(1)
+                stored.write.mode("append").parquet(log_path)
+        if any_rows:
             rows = self.spark.read.schema(ROWS_SCHEMA).parquet(self.rows_path)
-        return log_df, self._numbered(rows)
+        else:
+            rows = self.spark.createDataFrame([], ROWS_SCHEMA)
+        return self.spark.read.schema(LOG_SCHEMA).parquet(log_path), self._numbered(rows)
 
     def execute(self, s: Statement) -> tuple:
         """Run one statement; returns its log line."""
@@ -113,7 +124,8 @@ class Runner:
     @staticmethod
     def _numbered(rows: DataFrame) -> DataFrame:
         """``at`` (task, place in task) to a dense position: the place plus the rows of
-        earlier tasks. The table of task sizes has a line per result file."""
+        earlier tasks. The table of task sizes has a line per result file; stored, it
+        is broadcast."""
         placed = rows.withColumn("_part", F.shiftrightunsigned("at", 33))
         earlier = (
             Window.partitionBy("item_id", "side").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -124,6 +136,7 @@ class Runner:
             .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
             .drop("_n")
         )
+        sizes = written(sizes, "result-sizes")
         place = F.col("at") - F.shiftleft("_part", 33)
         return placed.join(sizes, ["item_id", "side", "_part"]).select(
             "item_id", "side", (place + F.col("_before")).alias("row_no"), "cells"
@@ -206,17 +219,17 @@ def evaluate(
 ) -> tuple[DataFrame, DataFrame]:
     """(sample results, execution log) of items with ``gold_sql`` and ``raw_output``.
 
-    Each item costs two driver-submitted statements, so the statements are fetched
-    to the driver; their results are not.
+    Each item costs two driver-submitted statements, so their texts pass the driver,
+    a chunk at a time; their results do not.
     """
     spark = items.sparkSession
     if limit:
         items = items.orderBy("item_id").limit(limit)
     texts = items.select("item_id", "db_id", "gold_sql", extract_sql(F.col("raw_output")).alias("pred"))
-    statements = [
+    statements = (
         Statement(r["item_id"], side, r["db_id"], r[column])
         for r in texts.toLocalIterator()
         for side, column in (("gold", "gold_sql"), ("pred", "pred"))
-    ]
+    )
     log, rows = Runner(spark, databases, **options).run(statements)
     return sample_results(items, executed_pairs(log), differing_items(rows)), log

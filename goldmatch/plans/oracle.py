@@ -511,7 +511,7 @@ def oracle_sql() -> dict[str, str]:
         "missing_required": "SELECT DISTINCT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 40)",
         "write_samples_jsonl": ctes(**it, sp=split_of("(SELECT * FROM it)", "db_id")) + "SELECT split, count(*) AS n_lines, CAST(count_if(difficulty IS NULL) AS BIGINT) AS n_null_difficulty FROM sp GROUP BY split",
         "write_report_json": ctes(**a) + "SELECT * FROM samples_a",
-        "read_metrics_json": ctes(**a, m=long_of(), e=errors_of()) + "SELECT dimension, key, total, correct, accuracy FROM m UNION ALL SELECT 'error', category, n, NULL, NULL FROM e",
+        "read_metrics_json": ctes(**a, m=long_of(), e=errors_of()) + "SELECT dimension, key, total, correct, accuracy FROM m UNION ALL SELECT 'error', category, n, 0, 0 FROM e",
         "drop_internal_tables": f"SELECT db_id, table_name, cid, name FROM ({COLUMNS}) AS c WHERE table_name NOT IN ({_INTERNAL})",
         "normalize_types": f"SELECT db_id, table_name, cid, name, data_type, not_null, is_primary_key FROM ({CLEAN_COLUMNS}) AS c",
         "normalize_fks": f"SELECT db_id, table_name, fk_no, from_column, to_table, to_column FROM ({CLEAN_FKS}) AS f",

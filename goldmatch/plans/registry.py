@@ -122,9 +122,10 @@ def read_metrics_json(t):
     reports.write_metrics_json(W.samples(t), path)
     stored = reports.read_metrics_json(_spark(t), path)
     errors = reports.errors_stored(stored).select(
-        F.lit("error").alias("dimension"), F.col("category").alias("key"), F.col("n").alias("total")
+        F.lit("error").alias("dimension"), F.col("category").alias("key"), F.col("n").alias("total"),
+        F.lit(0).cast("long").alias("correct"), F.lit(0.0).alias("accuracy"),
     )
-    return reports.metrics_of(stored).unionByName(errors, allowMissingColumns=True)
+    return reports.metrics_of(stored).unionByName(errors)
 
 
 # --- projections and filters -------------------------------------------------
@@ -167,7 +168,7 @@ def difficulty_or_estimate(t):
 
 @query
 def exists_guard(t):
-    return verdict.exists_guard(W.items(t), W.inventory(t)).select(
+    return verdict.exists_guard(W.items(t), written(W.inventory(t), "inventory")).select(
         "item_id", "db_id", "guard_status", "guard_message", "guard_time_ms"
     )
 

@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from goldmatch.session import written
+
 RECORD = "array<struct<db_id:string,question:string,query:string,difficulty:string>>"
 
 
@@ -28,7 +30,7 @@ def load_items(spark: SparkSession, paths: list[str], db_root: str) -> DataFrame
 
     A JSON array is one unit of work, so a large split should be stored as many
     files in a folder. The first id of a file is the number of records in earlier
-    files; that table has one line per file.
+    files; that table has one line per file and is stored, so it is broadcast.
     """
     files = _split_files(spark, paths)
     by_file = Window.orderBy("source_no", "file").rowsBetween(Window.unboundedPreceding, -1)
@@ -37,6 +39,7 @@ def load_items(spark: SparkSession, paths: list[str], db_root: str) -> DataFrame
         .withColumn("_start", F.coalesce(F.sum("_n").over(by_file), F.lit(0)))
         .drop("_n")
     )
+    starts = written(starts, "file-starts")
     records = files.select(
         "source_no",
         "file",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from goldmatch.operators.metrics import errors_of, group_of, metric_cells, overall_of
 from goldmatch.operators.verdict import SAMPLE_FIELDS
+from goldmatch.session import written
 
 _GROUP = "struct<total:long,correct:long,accuracy:double>"
 METRICS_SCHEMA = (
@@ -24,7 +25,7 @@ SAMPLE_SCHEMA = (
 
 def summary(samples: DataFrame) -> DataFrame:
     """One line with the eight fields of the stored metrics."""
-    cells = metric_cells(samples)
+    cells = written(metric_cells(samples), "cells")
 
     def packed(df: DataFrame, key: str, name: str) -> DataFrame:
         value = F.struct("total", "correct", "accuracy") if key != "category" else F.col("n")
