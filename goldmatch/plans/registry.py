@@ -567,22 +567,21 @@ def incremental_eval_(t):
 _QUERIES["incremental_eval"] = _QUERIES.pop("incremental_eval_")
 
 
-def echo_generator():
-    """Test double of a model: answers with the question of the prompt, in a fence."""
-
-    def answer(prompt: str) -> str:
-        asked = prompt.rsplit("### Question:\n", 1)[1].split("\n", 1)[0]
-        return f"```sql\nSELECT '{asked}';\n```"
+@query
+def with_predictions(t):
+    """The generator is a double that answers with the prompt's question, in a fence."""
 
-    return answer
+    def make_generator():
+        def answer(prompt: str) -> str:
+            asked = prompt.rsplit("### Question:\n", 1)[1].split("\n", 1)[0]
+            return f"```sql\nSELECT '{asked}';\n```"
 
+        return answer
 
-@query
-def with_predictions(t):
     prompts = _with_ddl(t).select(
         "item_id", P.chatml_prompt(P.chat_messages(F.col("schema_ddl"), F.col("question"))).alias("prompt")
     )
-    answered = predict.with_predictions(prompts, echo_generator)
+    answered = predict.with_predictions(prompts, make_generator)
     return answered.select(
         "item_id", "raw_output", sqltext.extract_sql(F.col("raw_output")).alias("predicted_sql")
     )
@@ -590,7 +589,7 @@ def with_predictions(t):
 
 @query
 def length_udf(t):
-    measure = lengths.python_measure(lengths.ascii_token_length)
+    measure = lengths.python_token_count()
     docs = spread(t("documents").select("doc_id", "text"))
     return docs.select("doc_id", measure(F.col("text")).cast("long").alias("n_tokens"))
 
