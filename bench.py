@@ -22,6 +22,9 @@ HEADLINE = [
     "q_correlated", "q_and_or_predicates",
 ]
 
+# run once, untimed, on the smallest tables, so that class loading is not timed
+WARM_UP = ["metrics_long", "q_join_having", "sft_samples", "render_tool_calls", "length_udf"]
+
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -33,6 +36,9 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("OFF")
     registered, times = queries(), {}
+    small = f"{sf_dir.rstrip('/').rsplit('sf', 1)[0]}sf0.001"
+    for name in WARM_UP if os.path.isdir(small) else []:
+        registered[name](spark, small).write.format("noop").mode("overwrite").save()
     for name in sys.argv[1:] or HEADLINE:
         started = time.perf_counter()
         registered[name](spark, sf_dir).write.format("noop").mode("overwrite").save()

@@ -35,8 +35,8 @@ def test_fixed_text_agrees_with_python(spark):
     assert values(spark, [0.587, 0.0, 1.0], "double", percent) == ["58.70%", "0.00%", "100.00%"]
 
 
-@settings(max_examples=20, deadline=None)
-@given(st.lists(st.floats(allow_nan=False, min_value=-1e12, max_value=1e12), min_size=1, max_size=200))
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.floats(allow_nan=False, min_value=-1e12, max_value=1e12), min_size=50, max_size=400))
 def test_rounding_property(spark, xs):
     assert values(spark, xs, "double", lambda c: round_exact(c, 4)) == [round(x, 4) for x in xs]
 

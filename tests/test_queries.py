@@ -46,11 +46,6 @@ def test_registry_is_consistent():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_entry(spark):
-    out = entry.entry(spark)
-    assert out.columns[0] == "kind" and out.count() == 34
-
-
 def test_timeout_query(spark):
     assert [r.status for r in entry.queries()["statement_timeout"](spark, SMALL).collect()] == ["TIMEOUT"]
 
