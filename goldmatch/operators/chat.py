@@ -145,12 +145,12 @@ def _parts(turns: DataFrame, part_turns: int) -> DataFrame:
     )
     fields = ["turn", "own", *[c for c in turns.columns if c not in ("conv_id", "turn")]]
     placed = turns.select("*", F.inline(homes))
-    grouped = placed.groupBy("conv_id", "part_no").agg(
-        F.array_sort(
-            F.collect_list(F.struct(*fields)),
-            lambda a, b: F.when(a["turn"] < b["turn"], -1).when(a["turn"] > b["turn"], 1).otherwise(0),
-        ).alias("msgs")
-    )
+    msgs = F.collect_list(F.struct(*fields))
+    if "map<" in placed.select(F.struct(*fields)).schema.simpleString():  # maps have no order of their own
+        ordered = F.array_sort(msgs, lambda a, b: (a["turn"] - b["turn"]).cast("int"))
+    else:
+        ordered = F.array_sort(msgs)  # decided by the first field, the turn
+    grouped = placed.groupBy("conv_id", "part_no").agg(ordered.alias("msgs"))
     # a conversation that ends exactly at a cut leaves a part of neighbours only
     return grouped.where(F.exists("msgs", lambda m: m["own"]))
 

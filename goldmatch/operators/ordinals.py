@@ -8,7 +8,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from goldmatch.session import scratch_path, written
+from goldmatch.session import dimension, scratch_path, written
 
 HOT_ROWS = 5_000_000
 SAMPLE = 0.001
@@ -52,7 +52,7 @@ def spread_positions(
         (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
         F.sum("_n").over(in_group).alias("_size"),
     )
-    blocks = written(blocks, "blocks")
+    blocks = dimension(blocks, "blocks")
     joined = placed.join(blocks, _same_key(placed, blocks, [*group, "_part"]))
     out = [placed[c] for c in df.columns] + [(F.col("_at") + F.col("_shift")).alias(name)]
     if size:

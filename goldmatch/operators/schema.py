@@ -117,7 +117,8 @@ def schema_text(columns: DataFrame, fks: DataFrame) -> DataFrame:
 def attach_schema(items: DataFrame, ddl: DataFrame) -> DataFrame:
     """Schema text per item, ``''`` where the database is unknown.
 
-    Pass ``ddl`` as a stored table: its size then decides about a broadcast.
+    Pass ``ddl`` through :func:`goldmatch.session.dimension`, which decides about a
+    broadcast by its size.
     """
     text = ddl.select("db_id", F.col("ddl").alias("_ddl"))
     return items.join(text, "db_id", "left").select(

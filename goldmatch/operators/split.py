@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from goldmatch.operators.ordinals import spread_positions
-from goldmatch.session import written
+from goldmatch.session import dimension, written
 
 TOP_K_KEYS = 100_000
 
@@ -35,10 +35,10 @@ def validation_keys(
 def group_split(df: DataFrame, key: str, val_ratio: float = 0.1, seed: int = 42) -> DataFrame:
     """Adds ``split`` (train/val) with disjoint keys.
 
-    The chosen keys are stored, so the join knows their size: it broadcasts a
-    short list, and for a long one adaptive execution splits hot keys.
+    The chosen keys are stored and measured: a short list is broadcast, for a long
+    one adaptive execution splits hot keys.
     """
-    chosen = written(validation_keys(df, key, val_ratio, seed), "val-keys")
+    chosen = dimension(validation_keys(df, key, val_ratio, seed), "val-keys")
     chosen = chosen.withColumn("_val", F.lit(True))
     return df.join(chosen, key, "left").select(
         *[df[c] for c in df.columns],

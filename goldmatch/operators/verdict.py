@@ -28,7 +28,8 @@ SAMPLE_FIELDS = [
 def exists_guard(items: DataFrame, inventory: DataFrame) -> DataFrame:
     """Status of items whose database is not in the inventory; null status = go on.
 
-    Pass the inventory as a stored table: its size then decides about a broadcast.
+    Pass the inventory through :func:`goldmatch.session.dimension`, which decides
+    about a broadcast by its size.
     """
     known = inventory.select("db_id").distinct().withColumn("_known", F.lit(True))
     missing = F.col("_known").isNull()

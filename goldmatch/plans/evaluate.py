@@ -24,7 +24,7 @@ from goldmatch.functions.cells import canonical_frame
 from goldmatch.functions.sqltext import extract_sql
 from goldmatch.operators.compare import differing_items
 from goldmatch.operators.verdict import executed_pairs, sample_results
-from goldmatch.session import scratch_path, written
+from goldmatch.session import dimension, scratch_path
 
 # Table name -> reader; a view belongs to a session, so tables are read per session.
 Database = dict[str, Callable[[SparkSession], DataFrame]]
@@ -136,7 +136,7 @@ class Runner:
             .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
             .drop("_n")
         )
-        sizes = written(sizes, "result-sizes")
+        sizes = dimension(sizes, "result-sizes")
         place = F.col("at") - F.shiftleft("_part", 33)
         return placed.join(sizes, ["item_id", "side", "_part"]).select(
             "item_id", "side", (place + F.col("_before")).alias("row_no"), "cells"

@@ -17,7 +17,7 @@ from goldmatch.plans import pairs as PC
 from goldmatch.plans import workload as W
 from goldmatch.plans.evaluate import Runner, Statement, evaluate, parquet_database
 from goldmatch.plans.shapes import SHAPES, SQL
-from goldmatch.session import scratch_path, spread, written
+from goldmatch.session import dimension, scratch_path, spread, written
 from goldmatch.sources import inventory, items, reports, samples
 from goldmatch.streaming.incremental import evaluated, incremental_eval
 
@@ -65,7 +65,7 @@ def load_items_union(t):
 
 def _training(t):
     """Items with split and schema text."""
-    ddl = written(schema.schema_text(W.schema_columns(t), W.schema_fks(t)), "ddl")
+    ddl = dimension(schema.schema_text(W.schema_columns(t), W.schema_fks(t)), "ddl")
     return schema.attach_schema(split.group_split(W.items(t), "db_id"), ddl)
 
 
@@ -168,7 +168,7 @@ def difficulty_or_estimate(t):
 
 @query
 def exists_guard(t):
-    return verdict.exists_guard(W.items(t), written(W.inventory(t), "inventory")).select(
+    return verdict.exists_guard(W.items(t), dimension(W.inventory(t), "inventory")).select(
         "item_id", "db_id", "guard_status", "guard_message", "guard_time_ms"
     )
 
@@ -187,7 +187,7 @@ def overlength_cut(t):
 
 @query
 def attach_schema(t):
-    ddl = written(schema.schema_text(W.schema_columns(t), W.schema_fks(t)), "ddl")
+    ddl = dimension(schema.schema_text(W.schema_columns(t), W.schema_fks(t)), "ddl")
     return schema.attach_schema(W.items(t), ddl).select(
         "item_id", "db_id", F.length("schema_ddl").cast("long").alias("ddl_chars"), _md5(F.col("schema_ddl")).alias("ddl_md5")
     )
@@ -461,7 +461,7 @@ def estimate_difficulty(t):
 
 
 def _with_ddl(t):
-    ddl = written(schema.schema_text(W.schema_columns(t), W.schema_fks(t)), "ddl")
+    ddl = dimension(schema.schema_text(W.schema_columns(t), W.schema_fks(t)), "ddl")
     return schema.attach_schema(W.items(t), ddl)
 
 

@@ -6,6 +6,7 @@ ten customers. Everything grows with the tables.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -194,33 +195,31 @@ def inventory(t: Table) -> DataFrame:
     return database_numbers(t).select(F.concat(F.lit("db_"), F.col("db_no").cast("string")).alias("db_id"))
 
 
+def _constant_rows(rows: list[dict], fields: str) -> Column:
+    """A fixed list of rows as one array literal (folded when the query is planned)."""
+    return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{fields}>>")
+
+
 def schema_columns(t: Table) -> DataFrame:
     """Raw catalog columns of every database."""
-    text = lambda v: F.lit(v).cast("string")
-    lines = [
-        F.struct(
-            F.lit(no).alias("table_no"), F.lit(table).alias("table_name"), F.lit(cid).alias("cid"),
-            F.lit(name).alias("name"), text(dtype).alias("data_type"), F.lit(not_null).alias("not_null"),
-            text(None).alias("default_value"), F.lit(pk).alias("pk"),
-        )
+    rows = [
+        {"table_no": no, "table_name": table, "cid": cid, "name": name, "data_type": dtype, "not_null": not_null, "pk": pk}
         for no, (table, cols) in enumerate(CATALOG)
         for cid, (name, dtype, not_null, pk) in enumerate(cols)
     ]
-    return inventory(t).select("db_id", F.inline(F.array(*lines)))
+    fields = "table_no:int,table_name:string,cid:int,name:string,data_type:string,not_null:int,default_value:string,pk:int"
+    return inventory(t).select("db_id", F.inline(_constant_rows(rows, fields)))
 
 
 def schema_fks(t: Table) -> DataFrame:
     """Raw catalog foreign keys of every database."""
     number = {table: no for no, (table, _) in enumerate(CATALOG)}
-    text = lambda v: F.lit(v).cast("string")
-    lines = [
-        F.struct(
-            F.lit(number[table]).alias("table_no"), F.lit(table).alias("table_name"), F.lit(no).alias("fk_no"),
-            text(source).alias("from_column"), F.lit(to_table).alias("to_table"), text(target).alias("to_column"),
-        )
-        for no, (table, source, to_table, target) in enumerate(FOREIGN_KEYS)
+    rows = [
+        {"table_no": number[table], "table_name": table, "fk_no": no, "from_column": source, "to_table": to, "to_column": target}
+        for no, (table, source, to, target) in enumerate(FOREIGN_KEYS)
     ]
-    return inventory(t).select("db_id", F.inline(F.array(*lines)))
+    fields = "table_no:int,table_name:string,fk_no:int,from_column:string,to_table:string,to_column:string"
+    return inventory(t).select("db_id", F.inline(_constant_rows(rows, fields)))
 
 
 def execution_log(t: Table, run: str = "a") -> DataFrame:
@@ -303,7 +302,7 @@ def samples(t: Table, run: str = "a") -> DataFrame:
 
 def chat_turns(t: Table) -> DataFrame:
     """A tool conversation per order, one line per turn."""
-    o = t("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    o = spread(t("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"))
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     args = "struct<custkey:bigint,status:string,note:string>"
     call = lambda name, note: F.struct(

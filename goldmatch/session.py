@@ -6,6 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 SESSION_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -50,10 +53,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def written(df: DataFrame, label: str) -> DataFrame:
     """Store ``df`` as a table in the scratch folder and read it back.
 
-    This cuts the lineage in a way that survives lost executors, fixes
-    non-deterministic columns, and gives the optimizer the real size, so a join
-    with the result broadcasts it only when it is below
-    ``spark.sql.autoBroadcastJoinThreshold``.
+    This cuts the lineage in a way that survives lost executors and fixes
+    non-deterministic columns.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
@@ -61,6 +62,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dimension(df: DataFrame, label: str, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Store a lookup table and decide by its real size how to join it.
+
+    The size of the files says little, repeated texts compress very well, so the
+    stored values are measured. Up to ``max_bytes`` the table is broadcast. A larger
+    one is joined by sort-merge, where adaptive execution splits hot keys.
+    """
+    stored = written(df, label)
+    size = stored.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return stored.hint("broadcast" if size <= max_bytes else "merge")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give costly per-row work all cores when the input has few splits.
 

@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from goldmatch.session import written
+from goldmatch.session import dimension
 
 RECORD = "array<struct<db_id:string,question:string,query:string,difficulty:string>>"
 
@@ -39,7 +39,7 @@ def load_items(spark: SparkSession, paths: list[str], db_root: str) -> DataFrame
         .withColumn("_start", F.coalesce(F.sum("_n").over(by_file), F.lit(0)))
         .drop("_n")
     )
-    starts = written(starts, "file-starts")
+    starts = dimension(starts, "file-starts")
     records = files.select(
         "source_no",
         "file",

@@ -161,6 +161,16 @@ def test_conversation_text_in_parts(spark, tools):
             assert marks[c, i] == (tool and roles[i] != "tool", tool and roles[i + 2] != "tool")
 
 
+def test_arguments_may_be_a_map(spark):
+    turns = spark.sql(
+        "SELECT 1L AS conv_id, t AS turn, if(t = 0, 'user', 'assistant') AS role, concat('c', t) AS content, "
+        "if(t = 1, array(named_struct('name', 'f', 'arguments', map('k', t))), null) AS tool_calls "
+        "FROM (SELECT explode(array(2L, 0L, 1L)) AS t)"
+    )
+    text = chat.render_conversations(turns).first().text
+    assert text.endswith('assistant\nc1\n<tool_call>\n{"name": "f", "arguments": {"k": 1}}\n</tool_call><|im_end|>\n<|im_start|>assistant\nc2<|im_end|>\n')
+
+
 def test_message_array_text(spark):
     talks = conversations(seed=8)
     rows = [(c, [(m["role"], m["content"], m["tool_calls"]) for m in ms]) for c, ms in talks.items()]

@@ -9,7 +9,7 @@ from conftest import SMALL
 from goldmatch.operators import compare, metrics, verdict
 from goldmatch.plans import shapes
 from goldmatch.plans import workload as W
-from goldmatch.session import scratch_path, spread, written
+from goldmatch.session import dimension, scratch_path, spread, written
 from goldmatch.sources import reports
 from goldmatch.streaming.incremental import evaluated, incremental_eval
 
@@ -96,6 +96,15 @@ def test_written_survives_and_spread_leaves_large_scans(spark, table):
     assert spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == 4
 
 
+def test_dimension_is_broadcast_by_its_real_size(spark):
+    facts = spark.range(1000).select((F.col("id") % 7).alias("k"))
+    texts = spark.range(7).select(F.col("id").alias("k"), F.repeat(F.lit("same text "), 10000).alias("v"))
+    small, large = dimension(texts, "t"), dimension(texts, "t", max_bytes=1000)
+    for df, join in ((small, "BroadcastHashJoin"), (large, "SortMergeJoin")):
+        joined = facts.join(df.withColumn("w", F.lit(1)), "k", "left")
+        assert join in plan(joined) and joined.count() == 1000
+
+
 def test_incremental_run_resumes(spark, table):
     root = scratch_path(spark, "stream")
     joined = written(verdict.joined_pairs(W.items(table), W.executed(table), compare.differing_items(W.result_rows(table))), "joined")
