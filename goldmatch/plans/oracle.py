@@ -63,8 +63,8 @@ ITEMS = (
     f"FROM (SELECT *, {_GOLD} AS gold_sql, {_DB} AS db_id FROM orders) AS o"
 )
 INVENTORY = (
-    f"SELECT DISTINCT concat('db_', c_custkey // {W.CUSTOMERS_PER_DB}) AS db_id FROM customer "
-    f"WHERE (c_custkey // {W.CUSTOMERS_PER_DB}) % 13 <> 5"
+    f"SELECT concat('db_', c_custkey // {W.CUSTOMERS_PER_DB}) AS db_id FROM customer "
+    f"GROUP BY c_custkey // {W.CUSTOMERS_PER_DB} HAVING max(c_acctbal) > {W.CATALOG_BALANCE}"
 )
 
 
@@ -507,7 +507,7 @@ def oracle_sql() -> dict[str, str]:
         "load_items": f"SELECT row_number() OVER (ORDER BY item_id) - 1 AS item_id, db_id, question, gold_sql, db_path, difficulty FROM ({ITEMS}) AS i",
         "load_items_union": f"SELECT row_number() OVER (ORDER BY item_id NOT IN ({done}), item_id) - 1 AS item_id, db_id, question, gold_sql, difficulty FROM ({ITEMS}) AS i",
         "split_labelled_scan": ctes(**it, tr=TRAINING) + f"SELECT item_id, db_id, difficulty, CASE split WHEN 'val' THEN 'validation' ELSE 'train' END AS split, CAST(3 AS BIGINT) AS n_messages, md5({USER}) AS user_md5, {ANSWER} AS answer FROM tr",
-        "source_inventory": f"SELECT DISTINCT db_id FROM ({ITEMS}) AS i WHERE item_id % 3 = 0",
+        "source_inventory": f"SELECT DISTINCT db_id FROM ({ITEMS}) AS i",
         "missing_required": "SELECT DISTINCT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 40)",
         "write_samples_jsonl": ctes(**it, sp=split_of("(SELECT * FROM it)", "db_id")) + "SELECT split, count(*) AS n_lines, CAST(count_if(difficulty IS NULL) AS BIGINT) AS n_null_difficulty FROM sp GROUP BY split",
         "write_report_json": ctes(**a) + "SELECT * FROM samples_a",

@@ -23,7 +23,7 @@ from goldmatch.streaming.incremental import evaluated, incremental_eval
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-FIRST_ITEMS, ROW_CAP, FILES = 1000, 3, 4
+FIRST_ITEMS, ROW_CAP, BATCHES = 1000, 3, 2
 PAIR_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
 BASE = ["db_id", "question", "gold_sql", "db_path", "difficulty"]
 _QUERIES: dict[str, Query] = {}
@@ -88,9 +88,10 @@ def split_labelled_scan(t):
 
 @query
 def source_inventory(t):
-    """The rule for database files, on the items' paths; some name another file."""
-    other = F.regexp_replace("db_path", r"[^/]+\.sqlite$", "other.sqlite")
-    files = W.items(t).select(F.when(F.col("item_id") % 3 == 0, F.col("db_path")).otherwise(other).alias("path"))
+    """The rule for database files, on the items' paths and on paths beside them that
+    do not name their folder."""
+    beside = F.regexp_replace("db_path", r"db_(\d+)\.sqlite$", "old_$1.sqlite")
+    files = W.items(t).select(F.explode(F.array(F.col("db_path"), beside)).alias("path"))
     return inventory.databases_of(files, F.col("path"))
 
 
@@ -555,10 +556,11 @@ def incremental_eval_(t):
     spark = _spark(t)
     root = scratch_path(spark, "incremental")
     joined = verdict.joined_pairs(W.items(t), W.executed(t), _differing(t))
-    joined.repartition(FILES).write.parquet(f"{root}/source")
+    joined.write.parquet(f"{root}/source")
+    n_files = len(spark.read.schema(joined.schema).parquet(f"{root}/source").inputFiles())
     incremental_eval(
         spark, f"{root}/source", joined.schema, verdict.finished, f"{root}/sink", f"{root}/checkpoint",
-        files_per_batch=FILES // 2,
+        files_per_batch=max(1, n_files // BATCHES),
     )
     done = evaluated(spark, f"{root}/sink", reports.SAMPLE_SCHEMA)
     return metrics.metrics_long(done)

@@ -23,6 +23,7 @@ from goldmatch.sources.items import database_path
 
 DB_ROOT = "/corpus"
 CUSTOMERS_PER_DB = 10
+CATALOG_BALANCE = 8000
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
 # ``{k}`` is the customer key. One template per query shape.
@@ -186,9 +187,11 @@ def items(t: Table) -> DataFrame:
 
 
 def database_numbers(t: Table) -> DataFrame:
-    """Number of every database with a catalog; one in thirteen has none."""
+    """Number of every database with a catalog: those with a customer of some
+    balance. Items of the others meet an absent database."""
     n = F.floor(F.col("c_custkey") / CUSTOMERS_PER_DB)
-    return t("customer").select(n.alias("db_no")).distinct().where(F.col("db_no") % 13 != 5)
+    richest = t("customer").groupBy(n.alias("db_no")).agg(F.max("c_acctbal").alias("top"))
+    return richest.where(F.col("top") > CATALOG_BALANCE).select("db_no")
 
 
 def inventory(t: Table) -> DataFrame:

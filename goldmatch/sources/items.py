@@ -78,7 +78,7 @@ def path_exists(spark: SparkSession, path: str) -> bool:
         raise
 
 
-def write_split_files(items: DataFrame, path: str, records_per_file: int = 5000) -> None:
+def write_split_files(items: DataFrame, path: str, records_per_file: int = 50_000) -> None:
     """Store items as JSON-array files of bounded size, in id order."""
     record = F.struct("db_id", "question", F.col("gold_sql").alias("query"), "difficulty")
     pairs = F.array_sort(F.collect_list(F.struct("item_id", record.alias("r"))))
