@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -137,8 +138,8 @@ Table = Callable[[str], DataFrame]
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Table:
-    """Reader of the given tables."""
-    return lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Reader of the given tables; each is listed once per query."""
+    return cache(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def case(index: Column, values: list[Column], default: Column | None = None) -> Column:
