@@ -223,11 +223,15 @@ def difficulty(annotated: str, x: str) -> str:
 def extracted(rel: str, raw: str, keep: str, name: str = "predicted_sql") -> str:
     fence = "'```(?:sql)?\\s*([\\s\\S]*?)\\s*```'"
     stmt = "'\\b(WITH[\\s\\S]+?SELECT[\\s\\S]+|SELECT[\\s\\S]+)'"
+    found = (
+        f"CASE WHEN regexp_matches(_t, {fence}, 'i') THEN regexp_extract(_t, {fence}, 1, 'i') "
+        f"WHEN regexp_matches(_t, {stmt}, 'i') THEN regexp_extract(_t, {stmt}, 1, 'i') ELSE _t END"
+    )
+    first = f"split_part(_f, {lit('```')}, 1)"
     return (
-        f"SELECT {keep}, CASE WHEN _b LIKE '%;' THEN {strip('_b[:-2]')} ELSE _b END AS {name} FROM ("
-        f"SELECT *, {strip('split_part(_f, ' + lit('```') + ', 1)')} AS _b FROM ("
-        f"SELECT *, {strip(f'CASE WHEN regexp_matches(_t, {fence}, {lit(chr(105))}) THEN regexp_extract(_t, {fence}, 1, {lit(chr(105))}) WHEN regexp_matches(_t, {stmt}, {lit(chr(105))}) THEN regexp_extract(_t, {stmt}, 1, {lit(chr(105))}) ELSE _t END')} AS _f FROM ("
-        f"SELECT *, {strip(raw)} AS _t FROM {rel}) AS t1) AS t2) AS t3"
+        f"SELECT {keep}, CASE WHEN _b LIKE '%;' THEN {strip('_b[:-2]')} ELSE _b END AS {name} "
+        f"FROM (SELECT *, {strip(first)} AS _b FROM (SELECT *, {strip(found)} AS _f "
+        f"FROM (SELECT *, {strip(raw)} AS _t FROM {rel}) AS t1) AS t2) AS t3"
     )
 
 

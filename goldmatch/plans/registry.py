@@ -25,7 +25,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 FIRST_ITEMS, ROW_CAP, BATCHES = 1000, 3, 2
 PAIR_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
-BASE = ["db_id", "question", "gold_sql", "db_path", "difficulty"]
 _QUERIES: dict[str, Query] = {}
 
 
