@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from goldmatch.llm import mixing, neardup, quality
+from goldmatch.llm import linededup, mixing, neardup, packing, quality
 from goldmatch.session import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -18,10 +19,21 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs).where("kept").select(*docs.columns)
 
 
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that repeat earlier ones; one that loses all goes.
+
+    doc_id names a text: a repeated row of the table comes once.
+    """
+    once = docs.dropDuplicates(["doc_id"])
+    removed = linededup.repeated_lines(once.select("doc_id", "text"))
+    emptied = removed.where("n_lines > 0 AND n_lines = size(removed)").select("doc_id")
+    return linededup.without_lines(once, removed).join(emptied, "doc_id", "left_anti").select(*docs.columns)
+
+
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one that names it."""
     kept = neardup.near_duplicates(docs, k=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(kept, "doc_id", "left_semi")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,10 +45,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(read, "doc_id").withColumn("_time", times).select(*docs.columns)
 
 
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces with their place in sequences of 4096 tokens, and their ids."""
+    return packing.packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality rules", keep_good),
+    ("line dedup", drop_repeated_lines),
     ("near-duplicates", keep_first_copies),
     ("source mix", mix_sources),
+    ("best-fit packing", pack_sequences),
 ]
 
 ORACLE_SQL = None
