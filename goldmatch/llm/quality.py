@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLANK = r"[\x20\x09-\x0D]+"
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words")
 BLANKS, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 
 # The most frequent short words of English, German, French and Spanish.
@@ -41,6 +43,11 @@ def without(text: Column, characters: str) -> Column:
     return F.length(F.translate(text, characters, ""))
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used there."""
+    return F.transform(F.array(value), body)[0]
+
+
 def repeated_words(words: Column) -> Column:
     """How many words stand in a 3-word window that the text has twice or more.
 
@@ -51,68 +58,55 @@ def repeated_words(words: Column) -> Column:
         F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))),
         lambda w, i: F.struct(F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")),
     )
-    ordered = F.sort_array(windows)
-    return F.transform(F.array(ordered), lambda s: _covered(s))[0]
-
-
-def _covered(s: Column) -> Column:
-    again = F.filter(
-        s,
-        lambda x, i: F.coalesce(x["h"] == F.get(s, i - 1)["h"], F.lit(False))
-        | F.coalesce(x["h"] == F.get(s, i + 1)["h"], F.lit(False)),
-    )
+    equal = lambda s, x, i: F.coalesce(x["h"] == F.get(s, i)["h"], F.lit(False))
+    again = bind(F.sort_array(windows), lambda s: F.filter(s, lambda x, i: equal(s, x, i - 1) | equal(s, x, i + 1)))
     places = F.sort_array(F.transform(again, lambda x: x["i"]))
-    steps = F.transform(F.array(places), lambda p: F.transform(p, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(p, j + 1) - x, F.lit(3)))))[0]
+    steps = bind(places, lambda p: F.transform(p, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(p, j + 1) - x, F.lit(3)))))
     return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """``docs`` with the struct column ``quality``: the counts and ratios of the rules.
+def measures(text: Column) -> Column:
+    """A struct of the counts and ratios that rules can use.
 
     Words are runs outside white space. A null text has no words, lines or symbols, and
     ratios over nothing are 0.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    words = F.array_remove(F.split(text, BLANK), "")
+    text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
-    parts = docs.withColumn("_words", words).withColumn("_lines", lines)
-    word_chars = without(text, BLANKS)
-    n_symbols = F.length(text) - without(text, SYMBOLS)
-    counted = parts.withColumn(
-        "quality",
-        F.struct(
-            F.size("_words").cast("long").alias("n_words"),
-            word_chars.cast("long").alias("word_chars"),
-            n_symbols.cast("long").alias("n_symbols"),
-            F.size("_lines").cast("long").alias("n_lines"),
-            (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-            repeated_words(F.col("_words")).alias("n_repeat_words"),
-            F.size(F.filter("_words", lambda w: w.isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
+    parts = F.struct(text.alias("text"), F.array_remove(F.split(text, BLANK), "").alias("words"), lines.alias("lines"))
+    counts = bind(
+        parts,
+        lambda p: F.struct(
+            F.size(p["words"]).cast("long").alias("n_words"),
+            without(p["text"], BLANKS).cast("long").alias("word_chars"),
+            (F.length(p["text"]) - without(p["text"], SYMBOLS)).cast("long").alias("n_symbols"),
+            F.size(p["lines"]).cast("long").alias("n_lines"),
+            (F.size(p["lines"]) - F.size(F.array_distinct(p["lines"]))).cast("long").alias("n_dup_lines"),
+            repeated_words(p["words"]).alias("n_repeat_words"),
+            F.size(F.filter(p["words"], lambda w: w.isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
         ),
-    ).drop("_words", "_lines")
-    q = F.col("quality")
-    ratio = lambda a, b: F.coalesce(F.try_divide(F.col(f"quality.{a}").cast("double"), F.col(f"quality.{b}").cast("double")), F.lit(0.0))
-    ratios = {
-        "mean_word_chars": ratio("word_chars", "n_words"),
-        "symbol_ratio": ratio("n_symbols", "n_words"),
-        "stop_ratio": ratio("n_stop_words", "n_words"),
-        "dup_line_ratio": ratio("n_dup_lines", "n_lines"),
-    }
-    for name, value in ratios.items():
-        q = q.withField(name, value)
-    return counted.withColumn("quality", q)
+    )
+    ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
+    return bind(
+        counts,
+        lambda q: F.struct(
+            *[q[name].alias(name) for name in COUNTS],
+            ratio(q["word_chars"], q["n_words"]).alias("mean_word_chars"),
+            ratio(q["n_symbols"], q["n_words"]).alias("symbol_ratio"),
+            ratio(q["n_stop_words"], q["n_words"]).alias("stop_ratio"),
+            ratio(q["n_dup_lines"], q["n_lines"]).alias("dup_line_ratio"),
+        ),
+    )
 
 
 def compiled(rules: tuple[Rule, ...], of: Column) -> Column:
     """The table of thresholds as one condition."""
     holds = F.lit(True)
     for rule in rules:
-        value = of[rule.metric]
-        for bound in (
-            *([value >= rule.low] if rule.low is not None else []),
-            *([value <= rule.high] if rule.high is not None else []),
-        ):
-            holds &= bound
+        if rule.low is not None:
+            holds &= of[rule.metric] >= rule.low
+        if rule.high is not None:
+            holds &= of[rule.metric] <= rule.high
     return holds
 
 
@@ -121,12 +115,20 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_words: i
 
     ``base_failed``: fewer than ``min_words`` words, or more than ``max_repeat_percent``
     hundredths of the words in repeated 3-word windows. ``kept``: not base_failed, and
-    every rule holds. All other columns stay; ``quality``, ``base_failed`` and ``kept``
-    replace columns of those names. Null, empty and blank texts are base_failed, since they
-    have no words. Each row is judged alone, so repeated rows get equal results, and an
-    empty table gives an empty one.
+    every rule holds. All of it is one expression over the text, in which each value is
+    bound once, so a filter on ``kept`` doesn't compute anything twice.
+
+    All other columns stay; ``quality``, ``base_failed`` and ``kept`` replace columns of
+    those names. Null, empty and blank texts are base_failed, since they have no words. Each
+    row is judged alone, so repeated rows get equal results, and an empty table gives an
+    empty one.
     """
-    measured = measures(docs.drop("quality", "base_failed", "kept"))
-    q = F.col("quality")
-    failed = (q["n_words"] < min_words) | (q["n_repeat_words"] * 100 > q["n_words"] * max_repeat_percent)
-    return measured.withColumn("base_failed", failed).withColumn("kept", ~failed & compiled(rules, q))
+    failed = lambda q: (q["n_words"] < min_words) | (q["n_repeat_words"] * 100 > q["n_words"] * max_repeat_percent)
+    judged = bind(
+        measures(F.col("text")),
+        lambda q: F.struct(q.alias("quality"), failed(q).alias("base_failed"), (~failed(q) & compiled(rules, q)).alias("kept")),
+    )
+    names = ("quality", "base_failed", "kept")
+    return docs.drop(*names).withColumn("_judged", judged).select(
+        *[c for c in docs.columns if c not in names], *[F.col(f"_judged.{name}") for name in names]
+    )
