@@ -14,7 +14,7 @@ from goldmatch.llm.scale import components
 from goldmatch.llm.text import buffer_of, chunks, mix, shingle_sets
 from goldmatch.session import written
 
-BANDS, ROWS = 45, 5
+BANDS, ROWS, BLOCK = 45, 5, 2048
 _U = np.uint64
 
 
@@ -117,6 +117,98 @@ def similar_enough(percent: int):
     return F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent
 
 
+def open_buckets(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of the buckets with more than one component: key, rep, c, center."""
+    labelled = shared.join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    labelled = labelled.withColumn("c", F.coalesce("component", "rep")).drop("component")
+    mixed = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    return labelled.join(mixed, "key").select("key", "rep", "c", "center")
+
+
+def linked_in_blocks(left: pa.Table, right: pa.Table, percent: int, columns: int = 1024) -> tuple[list[int], list[int]]:
+    """Confirmed links between two blocks of sets, one for each row of ``left`` and component.
+
+    Shared hashes are the columns of 0/1 matrices whose product counts the overlaps.
+    """
+    sides = []
+    for side in (left, right):
+        sets = [np.frombuffer(h.as_buffer(), "<u8") for h in side.column("hashes")]
+        sides.append((np.concatenate(sets), np.array([len(x) for x in sets])))
+    shared = np.intersect1d(np.unique(sides[0][0]), np.unique(sides[1][0]), assume_unique=True)
+    overlap = np.zeros((left.num_rows, right.num_rows), np.float32)
+    placed = []
+    for hashes, sizes in sides:
+        at = np.minimum(np.searchsorted(shared, hashes), max(len(shared) - 1, 0))
+        hit = shared[at] == hashes if len(shared) else np.zeros(len(hashes), bool)
+        at, row = at[hit], np.repeat(np.arange(len(sizes)), sizes)[hit]
+        order = np.argsort(at, kind="stable")
+        placed.append((at[order], row[order]))
+    for first in range(0, len(shared), columns):
+        parts = []
+        for (at, row), (_, sizes) in zip(placed, sides, strict=True):
+            a, b = np.searchsorted(at, [first, first + columns])
+            part = np.zeros((len(sizes), min(columns, len(shared) - first)), np.float32)
+            part[row[a:b], at[a:b] - first] = 1
+            parts.append(part)
+        overlap += parts[0] @ parts[1].T
+    union = sides[0][1][:, None] + sides[1][1][None, :] - overlap
+    c_left, c_right = (np.asarray(side.column("c")) for side in (left, right))
+    near = (100 * overlap >= percent * union) & (c_left[:, None] != c_right[None, :])
+    x, y = np.nonzero(near)
+    if len(x):
+        _, keep = np.unique(np.stack([x, c_right[y]]), axis=1, return_index=True)
+        x, y = x[keep], y[keep]
+    u, v = left.column("rep").to_pylist(), right.column("rep").to_pylist()
+    return [u[i] for i in x], [v[i] for i in y]
+
+
+def block_links(open_: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links between the components of the clusters that open buckets form.
+
+    A cluster's members, and those outside its largest component, are dealt by hash to
+    blocks of about ``block``; a task holds one block of each kind at a time.
+    """
+    clusters = components(open_.select(F.col("center").alias("u"), F.col("rep").alias("v")))
+    members = open_.select("rep", "c").distinct().join(clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "rep")
+    sizes = members.groupBy("cluster", "c").count()
+    counted = sizes.groupBy("cluster").agg(F.sum("count").alias("all"), F.max_by("c", "count").alias("main"), F.max("count").alias("most"))
+    blocks = lambda n: F.greatest(F.ceil(n / block), F.lit(1)).cast("int")
+    plan = counted.select("cluster", "main", blocks(F.col("all")).alias("all_blocks"), blocks(F.col("all") - F.col("most")).alias("few_blocks"))
+    dealt = written(members.join(plan, "cluster"), "members")
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    few = dealt.where("c <> main").select("cluster", own("few_blocks").alias("i"), each("all_blocks").alias("j"), F.lit(0).alias("side"), "rep", "c")
+    all_ = dealt.select("cluster", each("few_blocks").alias("i"), own("all_blocks").alias("j"), F.lit(1).alias("side"), "rep", "c")
+    rows = few.union(all_).join(sets.select(F.col("doc_id").alias("rep"), "hashes"), "rep")
+    rows = rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def links() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            side = np.asarray(table.column("side"))
+            left, right = table.filter(pa.array(side == 0)), table.filter(pa.array(side == 1))
+            u, v = linked_in_blocks(left, right, percent) if len(left) and len(right) else ([], [])
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+        at = None
+        for batch in batches:
+            keys = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("cluster", "i", "j")], axis=1)
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if b > a:
+                    if at is not None and at != tuple(keys[a]):
+                        yield links()
+                        held = []
+                    at = tuple(keys[a])
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield links()
+
+    return rows.select("cluster", "i", "j", "side", "rep", "c", "hashes").mapInArrow(run, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Near-duplicate groups of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept.
 
@@ -130,11 +222,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     2. Equal sets fold into the smallest doc_id before anything is paired.
     3. A bucket yields a star: its smallest member against the rest. Pairs are confirmed
        on full sets, the links make components.
-    4. Buckets that still hold several components get further centres among the members
-       outside the first component, twice as many in each round, until every member is
-       in the same component or has been a centre. So no pair that shares a bucket goes
-       unexamined unless it is connected already, and a group of n near copies costs
-       about n pairs, not n * n.
+    4. Buckets that still hold several components are joined to clusters. In each of those
+       the members outside its largest component are compared with all members of other
+       components, block by block inside the tasks; only links come out. So no pair that
+       shares a bucket goes unexamined unless it is connected already, and a group of n
+       near copies costs about n pairs plus what its stars have not connected.
 
     Null or empty texts and texts without words have n_shingles 0, are linked with
     nothing and are kept. Rows with the same doc_id and text give equal rows; rows with
@@ -159,32 +251,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     reps = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(nodes, "doc_id", "left_semi")
     sets = written(full_sets(reps.dropDuplicates(["doc_id", "text"]), k).dropDuplicates(["doc_id"]), "sets")
 
-    def check(pairs: DataFrame) -> DataFrame:
-        return written(confirmed(pairs.select("u", "v"), sets, percent), "confirmed")
-
     pairs = shared.where("rep <> center").withColumnRenamed("n", "n_v").where(similar_enough(percent))
-    examined = written(pairs.select(F.col("center").alias("u"), F.col("rep").alias("v")).distinct(), "pairs")
-    links, used, centers = check(examined), shared.select("key", F.col("center").alias("rep")).distinct(), 1
-    while True:
-        found = written(components(links), "components").withColumnRenamed("node", "rep")
-        labelled = shared.join(found, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
-        mixed = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by("c", "rep").alias("main"))
-        open_ = written(labelled.join(mixed.where("lo <> hi"), "key").select("key", "rep", "n", "c", "main"), "open")
-        ahead = open_.where("c <> main").join(used, ["key", "rep"], "left_anti")
-        slot = F.pmod(F.xxhash64("rep", F.lit(centers)), F.lit(centers))
-        chosen = written(
-            ahead.groupBy("key", slot.alias("slot")).agg(F.min("rep").alias("f"), F.min_by("n", "rep").alias("n_u"), F.min_by("c", "rep").alias("c_u")).drop("slot"),
-            "centers",
-        )
-        if chosen.isEmpty():
-            break
-        further = open_.withColumnRenamed("n", "n_v").join(chosen, "key").where("c <> c_u").where(similar_enough(percent))
-        further = further.select(F.least("f", "rep").alias("u"), F.greatest("f", "rep").alias("v")).distinct()
-        fresh = written(further.join(examined, ["u", "v"], "left_anti"), "pairs")
-        examined = written(examined.union(fresh), "examined")
-        links = written(links.union(check(fresh)), "links")
-        used = written(used.union(chosen.select("key", F.col("f").alias("rep"))), "used")
-        centers *= 2
+    pairs = written(pairs.select(F.col("center").alias("u"), F.col("rep").alias("v")).distinct(), "pairs")
+    links = written(confirmed(pairs, sets, percent), "links")
+    open_ = written(open_buckets(shared, components(links)), "open")
+    if not open_.isEmpty():
+        links = links.union(written(block_links(open_, sets, percent), "block-links"))
+    found = written(components(links), "components").withColumnRenamed("node", "rep")
     # every document to its class, every class to its component
     class_of = sig.join(member, "set_key", "left")
     by_class = class_of.join(found, "rep", "left")

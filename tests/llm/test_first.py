@@ -244,7 +244,9 @@ def test_near_duplicates_query(spark):
     assert got == want
 
 
-def test_near_duplicates_planted(spark):
+@pytest.mark.parametrize("block", [neardup.BLOCK, 3])
+def test_near_duplicates_planted(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup.block_links, "__defaults__", (block,))
     rng = np.random.default_rng(5)
     data, i = [], 0
     for base in range(12):
