@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 from goldmatch.llm.pieces import CHUNK_BYTES, Encoder, ragged
 from goldmatch.llm.text import buffer_of, chunks
 
-SHARD_IDS, ROUNDS, ROUND_RULES, MIN_COUNT = 1 << 20, 3, 4096, 16
+SHARD_IDS, ROUNDS, ROUND_RULES, MIN_COUNT = 1 << 19, 3, 4096, 16
 SLOTS = 1 << 18
+ROW_GROUP_BYTES = 8 << 20
 
 SCHEMA = (
     "part int, shard int, n_ids long, doc_ids array<long>, doc_starts array<long>, doc_symbols array<long>, "
@@ -216,7 +217,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, **h
     doc_ids are separate documents, next to each other, ordered by the text's hash; null
     doc_ids come first. An empty table makes an empty store. Other columns are left out.
     """
-    encoded_shards(docs, tokenizer, end_id, **how).write.parquet(path)
+    shards = encoded_shards(docs, tokenizer, end_id, **how)
+    shards.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)  # a writer and a reader hold one row group
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
