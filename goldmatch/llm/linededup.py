@@ -48,7 +48,7 @@ def token_counters(docs: DataFrame, counters: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(counters, np.int64)
-        for batch in chunks(batches):
+        for batch in chunks(batches, size=4 << 20):
             data, offsets = buffer_of(batch.column("text"))
             starts, ends, _ = words(data, offsets)
             total += np.bincount((span_hashes(data, starts, ends) % _U(counters)).astype(np.int64), minlength=counters)
@@ -72,10 +72,12 @@ def token_counters(docs: DataFrame, counters: int) -> np.ndarray:
 
 
 def line_sets(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
-    """Lines with a token: doc_id, line, n (distinct tokens), key (of the set), prefix, places.
+    """Lines with a token: doc_id, line, n (distinct tokens), key (of the set), prefix, places, s0, s1.
 
     ``prefix`` has the rarest tokens, ``places`` their places in the order of rarity.
-    Tokens that occur once in all texts stand in no other line and are left out of it.
+    Tokens that occur once in all texts stand in no other line and are left out of it. Its
+    32-bit numbers only propose pairs. ``s0`` and ``s1`` are 128 parities: each token turns
+    one bit, so two sets differ in at least as many tokens as their sketches in bits.
     """
     counters = len(counts)
     shared = docs.sparkSession.sparkContext.broadcast(counts)
@@ -90,13 +92,16 @@ def line_sets(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
             rare = often[(hashed % _U(counters)).astype(np.int64)]
             a, b = np.searchsorted(w_starts, starts), np.searchsorted(w_starts, ends)
             has = np.flatnonzero(b > a)
-            ns, keys, prefixes, places, sizes = [], [], [], [], []
+            ns, keys, prefixes, places, sizes, sketches = [], [], [], [], [], []
+            bit, half = _U(1) << (hashed >> _U(20) & _U(63)), (hashed >> _U(26) & _U(1)).astype(bool)
             for i in has:
                 tokens, at = np.unique(hashed[a[i] : b[i]], return_index=True)
                 n, count = len(tokens), rare[a[i] : b[i]][at]
                 p = prefix_length(n, percent)
                 ns.append(n)
                 keys.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
+                bits, upper = bit[a[i] : b[i]][at], half[a[i] : b[i]][at]
+                sketches.append((np.bitwise_xor.reduce(bits[upper]), np.bitwise_xor.reduce(bits[~upper])))
                 if n > 1:
                     first = np.lexsort((tokens, count))[:p]
                     use = np.flatnonzero(count[first] > 1)
@@ -106,18 +111,20 @@ def line_sets(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
                 else:
                     sizes.append(0)
             at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            flat = np.concatenate(prefixes).astype(np.int64) if prefixes else np.zeros(0, np.int64)
+            flat = np.concatenate(prefixes).astype(np.uint32).view(np.int32) if prefixes else np.zeros(0, np.int32)
+            sketch = np.array(sketches, _U).reshape(-1, 2).view(np.int64)
             spots = np.concatenate(places).astype(np.int32) if places else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").take(pa.array(doc[has])), pa.array(number[has].astype(np.int32)), pa.array(ns, pa.int32()),
                     pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat)),
                     pa.ListArray.from_arrays(pa.array(at), pa.array(spots)),
+                    pa.array(sketch[:, 0]), pa.array(sketch[:, 1]),
                 ],
-                ["doc_id", "line", "n", "key", "prefix", "places"],
+                ["doc_id", "line", "n", "key", "prefix", "places", "s0", "s1"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, line int, n int, key binary, prefix array<long>, places array<int>")
+    return docs.mapInArrow(run, "doc_id long, line int, n int, key binary, prefix array<int>, places array<int>, s0 long, s1 long")
 
 
 def candidates(postings: DataFrame, percent: int, first_only: bool) -> DataFrame:
@@ -147,6 +154,7 @@ def candidates(postings: DataFrame, percent: int, first_only: bool) -> DataFrame
 
     def found(rows: pa.RecordBatch, edges: np.ndarray) -> pa.RecordBatch:
         n, place = (np.asarray(rows.column(c)).astype(np.int64) for c in ("n", "place"))
+        s0, s1 = (np.asarray(rows.column(c)).view(_U) for c in ("s0", "s1"))
         own, cross = np.asarray(rows.column("own")), np.asarray(rows.column("a")) != np.asarray(rows.column("b"))
         later = np.flatnonzero(np.asarray(rows.column("asks")))
         begin = np.repeat(edges[:-1], np.diff(edges))[later]
@@ -159,6 +167,8 @@ def candidates(postings: DataFrame, percent: int, first_only: bool) -> DataFrame
             overlap = needed_overlap(n[x], n[y], percent)
             # the tokens from this one on must suffice; of two blocks only pairs across count
             good = (np.minimum(n[x] - place[x], n[y] - place[y]) >= overlap) & ~(cross[y] & (own[x] == own[y]))
+            differ = np.bitwise_count(s0[x] ^ s0[y]) + np.bitwise_count(s1[x] ^ s1[y]).astype(np.int64)
+            good &= differ <= n[x] + n[y] - 2 * overlap
             hit = y[good]
             if first_only:
                 fresh = first[hit] < 0
@@ -191,8 +201,8 @@ def posted(classes: DataFrame, tokens: DataFrame | None = None, asking: DataFram
     Tokens with more than ``BLOCK`` lines are cut into blocks by a hash of the line; a line
     goes to every pair of its block with another, so no task holds more than two blocks.
     """
-    each = classes.select("doc_id", "line", "n", F.explode(F.arrays_zip("prefix", "places")).alias("t"))
-    each = each.select(F.col("t.prefix").alias("token"), "doc_id", "line", "n", F.col("t.places").alias("place"))
+    each = classes.select("doc_id", "line", "n", "s0", "s1", F.explode(F.arrays_zip("prefix", "places")).alias("t"))
+    each = each.select(F.col("t.prefix").alias("token"), "doc_id", "line", "n", "s0", "s1", F.col("t.places").alias("place"))
     if tokens is not None:
         each = each.join(tokens, "token", "left_semi")
     if asking is None:
@@ -206,7 +216,7 @@ def posted(classes: DataFrame, tokens: DataFrame | None = None, asking: DataFram
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = each.withColumn("own", own).withColumn("other", other)
     return dealt.select(
-        "token", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "doc_id", "line", "n", "place", "own", "asks",
+        "token", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "doc_id", "line", "n", "place", "s0", "s1", "own", "asks",
     )
 
 
@@ -259,7 +269,8 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, counters: int = COUN
     1. A pass counts tokens into a bounded table, which orders them by rarity.
     2. Another writes every line's set key and its prefix: the rarest tokens, of which two
        similar sets share one. Equal sets fold into their first line.
-    3. Lines that share a prefix token are tested by length and by the token's places; each
+    3. Lines that share a prefix token are tested by length, by the token's places and by a
+       sketch of parities, none of which loses a similar pair; each
        later line is verified against the earliest partner of each of its tokens. A group
        of n similar lines so costs about n pairs.
     4. Lines still without a match are verified against all their partners.
@@ -272,8 +283,8 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, counters: int = COUN
     texts = one.where("doc_id IS NOT NULL AND text IS NOT NULL")
     lines = written(line_sets(texts, token_counters(in_large_tasks(texts), counters), percent), "lines")
     first = F.min(F.struct("doc_id", "line")).alias("first")
-    classes = lines.groupBy("key").agg(first, F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("places").alias("places"))
-    classes = written(classes.select("key", "first.doc_id", "first.line", "n", "prefix", "places"), "classes")
+    classes = lines.groupBy("key").agg(first, F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("places").alias("places"), F.first("s0").alias("s0"), F.first("s1").alias("s1"))
+    classes = written(classes.select("first.doc_id", "first.line", "n", "prefix", "places", "s0", "s1"), "classes")
     long_enough = classes.where("n >= 2 AND size(prefix) > 0")
     tried = written(candidates(posted(long_enough), percent, first_only=True), "candidates")
     pairs = tried.select("doc_y", "line_y", "doc_x", "line_x").distinct()
