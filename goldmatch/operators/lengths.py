@@ -6,7 +6,6 @@ function, e.g. a pandas UDF around a real tokenizer.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -18,7 +17,7 @@ from pyspark.sql import types as T
 THRESHOLDS = [512, 1024, 1536, 2048]
 PERCENTILES = [0.5, 0.9, 0.95, 0.99]
 MAX_TOKENS = 1024
-TOKEN = r"\w+|[^\w\s]"
+TOKEN = r"[\p{L}\p{M}\p{N}_]+|[^\s\p{L}\p{M}\p{N}_]"
 
 Measure = Callable[[Column], Column]
 
@@ -42,7 +41,9 @@ def python_token_count() -> Measure:
 
     The function is local, so it travels by value and workers need not import it.
     """
-    pattern = re.compile(TOKEN, re.ASCII)
+    import regex
+
+    pattern = regex.compile(TOKEN.replace(r"\s", r"\t-\r "))
 
     def length_of(text: str) -> int:
         return sum(1 for _ in pattern.finditer(text))

@@ -39,8 +39,10 @@ def _compare(base: DataFrame, cand: DataFrame, dimension: str, keys: list[str])
     delta = F.col("candidate_pct") - F.col("baseline_pct")
     joined = (
         fixed_keys(base, keys)
-        .join(side(base, "baseline"), "key")
-        .join(side(cand, "candidate"), "key")
+        .join(side(base, "baseline"), "key", "left")
+        .join(side(cand, "candidate"), "key", "left")
+        .fillna(0.0, [f"{p}_pct" for p in ("baseline", "candidate")])
+        .fillna("0.00% (0/0)", [f"{p}_text" for p in ("baseline", "candidate")])
     )
     return joined.select(
         "position",

@@ -8,17 +8,12 @@ from pyspark.sql import functions as F
 from goldmatch.operators.ordinals import spread_positions
 from goldmatch.session import dimension, written
 
-TOP_K_KEYS = 100_000
 
-
-def validation_keys(
-    df: DataFrame, key: str, val_ratio: float = 0.1, seed: int = 42, top_k_keys: int = TOP_K_KEYS
-) -> DataFrame:
+def validation_keys(df: DataFrame, key: str, val_ratio: float = 0.1, seed: int = 42) -> DataFrame:
     """The keys of the validation half, in the order of a seeded hash.
 
     ``max(1, floor(n * ratio))`` keys, none when there is only one. The distinct
-    keys are stored once. A short list is taken with a top-k, a long one is ranked
-    by a distributed sort.
+    keys are stored once and ranked by a distributed sort.
     """
     keys = written(df.select(key).where(F.col(key).isNotNull()).distinct(), "split-keys")
     n = keys.count()
@@ -26,8 +21,6 @@ def validation_keys(
     hashed = keys.withColumn(
         "_hash", F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
     )
-    if n_val <= top_k_keys:
-        return hashed.orderBy("_hash", key).limit(n_val).select(key)
     ranked = spread_positions(hashed, [], ["_hash", key], "_rank")
     return ranked.where(F.col("_rank") < n_val).select(key)
 

@@ -24,14 +24,13 @@ from goldmatch.functions.cells import canonical_frame
 from goldmatch.functions.sqltext import extract_sql
 from goldmatch.operators.compare import differing_items
 from goldmatch.operators.verdict import executed_pairs, sample_results
-from goldmatch.session import dimension, scratch_path
+from goldmatch.session import dimension, scratch_path, written
 
 # Table name -> reader; a view belongs to a session, so tables are read per session.
 Database = dict[str, Callable[[SparkSession], DataFrame]]
 
 # Limits of a statement, and the dialect switches it runs under.
 TIMEOUT_SECONDS = 3.0
-MAX_ROWS = 5000
 DIALECT = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.ansi.enforceReservedKeywords": "true",
@@ -40,6 +39,7 @@ DIALECT = {
 ROWS_SCHEMA = "at long, cells array<string>, item_id long, side string"
 LOG_SCHEMA = "item_id long, side string, status string, error_message string, execution_time_ms double"
 _CANCEL_EVERY = 0.5
+_POLL_EVERY = 0.02
 CHUNK = 1000
 
 
@@ -55,8 +55,8 @@ class Statement:
 class Runner:
     """Executes statements over named databases of temporary views.
 
-    ``max_rows`` keeps only the first rows of every result; none compares whole
-    results. ``by_name`` aligns columns by name instead of by position.
+    ``max_rows`` keeps the first rows of every result, by position; none compares
+    whole results. ``by_name`` aligns columns by name instead of by position.
     """
 
     spark: SparkSession
@@ -116,8 +116,6 @@ class Runner:
     def _store(self, session: SparkSession, s: Statement) -> None:
         reject_commands(session, s.sql)
         result = session.sql(s.sql)
-        if self.max_rows is not None:
-            result = result.limit(self.max_rows)
         placed = canonical_frame(result, self.by_name).select(F.monotonically_increasing_id().alias("at"), "cells")
         placed.write.mode("overwrite").parquet(f"{self.rows_path}/item_id={s.item_id}/side={s.side}")
 
@@ -146,6 +144,9 @@ class Runner:
 class _Deadline:
     """Runs the body as a job group and cancels the group after ``seconds``.
 
+    The clock runs while tasks of the group run, so that waiting for other statements
+    doesn't count.
+
     A single cancel is lost when no job of the group has started yet, so it is
     repeated until the body returns.
     """
@@ -159,8 +160,20 @@ class _Deadline:
     def fired(self) -> bool:
         return self._fired.is_set()
 
+    def _running(self) -> bool:
+        tracker = self._sc.statusTracker()
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(self._group)]
+        stages = [tracker.getStageInfo(s) for j in jobs if j for s in j.stageIds]
+        return any(s and s.numActiveTasks for s in stages)
+
     def _watch(self) -> None:
-        wait = self._seconds
+        used, seen = 0.0, time.monotonic()
+        while used < self._seconds:
+            if self._done.wait(_POLL_EVERY):
+                return
+            now = time.monotonic()
+            used, seen = used + (now - seen if self._running() else 0.0), now
+        wait = 0.0
         while not self._done.wait(wait):
             self._fired.set()
             self._sc.cancelJobGroup(self._group)
@@ -182,16 +195,13 @@ class ReadOnlyError(Exception):
 
 
 def reject_commands(session: SparkSession, sql: str) -> None:
-    """Raise unless ``sql`` is a query. Commands run when ``session.sql`` sees them,
-    so the text is first analysed inside a subquery, where only a query can stand;
-    what parses outside but not inside is a command."""
-    body = sql.strip().rstrip(";")
+    """Raise unless ``sql`` is a query. Commands run when ``session.sql`` sees them, so
+    the text goes to the session's parser first: a command parses, but not as a query."""
+    parser, body = session._jsparkSession.sessionState().sqlParser(), sql.strip().rstrip(";")
     try:
-        session.sql(f"SELECT 1 FROM (\n{body}\n) AS q LIMIT 0")
-    except PySparkException as e:
-        if e.getCondition() != "PARSE_SYNTAX_ERROR":
-            return  # the statement itself will report it
-        session.sql(f"EXPLAIN {body}")  # a syntax error is raised again, with its own text
+        parser.parseQuery(body)
+    except PySparkException:
+        parser.parsePlan(f"EXPLAIN {body}")  # a syntax error is raised again, with its own text
         raise ReadOnlyError("attempt to write a readonly database") from None
 
 
@@ -220,16 +230,25 @@ def evaluate(
     """(sample results, execution log) of items with ``gold_sql`` and ``raw_output``.
 
     Each item costs two driver-submitted statements, so their texts pass the driver,
-    a chunk at a time; their results do not.
+    a partition at a time; their results do not. The items are stored first, so what
+    produced them, e.g. a generator, runs once. With ``max_rows`` the samples carry
+    ``truncated``: whether a result of the item had more rows.
     """
     spark = items.sparkSession
     if limit:
         items = items.orderBy("item_id").limit(limit)
+    items = written(items, "items")
     texts = items.select("item_id", "db_id", "gold_sql", extract_sql(F.col("raw_output")).alias("pred"))
     statements = (
         Statement(r["item_id"], side, r["db_id"], r[column])
         for r in texts.toLocalIterator()
         for side, column in (("gold", "gold_sql"), ("pred", "pred"))
     )
-    log, rows = Runner(spark, databases, **options).run(statements)
-    return sample_results(items, executed_pairs(log), differing_items(rows)), log
+    runner = Runner(spark, databases, **options)
+    log, rows = runner.run(statements)
+    if runner.max_rows is None:
+        return sample_results(items, executed_pairs(log), differing_items(rows)), log
+    kept = rows.where(F.col("row_no") < runner.max_rows)
+    longer = rows.where(F.col("row_no") >= runner.max_rows).select("item_id", F.lit(True).alias("truncated")).distinct()
+    samples = sample_results(items, executed_pairs(log), differing_items(kept)).join(longer, "item_id", "left")
+    return samples.withColumn("truncated", F.coalesce("truncated", F.lit(False))), log

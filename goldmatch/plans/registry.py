@@ -17,7 +17,7 @@ from goldmatch.plans import pairs as PC
 from goldmatch.plans import workload as W
 from goldmatch.plans.evaluate import Runner, Statement, evaluate, parquet_database
 from goldmatch.plans.shapes import SHAPES, SQL
-from goldmatch.session import dimension, scratch_path, spread, written
+from goldmatch.session import dimension, scratch_path, written
 from goldmatch.sources import inventory, items, reports, samples
 from goldmatch.streaming.incremental import evaluated, incremental_eval
 
@@ -175,7 +175,7 @@ def exists_guard(t):
 
 @query
 def overlength_cut(t):
-    cut = lengths.overlength_cut(spread(t("documents").select("doc_id", "text")), "text", ["doc_id"])
+    cut = lengths.overlength_cut(t("documents").select("doc_id", "text"), "text", ["doc_id"])
     return cut.select(
         "doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), "overlength",
         F.size("tokens").cast("long").alias("n_kept"), _md5(F.array_join("tokens", " ")).alias("kept_md5"),
@@ -300,8 +300,8 @@ def type_table(t):
 
 
 def _token_lengths(t):
-    docs = spread(t("documents").select("text")).select(F.lit("documents").alias("part"), "text")
-    talk = spread(t("conversations").select("text")).select(F.lit("conversations").alias("part"), "text")
+    docs = t("documents").select("text").select(F.lit("documents").alias("part"), "text")
+    talk = t("conversations").select("text").select(F.lit("conversations").alias("part"), "text")
     return docs.unionByName(talk).select("part", lengths.token_count(F.col("text")).cast("long").alias("len"))
 
 
@@ -312,7 +312,7 @@ def length_profile(t):
 
 @query
 def length_coverage(t):
-    docs = spread(t("documents").select("text"))
+    docs = t("documents").select("text")
     measured = docs.select(lengths.token_count(F.col("text")).cast("long").alias("len"))
     return lengths.length_coverage(measured)
 
@@ -520,7 +520,7 @@ def merge_tool_turns(t):
 
 @query
 def text_lengths(t):
-    docs = spread(t("documents").select("doc_id", "text"))
+    docs = t("documents").select("doc_id", "text")
     return docs.select(
         "doc_id", lengths.token_count(F.col("text")).cast("long").alias("n_tokens"),
         F.length("text").cast("long").alias("n_chars"),
@@ -591,7 +591,7 @@ def with_predictions(t):
 @query
 def length_udf(t):
     measure = lengths.python_token_count()
-    docs = spread(t("documents").select("doc_id", "text"))
+    docs = t("documents").select("doc_id", "text")
     return docs.select("doc_id", measure(F.col("text")).cast("long").alias("n_tokens"))
 
 

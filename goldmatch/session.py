@@ -73,12 +73,3 @@ def dimension(df: DataFrame, label: str, max_bytes: int = BROADCAST_BYTES) -> Da
     size = stored.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
     return stored.hint("broadcast" if size <= max_bytes else "merge")
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give costly per-row work all cores when the input has few splits.
-
-    A scan with enough splits of its own, i.e. any large table, is left alone and
-    not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 
@@ -199,8 +200,8 @@ def test_group_split(spark, n_keys, ratio, want):
 def test_group_split_with_many_keys_ranks_by_sort(spark):
     df = spark.range(500).select(F.col("id").cast("string").alias("k"))
     short = {r.k for r in split.validation_keys(df, "k", 0.2).collect()}
-    long = {r.k for r in split.validation_keys(df, "k", 0.2, top_k_keys=0).collect()}
-    assert short == long and len(short) == 100
+    by_hash = sorted(map(str, range(500)), key=lambda k: (hashlib.md5(f"42|{k}".encode()).hexdigest(), k))
+    assert short == set(by_hash[:100])
     assert {r.k for r in split.validation_keys(df, "k", 0.2, seed=7).collect()} != short
 
 

@@ -1,3 +1,4 @@
+import re
 import importlib.util
 from pathlib import Path
 
@@ -9,7 +10,7 @@ from conftest import SMALL
 from goldmatch.operators import compare, metrics, verdict
 from goldmatch.plans import shapes
 from goldmatch.plans import workload as W
-from goldmatch.session import dimension, scratch_path, spread, written
+from goldmatch.session import dimension, scratch_path, written
 from goldmatch.sources import reports
 from goldmatch.streaming.incremental import evaluated, incremental_eval
 
@@ -41,7 +42,8 @@ def test_query_agrees_with_sql(spark, con, name):
 
 
 def test_registry_is_consistent():
-    without_sql = set(entry.queries()) - set(entry.oracle_sql())
+    optional = re.compile(r"op\d+_|pipeline$")
+    without_sql = {n for n in set(entry.queries()) - set(entry.oracle_sql()) if not optional.match(n)}
     assert without_sql == {"execution_times", "statement_timeout"}
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
@@ -89,11 +91,9 @@ def test_comparison_moves_rows_once(table):
     assert text.split("== Physical Plan ==")[1].split("\n\n")[0].count("Exchange") == 1
 
 
-def test_written_survives_and_spread_leaves_large_scans(spark, table):
+def test_written_survives(spark, table):
     df = written(spark.range(10).withColumn("r", F.rand()), "t")
     assert df.collect() == df.collect()
-    assert spread(spark.range(0, 100, 1, 8)).rdd.getNumPartitions() == 8
-    assert spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == 4
 
 
 def test_dimension_is_broadcast_by_its_real_size(spark):
@@ -126,3 +126,10 @@ def test_incremental_run_resumes(spark, table):
     assert done.count() == done.select("item_id").distinct().count() == joined.count() == 1500
     key = lambda df: sorted(map(tuple, df.select("dimension", "key", "total", "correct", "valid").collect()))
     assert key(metrics.metrics_long(done)) == key(metrics.metrics_long(W.samples(table)))
+
+
+def test_more_batches_than_recent_progress_holds(spark):
+    root = scratch_path(spark, "many")
+    spark.range(0, 120, 1, 120).write.parquet(f"{root}/in")
+    n = incremental_eval(spark, f"{root}/in", "id long", lambda b: b, f"{root}/out", f"{root}/checkpoint", files_per_batch=1)
+    assert n == 120 and evaluated(spark, f"{root}/out", "id long").count() == 120
