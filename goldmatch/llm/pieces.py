@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 
 from goldmatch.llm.text import buffer_of, chunks, span_hashes
 
-CHUNK_BYTES = 10 << 20
+CHUNK_BYTES = 5 << 20
 KNOWN_PIECES = 150_000
 LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 # The patterns of the byte-level and of the lower-cased word tokenizer, for
