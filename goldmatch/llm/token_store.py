@@ -34,7 +34,8 @@ from goldmatch.llm.text import buffer_of, chunks
 
 SHARD_IDS, ROUNDS, ROUND_RULES, MIN_COUNT = 1 << 19, 3, 4096, 16
 SLOTS = 1 << 18
-ROW_GROUP_BYTES = 8 << 20
+# a writer, a reader and an Arrow batch hold few shards: sizes are looked at after each row
+LAYOUT = {"parquet.block.size": 8 << 20} | {f"parquet.{x}.size.row.check.{m}": 1 for x in ("page", "block") for m in ("min", "max")}
 
 SCHEMA = (
     "part int, shard int, n_ids long, doc_ids array<long>, doc_starts array<long>, doc_symbols array<long>, "
@@ -218,7 +219,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, **h
     doc_ids come first. An empty table makes an empty store. Other columns are left out.
     """
     shards = encoded_shards(docs, tokenizer, end_id, **how)
-    shards.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)  # a writer and a reader hold one row group
+    shards.write.options(**LAYOUT).parquet(path)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
