@@ -2,29 +2,29 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from goldmatch.llm.pieces import in_large_tasks
-from goldmatch.llm.text import buffer_of, chunks, runs, span_hashes, words
+from goldmatch.llm.text import buffer_of, chunks, mix, runs, span_hashes, words
 from goldmatch.session import dimension, written
 
-PERCENT, COUNTERS, SLICES, BLOCK = 80, 1 << 22, 64, 8192
+PERCENT, COUNTERS, SLICES, BLOCK, CHUNK = 80, 1 << 22, 64, 8192, 4 << 20
 _U = np.uint64
 
 
-
 def needed_overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     """The least overlap of sets of n and m tokens with 100 * overlap >= percent * union."""
     return -(-percent * (n + m) // (100 + percent))
 
 
-def prefix_length(n: int, percent: int) -> int:
+def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     """How many of a set's rarest tokens suffice to share one with every similar set."""
     return n - -(-percent * n // 100) + 1
 
@@ -38,6 +38,22 @@ def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, doc, number
 
 
+def distinct_tokens(hashed: np.ndarray, line: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Line and token of the distinct tokens of each line; ``line`` has the line of every word.
+
+    They come by line, and in a line by rarity in ``counts``, then by hash. All words are
+    numbered in that order once, so that one sort of integers serves every line.
+    """
+    codes, kinds = pd.factorize(hashed)
+    kinds = np.asarray(kinds, _U)
+    order = np.argsort(kinds) if counts is None else np.lexsort((kinds, counts[(kinds % _U(len(counts))).astype(np.int64)]))
+    rank = np.empty(len(kinds), np.int64)
+    rank[order] = np.arange(len(kinds))
+    keys = np.unique(line * max(len(kinds), 1) + rank[codes])
+    line, place = np.divmod(keys, max(len(kinds), 1))
+    return line, kinds[order[place]]
+
+
 def token_counters(docs: DataFrame, counters: int) -> np.ndarray:
     """How often tokens occur in all texts, by hash modulo ``counters``.
 
@@ -48,7 +64,7 @@ def token_counters(docs: DataFrame, counters: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(counters, np.int64)
-        for batch in chunks(batches, size=4 << 20):
+        for batch in chunks(batches, size=CHUNK):
             data, offsets = buffer_of(batch.column("text"))
             starts, ends, _ = words(data, offsets)
             total += np.bincount((span_hashes(data, starts, ends) % _U(counters)).astype(np.int64), minlength=counters)
@@ -72,10 +88,10 @@ def token_counters(docs: DataFrame, counters: int) -> np.ndarray:
 
 
 def line_sets(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
-    """Lines with a token: doc_id, line, n (distinct tokens), key (of the set), prefix, places, s0, s1.
+    """Lines with a token: doc_id, line, n (distinct tokens), k0, k1 (key of the set), prefix, s0, s1.
 
-    ``prefix`` has the rarest tokens, ``places`` their places in the order of rarity.
-    Tokens that occur once in all texts stand in no other line and are left out of it. Its
+    ``prefix`` has the rarest tokens: 32 bits of each above its place in the order of rarity.
+    Tokens that occur once in all texts stand in no other line and are left out of it. The
     32-bit numbers only propose pairs. ``s0`` and ``s1`` are 128 parities: each token turns
     one bit, so two sets differ in at least as many tokens as their sketches in bits.
     """
@@ -84,55 +100,42 @@ def line_sets(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
-        for batch in chunks(batches, size=4 << 20):
+        for batch in chunks(batches, size=CHUNK):
             data, offsets = buffer_of(batch.column("text"))
             starts, ends, doc, number = line_spans(data, offsets)
             w_starts, w_ends, _ = words(data, offsets)
-            hashed = span_hashes(data, w_starts, w_ends)
-            rare = often[(hashed % _U(counters)).astype(np.int64)]
-            a, b = np.searchsorted(w_starts, starts), np.searchsorted(w_starts, ends)
-            has = np.flatnonzero(b > a)
-            ns, keys, prefixes, places, sizes, sketches = [], [], [], [], [], []
-            bit, half = _U(1) << (hashed >> _U(20) & _U(63)), (hashed >> _U(26) & _U(1)).astype(bool)
-            for i in has:
-                tokens, at = np.unique(hashed[a[i] : b[i]], return_index=True)
-                n, count = len(tokens), rare[a[i] : b[i]][at]
-                p = prefix_length(n, percent)
-                ns.append(n)
-                keys.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
-                bits, upper = bit[a[i] : b[i]][at], half[a[i] : b[i]][at]
-                sketches.append((np.bitwise_xor.reduce(bits[upper]), np.bitwise_xor.reduce(bits[~upper])))
-                if n > 1:
-                    first = np.lexsort((tokens, count))[:p]
-                    use = np.flatnonzero(count[first] > 1)
-                    prefixes.append(tokens[first[use]])
-                    places.append(use)
-                    sizes.append(len(use))
-                else:
-                    sizes.append(0)
+            if not len(w_starts):
+                continue
+            in_line = np.searchsorted(starts, w_starts, "right") - 1
+            of, tokens = distinct_tokens(span_hashes(data, w_starts, w_ends), in_line, often)
+            first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            has, n = of[first], np.diff(np.append(first, len(of)))
+            keys = [np.add.reduceat(mix(tokens ^ _U(salt)), first).view(np.int64) for salt in (0x6A09E667F3BCC908, 0xBB67AE8584CAA73B)]
+            bit, upper = _U(1) << (tokens >> _U(20) & _U(63)), tokens >> _U(26) & _U(1)
+            sketch = [np.bitwise_xor.reduceat(np.where(upper == _U(half), bit, _U(0)), first).view(np.int64) for half in (1, 0)]
+            place = np.arange(len(of)) - np.repeat(first, n)
+            use = (place < np.repeat(np.where(n > 1, prefix_length(n, percent), 0), n)) & (often[(tokens % _U(counters)).astype(np.int64)] > 1)
+            sizes = np.add.reduceat(use.astype(np.int64), first)
+            prefix = (tokens[use] << _U(32) | place[use].astype(_U)).view(np.int64)
             at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            flat = np.concatenate(prefixes).astype(np.uint32).view(np.int32) if prefixes else np.zeros(0, np.int32)
-            sketch = np.array(sketches, _U).reshape(-1, 2).view(np.int64)
-            spots = np.concatenate(places).astype(np.int32) if places else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id").take(pa.array(doc[has])), pa.array(number[has].astype(np.int32)), pa.array(ns, pa.int32()),
-                    pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat)),
-                    pa.ListArray.from_arrays(pa.array(at), pa.array(spots)),
-                    pa.array(sketch[:, 0]), pa.array(sketch[:, 1]),
+                    batch.column("doc_id").take(pa.array(doc[has])), pa.array(number[has].astype(np.int32)), pa.array(n.astype(np.int32)),
+                    pa.array(keys[0]), pa.array(keys[1]), pa.ListArray.from_arrays(pa.array(at), pa.array(prefix)),
+                    pa.array(sketch[0]), pa.array(sketch[1]),
                 ],
-                ["doc_id", "line", "n", "key", "prefix", "places", "s0", "s1"],
+                ["doc_id", "line", "n", "k0", "k1", "prefix", "s0", "s1"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, line int, n int, key binary, prefix array<int>, places array<int>, s0 long, s1 long")
+    return docs.mapInArrow(run, "doc_id long, line int, n int, k0 long, k1 long, prefix array<long>, s0 long, s1 long")
 
 
 def candidates(postings: DataFrame, percent: int, first_only: bool) -> DataFrame:
     """Pairs (later line, earlier line) that pass the filters, of ``postings`` by token.
 
     With ``first_only`` each later line gets the earliest partner of each token and whether
-    it has more there (2 partners) or not (1), else all of them. Rows come by block pair of a token, in
-    the order of the lines, and are compared as arrays, a step at a time.
+    it has more there (2 partners) or not (1), else all of them. Rows come by block pair of a
+    token; they are put in the order of the lines and compared as arrays, a step at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,8 +145,8 @@ def candidates(postings: DataFrame, percent: int, first_only: bool) -> DataFrame
             if not whole:
                 continue
             rows = whole[0]
-            group = np.stack([np.asarray(rows.column(c)).astype(np.int64) for c in ("token", "a", "b")])
-            change = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1
+            group = np.asarray(rows.column("pair"))
+            change = np.flatnonzero(group[1:] != group[:-1]) + 1
             if not len(change):
                 carried = rows
                 continue
@@ -153,10 +156,12 @@ def candidates(postings: DataFrame, percent: int, first_only: bool) -> DataFrame
             yield found(carried, np.array([0, carried.num_rows]))
 
     def found(rows: pa.RecordBatch, edges: np.ndarray) -> pa.RecordBatch:
-        n, place = (np.asarray(rows.column(c)).astype(np.int64) for c in ("n", "place"))
-        s0, s1 = (np.asarray(rows.column(c)).view(_U) for c in ("s0", "s1"))
-        own, cross = np.asarray(rows.column("own")), np.asarray(rows.column("a")) != np.asarray(rows.column("b"))
-        later = np.flatnonzero(np.asarray(rows.column("asks")))
+        column = {c: np.asarray(rows.column(c)) for c in rows.schema.names}
+        order = np.lexsort((column["line"], column["doc_id"], column["pair"]))
+        doc, line, own, cross, asks = (column[c][order] for c in ("doc_id", "line", "own", "cross", "asks"))
+        n, place = (column[c][order].astype(np.int64) for c in ("n", "place"))
+        s0, s1 = (column[c][order].view(_U) for c in ("s0", "s1"))
+        later = np.flatnonzero(asks)
         begin = np.repeat(edges[:-1], np.diff(edges))[later]
         partners, first = np.zeros(len(n), np.int64), np.full(len(n), -1)
         pairs_y, pairs_x = [], []
@@ -186,12 +191,11 @@ def candidates(postings: DataFrame, percent: int, first_only: bool) -> DataFrame
         else:
             y, x = (np.concatenate(p) if p else np.zeros(0, np.int64) for p in (pairs_y, pairs_x))
             count = np.ones(len(y), np.int64)
-        take = lambda c, i: rows.column(c).take(pa.array(i))
         return pa.RecordBatch.from_arrays(
-            [take("doc_id", y), take("line", y), take("doc_id", x), take("line", x), pa.array(count)], ["doc_y", "line_y", "doc_x", "line_x", "partners"]
+            [pa.array(doc[y]), pa.array(line[y]), pa.array(doc[x]), pa.array(line[x]), pa.array(count)], ["doc_y", "line_y", "doc_x", "line_x", "partners"]
         )
 
-    ordered = postings.repartition("token", "a", "b").sortWithinPartitions("token", "a", "b", "doc_id", "line")
+    ordered = postings.repartition("pair").sortWithinPartitions("pair")
     return ordered.mapInArrow(run, "doc_y long, line_y int, doc_x long, line_x int, partners long")
 
 
@@ -200,9 +204,11 @@ def posted(classes: DataFrame, tokens: DataFrame | None = None, asking: DataFram
 
     Tokens with more than ``BLOCK`` lines are cut into blocks by a hash of the line; a line
     goes to every pair of its block with another, so no task holds more than two blocks.
+    ``pair`` is a hash of token and blocks: rows that meet by its chance are only tested more.
     """
-    each = classes.select("doc_id", "line", "n", "s0", "s1", F.explode(F.arrays_zip("prefix", "places")).alias("t"))
-    each = each.select(F.col("t.prefix").alias("token"), "doc_id", "line", "n", "s0", "s1", F.col("t.places").alias("place"))
+    each = classes.select("doc_id", "line", "n", "s0", "s1", F.explode("prefix").alias("t"))
+    token, place = F.shiftright("t", 32).cast("int"), F.col("t").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    each = each.select(token.alias("token"), "doc_id", "line", "n", "s0", "s1", place.alias("place"))
     if tokens is not None:
         each = each.join(tokens, "token", "left_semi")
     if asking is None:
@@ -215,9 +221,8 @@ def posted(classes: DataFrame, tokens: DataFrame | None = None, asking: DataFram
     own = F.pmod(F.xxhash64("doc_id", "line"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = each.withColumn("own", own).withColumn("other", other)
-    return dealt.select(
-        "token", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "doc_id", "line", "n", "place", "s0", "s1", "own", "asks",
-    )
+    pair = F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("pair")
+    return dealt.select(pair, "doc_id", "line", "n", "place", "s0", "s1", "own", (F.col("own") != F.col("other")).alias("cross"), "asks")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -227,31 +232,38 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     texts = docs.join(dimension(wanted, "wanted"), "doc_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, size=4 << 20):
+        for batch in chunks(batches, size=CHUNK):
             data, offsets = buffer_of(batch.column("text"))
             starts, ends, doc, number = line_spans(data, offsets)
             w_starts, w_ends, _ = words(data, offsets)
-            hashed = span_hashes(data, w_starts, w_ends)
-            a, b = np.searchsorted(w_starts, starts), np.searchsorted(w_starts, ends)
-            first = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-            ids, lines, tokens = [], [], []
-            for i, wanted in enumerate(batch.column("lines").to_pylist()):
-                for j in first[i] + np.flatnonzero(np.isin(number[first[i] : first[i + 1]], wanted)):
-                    ids.append(i)
-                    lines.append(number[j])
-                    tokens.append(np.unique(hashed[a[j] : b[j]]).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(lines, pa.int32()), pa.array(tokens, pa.binary())], ["doc_id", "line", "tokens"]
-            )
+            in_line = np.searchsorted(starts, w_starts, "right") - 1
+            lists = batch.column("lines")
+            asked = np.repeat(np.arange(batch.num_rows), np.asarray(pc.list_value_length(lists))) << 32 | np.asarray(lists.flatten()).astype(np.int64)
+            use = np.isin(doc << 32 | number, asked)[in_line]
+            of, tokens = distinct_tokens(span_hashes(data, w_starts, w_ends)[use], in_line[use])
+            if not len(of):
+                continue
+            first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            at = np.append(first, len(of)).astype(np.int32) * np.int32(8)
+            sets = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(at), pa.py_buffer(tokens)])
+            ids = batch.column("doc_id").take(pa.array(doc[of[first]]))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(number[of[first]].astype(np.int32)), sets], ["doc_id", "line", "tokens"])
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("tokens_x"), batch.column("tokens_y"), strict=True):
-                both = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)]), kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= percent * (len(both) - shared))
-            yield batch.select(["doc_y", "line_y"]).filter(pa.array(keep, pa.bool_()))
+            pair, tokens, sizes = [], [], []
+            for side in ("tokens_x", "tokens_y"):
+                sets = batch.column(side)
+                n = np.asarray(pc.binary_length(sets)).astype(np.int64) // 8
+                pair.append(np.repeat(np.arange(len(n)), n))
+                tokens.append(np.frombuffer(b"".join(sets.to_pylist()), _U))
+                sizes.append(n)
+            codes, kinds = pd.factorize(np.concatenate(tokens))
+            both = np.sort(np.concatenate(pair) * max(len(kinds), 1) + codes)
+            twice = both[1:][both[1:] == both[:-1]] // max(len(kinds), 1)
+            shared = np.bincount(twice, minlength=batch.num_rows)
+            keep = 100 * shared >= percent * (sizes[0] + sizes[1] - shared)
+            yield batch.select(["doc_y", "line_y"]).filter(pa.array(keep))
 
     found = written(texts.select("doc_id", "text", "lines").mapInArrow(sets, "doc_id long, line int, tokens binary"), "sets")
     for e in "xy":
@@ -283,8 +295,8 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, counters: int = COUN
     texts = one.where("doc_id IS NOT NULL AND text IS NOT NULL")
     lines = written(line_sets(texts, token_counters(in_large_tasks(texts), counters), percent), "lines")
     first = F.min(F.struct("doc_id", "line")).alias("first")
-    classes = lines.groupBy("key").agg(first, F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("places").alias("places"), F.first("s0").alias("s0"), F.first("s1").alias("s1"))
-    classes = written(classes.select("first.doc_id", "first.line", "n", "prefix", "places", "s0", "s1"), "classes")
+    classes = lines.groupBy("k0", "k1").agg(first, *[F.first(c).alias(c) for c in ("n", "prefix", "s0", "s1")])
+    classes = written(classes.select("first.doc_id", "first.line", "n", "prefix", "s0", "s1"), "classes")
     long_enough = classes.where("n >= 2 AND size(prefix) > 0")
     tried = written(candidates(posted(long_enough), percent, first_only=True), "candidates")
     pairs = tried.select("doc_y", "line_y", "doc_x", "line_x").distinct()
@@ -292,7 +304,7 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, counters: int = COUN
     more = tried.where("partners > 1").select("doc_y", "line_y").distinct().join(gone, ["doc_y", "line_y"], "left_anti")
     more = written(more.select(F.col("doc_y").alias("doc_id"), F.col("line_y").alias("line")), "open")
     if not more.isEmpty():
-        tokens = long_enough.join(more, ["doc_id", "line"], "left_semi").select(F.explode("prefix").alias("token")).distinct()
+        tokens = long_enough.join(more, ["doc_id", "line"], "left_semi").select(F.explode(F.transform("prefix", lambda t: F.shiftright(t, 32).cast("int"))).alias("token")).distinct()
         rest = candidates(posted(long_enough, tokens, more), percent, first_only=False).select("doc_y", "line_y", "doc_x", "line_x").distinct()
         rest = written(rest.join(pairs, ["doc_y", "line_y", "doc_x", "line_x"], "left_anti"), "rest")
         gone = written(gone.union(verified(rest, texts, percent)), "gone")
