@@ -8,14 +8,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from goldmatch.llm.pieces import in_large_tasks
 from goldmatch.llm.text import buffer_of, chunks, mix, runs, span_hashes, words
 from goldmatch.session import dimension, written
 
-PERCENT, COUNTERS, SLICES, BLOCK, CHUNK = 80, 1 << 22, 64, 8192, 4 << 20
+PERCENT, COUNTERS, SLICES, BLOCK, CHUNK = 80, 1 << 22, 64, 8192, 2 << 20
 _U = np.uint64
 
 
@@ -67,7 +67,8 @@ def token_counters(docs: DataFrame, counters: int) -> np.ndarray:
         for batch in chunks(batches, size=CHUNK):
             data, offsets = buffer_of(batch.column("text"))
             starts, ends, _ = words(data, offsets)
-            total += np.bincount((span_hashes(data, starts, ends) % _U(counters)).astype(np.int64), minlength=counters)
+            codes, kinds = pd.factorize(span_hashes(data, starts, ends))
+            np.add.at(total, (np.asarray(kinds, _U) % _U(counters)).astype(np.int64), np.bincount(codes, minlength=len(kinds)))
         parts = np.minimum(total, (1 << 31) - 1).astype("<i4").reshape(SLICES, width)
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["slice", "counts"])
 
@@ -158,7 +159,7 @@ def candidates(postings: DataFrame, percent: int, first_only: bool) -> DataFrame
     def found(rows: pa.RecordBatch, edges: np.ndarray) -> pa.RecordBatch:
         column = {c: np.asarray(rows.column(c)) for c in rows.schema.names}
         order = np.lexsort((column["line"], column["doc_id"], column["pair"]))
-        doc, line, own, cross, asks = (column[c][order] for c in ("doc_id", "line", "own", "cross", "asks"))
+        pair, doc, line, own, cross, asks = (column[c][order] for c in ("pair", "doc_id", "line", "own", "cross", "asks"))
         n, place = (column[c][order].astype(np.int64) for c in ("n", "place"))
         s0, s1 = (column[c][order].view(_U) for c in ("s0", "s1"))
         later = np.flatnonzero(asks)
@@ -192,37 +193,40 @@ def candidates(postings: DataFrame, percent: int, first_only: bool) -> DataFrame
             y, x = (np.concatenate(p) if p else np.zeros(0, np.int64) for p in (pairs_y, pairs_x))
             count = np.ones(len(y), np.int64)
         return pa.RecordBatch.from_arrays(
-            [pa.array(doc[y]), pa.array(line[y]), pa.array(doc[x]), pa.array(line[x]), pa.array(count)], ["doc_y", "line_y", "doc_x", "line_x", "partners"]
+            [pa.array(c) for c in (doc[y], line[y], doc[x], line[x], count, pair[y])], ["doc_y", "line_y", "doc_x", "line_x", "partners", "pair"]
         )
 
     ordered = postings.repartition("pair").sortWithinPartitions("pair")
-    return ordered.mapInArrow(run, "doc_y long, line_y int, doc_x long, line_x int, partners long")
+    return ordered.mapInArrow(run, "doc_y long, line_y int, doc_x long, line_x int, partners long, pair long")
 
 
-def posted(classes: DataFrame, tokens: DataFrame | None = None, asking: DataFrame | None = None) -> DataFrame:
+def _token(t: Column) -> Column:
+    return F.shiftright(t, 32).cast("int")
+
+
+def large_tokens(classes: DataFrame) -> DataFrame:
+    """token, blocks: the prefix tokens with more than ``BLOCK`` lines."""
+    counts = classes.select(F.explode(F.transform("prefix", _token)).alias("token")).groupBy("token").count()
+    large = counts.where(F.col("count") > BLOCK)
+    return dimension(large.select("token", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "blocks")
+
+
+def posted(classes: DataFrame, blocks: DataFrame) -> DataFrame:
     """A row per prefix token of each class, ready for ``candidates``.
 
-    Tokens with more than ``BLOCK`` lines are cut into blocks by a hash of the line; a line
-    goes to every pair of its block with another, so no task holds more than two blocks.
+    Large tokens are cut into blocks by a hash of the line; a line goes to every pair of
+    its block with another, so no task holds more than two blocks.
     ``pair`` is a hash of token and blocks: rows that meet by its chance are only tested more.
     """
     each = classes.select("doc_id", "line", "n", "s0", "s1", F.explode("prefix").alias("t"))
-    token, place = F.shiftright("t", 32).cast("int"), F.col("t").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
-    each = each.select(token.alias("token"), "doc_id", "line", "n", "s0", "s1", place.alias("place"))
-    if tokens is not None:
-        each = each.join(tokens, "token", "left_semi")
-    if asking is None:
-        each = each.withColumn("asks", F.lit(True))
-    else:
-        each = each.join(asking.withColumn("asks", F.lit(True)), ["doc_id", "line"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
-    large = each.groupBy("token").count().where(F.col("count") > BLOCK)
-    blocks = dimension(large.select("token", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "blocks")
+    place = F.col("t").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    each = each.select(_token(F.col("t")).alias("token"), "doc_id", "line", "n", "s0", "s1", place.alias("place"))
     each = each.join(blocks, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("doc_id", "line"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = each.withColumn("own", own).withColumn("other", other)
     pair = F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("pair")
-    return dealt.select(pair, "doc_id", "line", "n", "place", "s0", "s1", "own", (F.col("own") != F.col("other")).alias("cross"), "asks")
+    return dealt.select(pair, "doc_id", "line", "n", "place", "s0", "s1", "own", (F.col("own") != F.col("other")).alias("cross"), F.lit(True).alias("asks"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -285,7 +289,8 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, counters: int = COUN
        sketch of parities, none of which loses a similar pair; each
        later line is verified against the earliest partner of each of its tokens. A group
        of n similar lines so costs about n pairs.
-    4. Lines still without a match are verified against all their partners.
+    4. Lines still without a match are verified against all partners of the tokens that
+       have more than the one tried.
 
     doc_id names a text: repeated rows of a document count once and get equal results, and
     rows with a null doc_id keep all lines, as do null and empty texts. ``n_lines`` counts
@@ -298,14 +303,16 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, counters: int = COUN
     classes = lines.groupBy("k0", "k1").agg(first, *[F.first(c).alias(c) for c in ("n", "prefix", "s0", "s1")])
     classes = written(classes.select("first.doc_id", "first.line", "n", "prefix", "s0", "s1"), "classes")
     long_enough = classes.where("n >= 2 AND size(prefix) > 0")
-    tried = written(candidates(posted(long_enough), percent, first_only=True), "candidates")
+    postings = posted(long_enough, large_tokens(long_enough))
+    tried = written(candidates(postings, percent, first_only=True), "candidates")
     pairs = tried.select("doc_y", "line_y", "doc_x", "line_x").distinct()
     gone = written(verified(pairs, texts, percent), "gone")
-    more = tried.where("partners > 1").select("doc_y", "line_y").distinct().join(gone, ["doc_y", "line_y"], "left_anti")
-    more = written(more.select(F.col("doc_y").alias("doc_id"), F.col("line_y").alias("line")), "open")
+    more = tried.where("partners > 1").join(gone, ["doc_y", "line_y"], "left_anti")
+    more = written(more.select("pair", F.col("doc_y").alias("doc_id"), F.col("line_y").alias("line")).distinct(), "open")
     if not more.isEmpty():
-        tokens = long_enough.join(more, ["doc_id", "line"], "left_semi").select(F.explode(F.transform("prefix", lambda t: F.shiftright(t, 32).cast("int"))).alias("token")).distinct()
-        rest = candidates(posted(long_enough, tokens, more), percent, first_only=False).select("doc_y", "line_y", "doc_x", "line_x").distinct()
+        again = postings.drop("asks").join(dimension(more.select("pair").distinct(), "pairs"), "pair", "left_semi")
+        again = again.join(more.withColumn("asks", F.lit(True)), ["pair", "doc_id", "line"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+        rest = candidates(again, percent, first_only=False).select("doc_y", "line_y", "doc_x", "line_x").distinct()
         rest = written(rest.join(pairs, ["doc_y", "line_y", "doc_x", "line_x"], "left_anti"), "rest")
         gone = written(gone.union(verified(rest, texts, percent)), "gone")
     stays = classes.join(gone, (F.col("doc_id") == F.col("doc_y")) & (F.col("line") == F.col("line_y")), "left_anti").select("doc_id", "line", F.lit(True).alias("stays"))
