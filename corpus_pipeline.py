@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from goldmatch.llm import linededup, mixing, neardup, packing, quality
-from goldmatch.session import written
+from goldmatch.session import dimension, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -22,12 +22,16 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat earlier ones; one that loses all goes.
 
-    doc_id names a text: a repeated row of the table comes once.
+    doc_id names a text: a repeated row of the table comes once, rows without a doc_id
+    stay as they are. Only rows of repeated ids are grouped, and the lists that meet the
+    texts are measured, so the texts themselves stay where they are.
     """
-    once = docs.dropDuplicates(["doc_id"])
-    removed = linededup.repeated_lines(once.select("doc_id", "text"))
-    emptied = removed.where("n_lines > 0 AND n_lines = size(removed)").select("doc_id")
-    return linededup.without_lines(once, removed).join(emptied, "doc_id", "left_anti").select(*docs.columns)
+    removed = linededup.repeated_lines(docs.select("doc_id", "text"))
+    cleaned = linededup.without_lines(docs, removed, drop_emptied=True)
+    counts = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count()
+    again = dimension(counts.where("count > 1").select("doc_id"), "repeated-ids")
+    single = cleaned.join(again, "doc_id", "left_anti")
+    return single.unionByName(cleaned.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -324,9 +324,16 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, counters: int = COUN
     return one.select("doc_id").join(per_doc, "doc_id", "left").select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("removed", none).alias("removed"))
 
 
-def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """``docs`` whose texts have lost the lines in ``removed(doc_id, removed)``; all columns stay."""
-    gone = removed.where("size(removed) > 0").select(F.col("doc_id").alias("_id"), F.col("removed").alias("_gone")).dropDuplicates(["_id"])
+def without_lines(docs: DataFrame, removed: DataFrame, drop_emptied: bool = False) -> DataFrame:
+    """``docs`` whose texts have lost the lines in ``removed(doc_id, n_lines, removed)``; all columns stay.
+
+    With ``drop_emptied`` a document whose lines with a word all go is left out itself.
+    """
+    gone = removed.where("size(removed) > 0").select(
+        F.col("doc_id").alias("_id"), F.col("removed").alias("_gone"), (F.col("n_lines") == F.size("removed")).alias("_emptied")
+    )
+    joined = docs.join(dimension(gone.dropDuplicates(["_id"]), "removed"), F.col("doc_id").cast("long") == F.col("_id"), "left")
+    if drop_emptied:
+        joined = joined.where("_emptied IS NULL OR NOT _emptied")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    joined = docs.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left")
     return joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
