@@ -35,18 +35,24 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one that names it."""
-    kept = neardup.near_duplicates(docs, k=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """One document of each near-duplicate group: the one that names it. Rows without a doc_id stay."""
+    copies = neardup.near_duplicates(docs, k=5, percent=80).where("NOT kept").select("doc_id").distinct()
+    return docs.join(dimension(copies, "copies"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a document comes once for each time that the mix reads at least half of it."""
+    """The mix: a document comes once for each time that the mix reads at least half of it.
+
+    Rows and their reads meet on the hash of doc_id and text, so rows without a doc_id take
+    part. Rows equal in both share their reads evenly, rounded up.
+    """
     mixed, documents = mixing.mix(docs)
     reads = mixed.groupBy("doc_no", "epoch").agg(F.sum("length").alias("words"))
-    read = reads.join(documents, "doc_no").where("2 * words >= size").groupBy("doc_id").agg(F.count("*").alias("_times"))
-    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))
-    return docs.join(read, "doc_id").withColumn("_time", times).select(*docs.columns)
+    read = documents.join(reads, "doc_no").where("2 * words >= size").groupBy(F.col("doc_no.place").alias("_place")).agg(F.count("*").alias("_reads"))
+    rows = documents.groupBy(F.col("doc_no.place").alias("_place")).agg(F.count("*").alias("_rows"))
+    times = read.join(rows, "_place").select("_place", F.ceil(F.col("_reads") / F.col("_rows")).alias("_times"))
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))
+    return docs.withColumn("_place", mixing.place()).join(times, "_place").withColumn("_time", each).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

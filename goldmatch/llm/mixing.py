@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from goldmatch.llm.scale import running_sum
 from goldmatch.session import written
 
-EPOCHS, BLOCK_WORDS, CELLS = 3, 256, 4096
+EPOCHS, BLOCK_WORDS, CELLS, SEED = 3, 256, 4096, 11
 GOLDEN = 0.6180339887498949
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,6 +18,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def place(seed: int = SEED) -> Column:
+    """A document's place in the shuffled order of its source, by doc_id and text."""
+    return F.xxhash64("doc_id", F.xxhash64("text"), F.lit(seed))
+
+
 def targets(sizes: DataFrame, epochs: int = EPOCHS) -> DataFrame:
     """source, source_size, target of ``sizes(source, source_size)``, a row per source.
 
@@ -70,7 +75,7 @@ def schedule(sources: DataFrame, slots: int) -> DataFrame:
     return running_sum(placed, ["source_no"], ["slot"], F.lit(1), F.floor(F.col("slot") / width), "turn").select("slot", "source_no", "turn")
 
 
-def mix(docs: DataFrame, epochs: int = EPOCHS, block_words: int = BLOCK_WORDS, seed: int = 11) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, epochs: int = EPOCHS, block_words: int = BLOCK_WORDS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """The mix of ``docs(doc_id, source, text)`` and its documents.
 
     The first result has a row per piece of the mix in its order: slot, source_no, doc_no,
@@ -89,8 +94,8 @@ def mix(docs: DataFrame, epochs: int = EPOCHS, block_words: int = BLOCK_WORDS, s
     order falls back to the text's hash, and rows equal in both are interchangeable. Columns
     beside the three are left out. Empty tables give empty results.
     """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
-    sized = written(sized.withColumn("place", F.xxhash64("doc_id", "text_hash", F.lit(seed))), "sizes")
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"), place(seed).alias("place"))
+    sized = written(sized, "sizes")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     by_name = Window.orderBy(F.col("source").isNull(), F.col("source"))
     sources = written(targets(per_source, epochs).withColumn("source_no", F.row_number().over(by_name).cast("long")), "targets")

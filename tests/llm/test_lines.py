@@ -148,6 +148,20 @@ def test_pipeline_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, SMALL).count() == packed.count()
 
 
+def test_pipeline_keeps_rows_without_an_id_and_one_of_repeated_rows(spark):
+    good = spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id < 3")
+    unnamed = spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id IN (5, 6)").withColumn("doc_id", F.lit(None).cast("long"))
+    docs = good.union(good).union(unnamed)
+    lines = corpus_pipeline.drop_repeated_lines(spark, docs, SMALL)
+    ids = [r.doc_id for r in lines.collect()]
+    named = [x for x in ids if x is not None]
+    assert len(named) == len(set(named)) and ids.count(None) == 2
+    near = corpus_pipeline.keep_first_copies(spark, lines, SMALL)
+    assert near.where("doc_id IS NULL").count() == 2
+    mixed = corpus_pipeline.mix_sources(spark, near, SMALL)
+    assert mixed.columns == docs.columns and mixed.where("doc_id IS NULL").count() > 0
+
+
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
