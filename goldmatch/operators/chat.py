@@ -1,25 +1,29 @@
 """Chat template over stored conversations.
 
 A conversation is either one ``ARRAY<STRUCT<role, content[, tool_calls]>>`` value
-or one line per turn (conv_id, turn, role, content[, tool_calls]) with ``turn``
-dense from 0. In line form a conversation may be arbitrarily long: it is cut into
-parts of ``part_turns`` turns, and the turns at a cut also travel to the
-neighbouring part, so every turn sees its neighbours. The texts of the parts
-joined in order are the text of the conversation.
+or one line per turn (conv_id, turn, role, content[, tool_calls]). Lines go by their
+position in the order of ``turn``, whatever its first number and gaps; lines with the
+same number go by role, content and calls. Positions are dense ordinals that need no
+task to hold a conversation, and neighbours are found in blocks of positions, so a
+line sees its neighbours however long its conversation is.
+
+A null content counts as empty; a leading system message without one gets the
+default text.
 """
 
 from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from goldmatch.functions.prompts import OPEN_TURN, TURN_END, TURN_START
 from goldmatch.functions.text import json_text
+from goldmatch.operators.ordinals import row_ordinals
 
-PART_TURNS = 1024
+BLOCK_TURNS = 1024  # positions whose neighbours are looked up in one group; no result depends on it
 
 # Texts of the chat template.
 DEFAULT_SYSTEM = "You are Qwen, created by Alibaba Cloud. You are a helpful assistant."
@@ -42,7 +46,7 @@ def _turn(role: Column, body: Column) -> Column:
 
 def system_turn(first_role: Column, first_content: Column, tools: list[dict] | None = None) -> Column:
     """The leading system turn: given or default text, then the tool signatures."""
-    text = F.when(first_role == "system", first_content).otherwise(F.lit(DEFAULT_SYSTEM))
+    text = F.coalesce(F.when(first_role == "system", first_content), F.lit(DEFAULT_SYSTEM))
     listed = ""
     if tools:
         lines = "".join("\n" + json.dumps(t, ensure_ascii=False) for t in tools)
@@ -57,7 +61,7 @@ def tool_call_text(calls: Column, arguments_type: T.DataType) -> Column:
             calls,
             lambda c: F.concat(
                 F.lit(CALL_BEFORE + '{"name": "'),
-                c["name"],
+                F.coalesce(c["name"], F.lit("")),
                 F.lit('", "arguments": '),
                 json_text(c["arguments"], arguments_type),
                 F.lit("}" + CALL_AFTER),
@@ -80,7 +84,7 @@ def turn_text(
 ) -> Column:
     """Text of one message given its neighbours' roles. The first message's system
     text is part of :func:`system_turn`; consecutive tool messages share a turn."""
-    role, content = m["role"], m["content"]
+    role, content = m["role"], F.coalesce(m["content"], F.lit(""))
     plain = _turn(role, F.concat(F.lit("\n"), content))
     out = F.when((role == "user") | ((role == "system") & ~first), plain)
     if arguments_type is None:
@@ -88,7 +92,7 @@ def turn_text(
     else:
         calls = m["tool_calls"]
         has_calls = F.coalesce(F.size(calls) > 0, F.lit(False))
-        body = F.when(F.coalesce(content, F.lit("")) != "", F.concat(F.lit("\n"), content)).otherwise(F.lit(""))
+        body = F.when(content != "", F.concat(F.lit("\n"), content)).otherwise(F.lit(""))
         out = out.when((role == "assistant") & ~has_calls, plain)
         out = out.when(
             role == "assistant", _turn(role, F.concat(body, tool_call_text(calls, arguments_type)))
@@ -131,68 +135,83 @@ def render_messages(
     )
 
 
-def _parts(turns: DataFrame, part_turns: int) -> DataFrame:
-    """Turns grouped by (conv_id, part_no), with the neighbours at the cuts."""
-    part = F.floor(F.col("turn") / part_turns)
-    at_start = (F.col("turn") % part_turns == 0) & (F.col("turn") > 0)
-    at_end = F.col("turn") % part_turns == part_turns - 1
+def _placed(turns: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
+    """Turns with ``_pos`` (from 0), ``_size`` (turns of the conversation) and the roles
+    beside them, ``_previous`` and ``_following``.
+
+    A block's edge turns also travel to the neighbouring block, so no group is larger
+    than a block and its two neighbours.
+    """
+    order = ["turn", "role", *[c for c in ("content",) if c in turns.columns]]
+    if "tool_calls" in turns.columns:
+        order.append(F.to_json("tool_calls"))
+    numbered = row_ordinals(turns, ["conv_id"], order, "_pos", "_size")
+    block, place = F.floor(F.col("_pos") / block_turns), F.col("_pos") % block_turns
     homes = F.array_compact(
         F.array(
-            F.struct(part.alias("part_no"), F.lit(True).alias("own")),
-            F.when(at_start, F.struct((part - 1).alias("part_no"), F.lit(False).alias("own"))),
-            F.when(at_end, F.struct((part + 1).alias("part_no"), F.lit(False).alias("own"))),
+            F.struct(block.alias("_block"), F.lit(True).alias("_own")),
+            F.when((place == 0) & (F.col("_pos") > 0), F.struct((block - 1).alias("_block"), F.lit(False).alias("_own"))),
+            F.when(
+                (place == block_turns - 1) & (F.col("_pos") < F.col("_size") - 1),
+                F.struct((block + 1).alias("_block"), F.lit(False).alias("_own")),
+            ),
         )
     )
-    fields = ["turn", "own", *[c for c in turns.columns if c not in ("conv_id", "turn")]]
-    placed = turns.select("*", F.inline(homes))
-    msgs = F.collect_list(F.struct(*fields))
-    if "map<" in placed.select(F.struct(*fields)).schema.simpleString():  # maps have no order of their own
-        ordered = F.array_sort(msgs, lambda a, b: (a["turn"] - b["turn"]).cast("int"))
-    else:
-        ordered = F.array_sort(msgs)  # decided by the first field, the turn
-    grouped = placed.groupBy("conv_id", "part_no").agg(ordered.alias("msgs"))
-    # a conversation that ends exactly at a cut leaves a part of neighbours only
-    return grouped.where(F.exists("msgs", lambda m: m["own"]))
+    beside = Window.partitionBy("conv_id", "_block").orderBy("_pos")
+    seen = numbered.select("*", F.inline(homes)).select(
+        "*", F.lag("role").over(beside).alias("_previous"), F.lead("role").over(beside).alias("_following")
+    )
+    return seen.where("_own").drop("_own", "_block")
 
 
-def render_conversations(
+def render_turns(
     turns: DataFrame,
     tools: list[dict] | None = None,
     add_generation_prompt: bool = False,
-    part_turns: int = PART_TURNS,
+    block_turns: int = BLOCK_TURNS,
 ) -> DataFrame:
-    """(conv_id, part_no, text) from one line per turn."""
-    parts = _parts(turns, part_turns)
-    args = _arguments_type(parts.schema["msgs"].dataType.elementType)
-    msgs = F.col("msgs")
-    body = F.transform(
-        msgs,
-        lambda m, i: F.when(
-            m["own"],
-            turn_text(m, F.get(msgs, i - 1)["role"], F.get(msgs, i + 1)["role"], m["turn"] == 0, args),
-        ).otherwise(F.lit("")),
-    )
-    first = F.get(msgs, F.lit(0))
-    head = F.when(
-        F.col("part_no") == 0, system_turn(first["role"], first["content"], tools)
-    ).otherwise(F.lit(""))
-    last = F.element_at(msgs, -1)["own"]
+    """(conv_id, position, turn, text) of every turn; the texts of a conversation joined by
+    position are its text. The first one has the system turn, the last one the prompt."""
+    first, last = F.col("_pos") == 0, F.col("_pos") == F.col("_size") - 1
+    message = {c: F.col(c) for c in turns.columns}
+    text = turn_text(message, F.col("_previous"), F.col("_following"), first, _arguments_type(turns.schema))
+    head = F.when(first, system_turn(F.col("role"), F.col("content"), tools)).otherwise(F.lit(""))
     tail = F.when(last, F.lit(OPEN_TURN if add_generation_prompt else "")).otherwise(F.lit(""))
-    return parts.select("conv_id", "part_no", F.concat(head, F.array_join(body, ""), tail).alias("text"))
+    return _placed(turns, block_turns).select(
+        "conv_id", F.col("_pos").alias("position"), "turn", F.concat(head, text, tail).alias("text")
+    )
+
+
+def _joined(pieces: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """One text per group of ``keys``, of the pieces in their order."""
+    listed = F.sort_array(F.collect_list(F.struct(order, "text")))
+    return pieces.groupBy(*keys).agg(listed.alias("_all")).select(*keys, F.array_join(F.col("_all.text"), "").alias("text"))
 
 
-def merge_tool_turns(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
+def render_conversations(
+    turns: DataFrame,
+    tools: list[dict] | None = None,
+    add_generation_prompt: bool = False,
+    part_turns: int | None = None,
+) -> DataFrame:
+    """(conv_id, part_no, text) from one line per turn: one row per conversation, part 0.
+
+    A caller may ask for parts of ``part_turns`` positions; joined in order they are the
+    same text. A text is one value and so ends at Spark's limit of 2 GB, where the job
+    fails; :func:`render_turns` has no such limit.
+    """
+    rendered = render_turns(turns, tools, add_generation_prompt)
+    part = F.lit(0).cast("long") if part_turns is None else F.floor(F.col("position") / part_turns)
+    block = F.floor(F.col("position") / BLOCK_TURNS)
+    blocks = _joined(rendered.select("conv_id", part.alias("part_no"), block.alias("block"), "position", "text"), ["conv_id", "part_no", "block"], "position")
+    return _joined(blocks, ["conv_id", "part_no"], "block")
+
+
+def merge_tool_turns(turns: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
     """Where the shared user turn of consecutive tool messages opens and closes."""
-    msgs = F.col("msgs")
-    marked = F.transform(
-        msgs,
-        lambda m, i: F.struct(
-            m["turn"].alias("turn"),
-            m["role"].alias("role"),
-            m["own"].alias("own"),
-            opens_tool_turn(m["role"], F.get(msgs, i - 1)["role"]).alias("opens"),
-            closes_tool_turn(m["role"], F.get(msgs, i + 1)["role"]).alias("closes"),
-        ),
+    role = F.col("role")
+    return _placed(turns.select("conv_id", "turn", "role"), block_turns).select(
+        "conv_id", "turn", "role",
+        opens_tool_turn(role, F.col("_previous")).alias("opens"),
+        closes_tool_turn(role, F.col("_following")).alias("closes"),
     )
-    parts = _parts(turns.select("conv_id", "turn", "role"), part_turns)
-    return parts.select("conv_id", F.inline(marked)).where("own").drop("own")

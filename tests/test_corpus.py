@@ -162,6 +162,40 @@ def test_conversation_text_in_parts(spark, tools):
             assert marks[c, i] == (tool and roles[i] != "tool", tool and roles[i + 2] != "tool")
 
 
+def test_long_conversation_is_one_row_by_position(spark):
+    # from 1 on and with gaps: 1500 turns, tool turns on both sides of number 1024 and of position 1024
+    messages = [{"role": "user" if i % 3 else "tool", "content": f"text {i}"} for i in range(1500)]
+    for i in range(1018, 1032):
+        messages[i]["role"] = "tool"
+    number = [1 + i * 2 + (i > 500) * 7 for i in range(1500)]
+    turns = spark.createDataFrame([(5, n, m["role"], m["content"]) for n, m in zip(number, messages)][::-1], "conv_id long, turn long, role string, content string")
+    got = chat.render_conversations(turns, None, True).collect()
+    assert [(r.conv_id, r.part_no) for r in got] == [(5, 0)]
+    assert got[0].text == expected_text(messages, None, True)
+    pieces = chat.render_turns(turns, None, True, 4).orderBy("position").collect()
+    assert [r.turn for r in pieces] == number and "".join(r.text for r in pieces) == got[0].text
+    marks = {r.turn: (r.opens, r.closes) for r in chat.merge_tool_turns(turns).collect()}
+    roles = [None] + [m["role"] for m in messages] + [None]
+    assert marks == {n: (roles[i + 1] == "tool" != roles[i], roles[i + 1] == "tool" != roles[i + 2]) for i, n in enumerate(number)}
+
+
+def test_gaps_do_not_depend_on_parts(spark):
+    messages = [{"role": r, "content": str(i)} for i, r in enumerate(["user", "tool", "tool", "user"])]
+    turns = spark.createDataFrame([(1, n, m["role"], m["content"]) for n, m in zip((3, 1020, 1030, 5000), messages)], "conv_id long, turn long, role string, content string")
+    got = chat.render_conversations(turns, None, True).collect()
+    assert [r.text for r in got] == [expected_text(messages, None, True)]
+
+
+def test_null_content_is_empty(spark):
+    rows = [("system", None, None), ("user", None, None), ("tool", None, None), ("assistant", None, [("f", ("x", 1))])]
+    turns = spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], TURN)
+    want = expected_text([{"role": r, "content": (c or "") if i else chat.DEFAULT_SYSTEM, "tool_calls": [{"name": k[0], "arguments": {"city": k[1][0], "days": k[1][1]}} for k in calls or []]} for i, (r, c, calls) in enumerate(rows)], None, False)
+    assert [r.text for r in chat.render_conversations(turns).collect()] == [want]
+    listed = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "content", "tool_calls"))).alias("messages"))
+    text = chat.render_messages(F.col("messages"), listed.schema["messages"].dataType.elementType)
+    assert [r.text for r in listed.select(text.alias("text")).collect()] == [want]
+
+
 def test_arguments_may_be_a_map(spark):
     turns = spark.sql(
         "SELECT 1L AS conv_id, t AS turn, if(t = 0, 'user', 'assistant') AS role, concat('c', t) AS content, "
