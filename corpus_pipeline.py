@@ -19,25 +19,52 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs).where("kept").select(*docs.columns)
 
 
+def by_text(docs: DataFrame) -> DataFrame:
+    """``docs`` whose doc_id is a number of its own per (doc_id, text), in the order of doc_id
+    and then of the text's hash; ``_doc_id`` has the doc_id as it was.
+
+    Where no doc_id has several texts, the doc_id is that number already. Only otherwise
+    are the pairs sorted and numbered, and the rows stored with their number.
+    """
+    pair = {"_id": F.col("doc_id").cast("long"), "_text": F.xxhash64("text")}
+    ids = docs.where("doc_id IS NOT NULL").select(*[c.alias(n) for n, c in pair.items()])
+    ends = ids.groupBy("_id").agg(F.min("_text").alias("low"), F.max("_text").alias("high"))
+    named = docs.withColumn("_doc_id", F.col("doc_id"))
+    if ends.where("low <> high").isEmpty():
+        return named
+    numbers = ids.distinct().orderBy("_id", "_text").withColumn("_number", F.monotonically_increasing_id())
+    numbered = named.withColumns(pair).join(dimension(numbers, "numbers"), ["_id", "_text"], "left")
+    return written(numbered.withColumn("doc_id", F.col("_number")).select(*named.columns), "by-text")
+
+
+def _original(named: DataFrame, docs: DataFrame) -> DataFrame:
+    return named.withColumn("doc_id", F.col("_doc_id")).select(*docs.columns)
+
+
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat earlier ones; one that loses all goes.
 
-    doc_id names a text: a repeated row of the table comes once, rows without a doc_id
-    stay as they are. Only rows of repeated ids are grouped, and the lists that meet the
-    texts are measured, so the texts themselves stay where they are.
+    Rows equal in doc_id and text come once; different texts under one doc_id are separate
+    documents, and rows without a doc_id stay as they are. Only rows of repeated documents
+    are grouped, and the lists that meet the texts are measured, so the texts themselves
+    stay where they are, unless a doc_id has several texts.
     """
-    removed = linededup.repeated_lines(docs.select("doc_id", "text"))
-    cleaned = linededup.without_lines(docs, removed, drop_emptied=True)
-    counts = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count()
+    named = by_text(docs)
+    removed = linededup.repeated_lines(named.select("doc_id", "text"))
+    cleaned = linededup.without_lines(named, removed, drop_emptied=True)
+    counts = named.where("doc_id IS NOT NULL").groupBy("doc_id").count()
     again = dimension(counts.where("count > 1").select("doc_id"), "repeated-ids")
     single = cleaned.join(again, "doc_id", "left_anti")
-    return single.unionByName(cleaned.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    once = single.unionByName(cleaned.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return _original(once, docs)
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one that names it. Rows without a doc_id stay."""
-    copies = neardup.near_duplicates(docs, k=5, percent=80).where("NOT kept").select("doc_id").distinct()
-    return docs.join(dimension(copies, "copies"), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each near-duplicate group: the one that names it. Rows without a doc_id
+    stay; different texts under one doc_id are separate documents."""
+    named = by_text(docs)
+    copies = neardup.near_duplicates(named, k=5, percent=80).where("NOT kept").select("doc_id").distinct()
+    return _original(named.join(dimension(copies, "copies"), "doc_id", "left_anti"), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -162,6 +162,19 @@ def test_pipeline_keeps_rows_without_an_id_and_one_of_repeated_rows(spark):
     assert mixed.columns == docs.columns and mixed.where("doc_id IS NULL").count() > 0
 
 
+def test_pipeline_keeps_different_texts_under_one_id(spark):
+    line = [" ".join(f"{c}{i}" for i in range(12)) for c in "abcdef"]
+    texts = [(1, f"{line[0]}\n{line[1]}"), (2, f"{line[0]}\n{line[2]}"), (2, f"{line[3]}\n{line[4]}"), (2, f"{line[3]}\n{line[4]}"), (3, line[5]), (None, line[0])]
+    docs = spark.createDataFrame([(*t, "s") for t in texts], "doc_id int, text string, source string")
+    lines = corpus_pipeline.drop_repeated_lines(spark, docs, SMALL)
+    want = [(1, texts[0][1]), (2, line[2]), (2, texts[2][1]), (3, line[5]), (None, line[0])]
+    assert lines.schema == docs.schema
+    assert {(r.doc_id, r.text) for r in lines.collect()} == set(want) and lines.count() == len(want)
+    copied = docs.where("doc_id < 3").union(docs.where("doc_id = 1").withColumn("doc_id", F.lit(2)))
+    near = corpus_pipeline.keep_first_copies(spark, copied.distinct(), SMALL)
+    assert {(r.doc_id, r.text) for r in near.collect()} == set(texts[:3]) and near.count() == 3
+
+
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
