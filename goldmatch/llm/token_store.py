@@ -22,6 +22,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from goldmatch.llm.pieces import CHUNK_BYTES, Encoder, ragged
 from goldmatch.llm.text import buffer_of, chunks
 
-SHARD_IDS, ROUNDS, ROUND_RULES, MIN_COUNT = 1 << 19, 3, 4096, 16
+SHARD_IDS, ROUND_RULES, MIN_COUNT = 1 << 19, 4096, 16
 SLOTS = 1 << 18
 # a writer, a reader and an Arrow batch hold few shards: sizes are looked at after each row
 LAYOUT = {"parquet.block.size": 8 << 20} | {f"parquet.{x}.size.row.check.{m}": 1 for x in ("page", "block") for m in ("min", "max")}
@@ -61,15 +62,16 @@ def slot_of(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (mixed ^ mixed >> np.uint32(15)) & np.uint32(SLOTS - 1)
 
 
-def re_pair(ids: np.ndarray, starts: np.ndarray, base: int, rounds: int = ROUNDS, most: int = ROUND_RULES, least: int = MIN_COUNT) -> Grammar:
+def re_pair(ids: np.ndarray, starts: np.ndarray, base: int, rounds: int | None = None, most: int = ROUND_RULES, least: int = MIN_COUNT) -> Grammar:
     """Replace the most frequent pairs by nonterminals, round by round.
 
     A round counts all adjacent pairs of the shard, makes rules of the (up to ``most``) most
     frequent ones seen ``least`` times, and replaces them from the left; pairs that overlap
-    wait for the next round. No pair crosses the end of a document.
+    or share a slot with a more frequent one wait for the next round. Rounds end when no pair
+    is seen ``least`` times, or after ``rounds``. No pair crosses the end of a document.
     """
     symbols, starts, rules = ids.astype(np.uint32), starts.copy(), np.zeros((0, 2), np.uint32)
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         if len(symbols) < 2:
             break
         left, right = symbols[:-1], symbols[1:]

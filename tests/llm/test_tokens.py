@@ -78,6 +78,18 @@ def test_token_queries(spark):
     assert {r.doc_id: tuple(r) for r in Q.op3_token_store(spark, SMALL).collect()} == expected
 
 
+def test_re_pair_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(2)
+    copies = np.tile(rng.permutation(5000).astype(np.uint32), 40)
+    for ids, starts in ((np.full(1 << 16, 7, np.uint32), np.array([0])), (copies, np.arange(0, len(copies), 5000))):
+        g = token_store.re_pair(ids, starts, 50_257)
+        assert len(g.symbols) <= max(len(starts), token_store.MIN_COUNT)
+        inside = np.setdiff1d(np.arange(len(g.symbols) - 1), g.starts - 1)
+        pairs = np.unique(np.stack([g.symbols[inside], g.symbols[inside + 1]]), axis=1, return_counts=True)[1]
+        assert pairs.max(initial=0) < token_store.MIN_COUNT
+        assert (token_store.expanded(g.symbols, g.rules, token_store.rule_lengths(g.rules, g.base), g.base) == ids).all()
+
+
 def test_re_pair_round_trip():
     rng = np.random.default_rng(4)
     for case in range(12):
