@@ -168,12 +168,13 @@ def fit(labelled: DataFrame, features: int = FEATURES, scale: float = SCALE, rid
     One pass sums the statistics' moments. Random directions drawn from a seed make
     ``features`` Fourier features of the standardized statistics, an approximation of a
     Gaussian kernel of width ``scale``. The next pass sums the normal equations over the
-    partitions, each row weighted so that both labels weigh the same; the driver solves one
-    system of ``features`` + 1 unknowns. Every ``calibration``-th row (by a hash) stays out
-    of the equations: their raw scores, counted in bins, give the isotonic map to shares of
-    label 1. Between block means the map is linear, so that the order of scores stays.
+    partitions, each row weighted so that both labels weigh the same; the driver solves a
+    system of ``features`` + 1 unknowns. The equations are summed in ``calibration`` folds (by
+    a hash), so that every row also gets the raw score of a system without its fold, at any
+    number of rows: those scores, counted in bins, give the isotonic map to shares of label 1.
+    Between block means the map is linear, so that the order of scores stays.
     """
-    rows = labelled.select("stats", F.col("label").cast("double").alias("label"), (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(calibration)) == 0).alias("apart"))
+    rows = labelled.select("stats", F.col("label").cast("double").alias("label"), F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(calibration)).cast("int").alias("fold"))
     rows = written(rows.where("label IN (0, 1)"), "labelled")
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,26 +196,35 @@ def fit(labelled: DataFrame, features: int = FEATURES, scale: float = SCALE, rid
     size = features + 1
 
     def equations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((size, size + 1))
+        total = np.zeros((calibration, size, size + 2))  # the last column counts rows
         for batch in batches:
-            y = np.asarray(batch.column("label"))
+            y, fold = np.asarray(batch.column("label")), np.asarray(batch.column("fold"))
             f = model.features(matrix(batch.column("stats")))
             weighted = f * weight[y.astype(int)][:, None]
-            total[:, :size] += f.T @ weighted
-            total[:, size] += weighted.T @ y
+            for k in np.unique(fold):
+                own = fold == k
+                total[k, :, :size] += f[own].T @ weighted[own]
+                total[k, :, size] += weighted[own].T @ y[own]
+                total[k, 0, size + 1] += own.sum()
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
-    solved = summed(rows.where("NOT apart").mapInArrow(equations, "sums binary"))
-    system = solved.reshape(size, size + 1)
-    model.weights = np.linalg.solve(system[:, :size] + ridge * n * np.eye(size) / size, system[:, size])
+    def solution(system: np.ndarray) -> np.ndarray:
+        few = ridge * max(system[0, size + 1], 1) * np.eye(size) / size
+        return np.linalg.solve(system[:, :size] + few, system[:, size])
+
+    folds = summed(rows.mapInArrow(equations, "sums binary")).reshape(calibration, size, size + 2)
+    whole = folds.sum(axis=0)
+    model.weights = solution(whole)
+    without = np.stack([solution(whole - f) for f in folds], axis=1)
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = np.clip(np.floor(model.raw_scores(matrix(batch.column("stats"))) * BINS), -BINS, 2 * BINS)
+            fold = np.asarray(batch.column("fold")).astype(np.int64)
+            crossed = np.take_along_axis(model.features(matrix(batch.column("stats"))) @ without, fold[:, None], axis=1)[:, 0]
+            raw = np.clip(np.floor(crossed * BINS), -BINS, 2 * BINS)
             yield pa.RecordBatch.from_arrays([pa.array(raw.astype(np.int64)), batch.column("label")], ["bin", "label"])
 
-    apart = rows.where("apart") if n >= 50 * calibration else rows
-    counts = apart.mapInArrow(binned, "bin long, label double").groupBy("bin").agg(F.sum("label").alias("good"), F.count("*").alias("n"))
+    counts = rows.mapInArrow(binned, "bin long, label double").groupBy("bin").agg(F.sum("label").alias("good"), F.count("*").alias("n"))
     bins = sorted(counts.collect())  # at most 3 * BINS + 1
     if not bins:
         return None

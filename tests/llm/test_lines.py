@@ -119,6 +119,17 @@ def test_statistics_are_per_text():
     assert np.allclose(together, alone) and not together[1].any()
 
 
+def test_few_labels_are_calibrated_on_scores_of_other_folds(spark):
+    # labels that nothing explains: scores of rows that were fitted would part them
+    rng = np.random.default_rng(4)
+    stats, label = rng.normal(size=(120, 6)), rng.integers(0, 2, 120)
+    rows = spark.createDataFrame([(i, s.tolist(), int(y)) for i, (s, y) in enumerate(zip(stats, label))], "doc_id long, stats array<double>, label int")
+    model = classifier.fit(rows)
+    assert np.abs(model.scores(stats) - label.mean()).mean() < 0.3
+    two = classifier.fit(rows.where("doc_id < 2").withColumn("label", F.col("doc_id").cast("int")))
+    assert np.isfinite(two.scores(stats)).all()
+
+
 # --- pipeline ----------------------------------------------------------------
 
 
