@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from goldmatch.llm import chatformat, classifier, graph_index, linededup, mixing, neardup, packing, quality, token_counts, token_store
+from goldmatch.llm import chatformat, classifier, graph_index, hardneg, linededup, mixing, neardup, packing, quality, spelling, token_counts, token_store, urlfilter
 from goldmatch.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,3 +109,29 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its number of lines and those that repeat earlier ones."""
     return linededup.repeated_lines(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives of every hundredth vector and its five best positives."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    other = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = vectors.withColumn("label", other)
+    return hardneg.hard_negatives(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+@query
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule and verdict of every page's URL."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    judged = urlfilter.judge_urls(_table(spark, sf_dir, "pages"), rules)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word with its form, root and near words."""
+    return spelling.spelling_groups(spelling.lexicon(_table(spark, sf_dir, "documents")))
