@@ -24,6 +24,7 @@ MESSAGE_PARTS = {
     SYNTAX_ERROR: ["syntax error", "incomplete input", "near "],
 }
 MISSING_DATABASE = "Database file does not exist: "
+NOT_EXECUTED = "statement was not executed"
 
 _CONDITIONS = {
     SYNTAX_ERROR: ("PARSE_SYNTAX_ERROR",),

@@ -66,7 +66,8 @@ def joined_pairs(items: DataFrame, pairs: DataFrame, differing: DataFrame) -> Da
 
     All three have one line per item, so the joins cannot skew. What is read from
     the texts is computed first: a report that needs only tags then moves tags
-    through the joins, and the texts are pruned from the scan's output.
+    through the joins, and the texts are pruned from the scan's output. A side without
+    a log line counts as failed, so no item vanishes from the totals.
     """
     read = with_sql_tags(items).withColumns(
         {
@@ -74,7 +75,11 @@ def joined_pairs(items: DataFrame, pairs: DataFrame, differing: DataFrame) -> Da
             "predicted_sql": sqltext.extract_sql(F.col("raw_output")),
         }
     )
-    return read.join(pairs, "item_id").join(differing, "item_id", "left")
+    joined = read.join(pairs, "item_id", "left").join(differing, "item_id", "left")
+    absent = {s: F.col(f"{s}_status").isNull() for s in ("gold", "pred")}
+    messages = {f"{s}_message": F.when(no, F.lit(S.NOT_EXECUTED)).otherwise(F.col(f"{s}_message")) for s, no in absent.items()}
+    statuses = {f"{s}_status": F.coalesce(f"{s}_status", F.lit(S.EXECUTION_ERROR)) for s in absent}
+    return joined.withColumns(messages | statuses | {"execution_time_ms": F.coalesce("execution_time_ms", F.lit(0.0))})
 
 
 def judge(joined: DataFrame) -> DataFrame:

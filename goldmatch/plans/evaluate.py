@@ -1,29 +1,34 @@
 """Run gold and predicted statements as Spark SQL and judge the results.
 
 Each statement is one Spark job that writes its normalised rows to the shared
-folder; only a status line per statement returns to the driver. All comparisons
-then happen at once (:mod:`goldmatch.operators.compare`).
+folder; only a status line per statement returns to the driver. Statements go in
+chunks, each committed as one table and one log (:mod:`goldmatch.plans.ledger`), so a
+run that was cut off goes on where it stopped. All comparisons then happen at once
+(:mod:`goldmatch.operators.compare`).
 """
 
 from __future__ import annotations
 
 import re
 import threading
-import time
+from collections import OrderedDict
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from itertools import islice
+from queue import SimpleQueue
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from goldmatch.functions import statuses as S
 from goldmatch.functions.cells import canonical_frame
 from goldmatch.functions.sqltext import extract_sql
-from goldmatch.operators.compare import differing_items
-from goldmatch.operators.verdict import executed_pairs, sample_results
+from goldmatch.operators.compare import cap_result_rows, differing_items
+from goldmatch.operators.verdict import executed_pairs, exists_guard, sample_results
+from goldmatch.plans.deadline import run_limited
+from goldmatch.plans.ledger import Ledger
 from goldmatch.session import dimension, scratch_path, written
 
 # Table name -> reader; a view belongs to a session, so tables are read per session.
@@ -36,27 +41,33 @@ DIALECT = {
     "spark.sql.ansi.enforceReservedKeywords": "true",
     "spark.sql.session.timeZone": "UTC",
 }
-ROWS_SCHEMA = "at long, cells array<string>, item_id long, side string"
-LOG_SCHEMA = "item_id long, side string, status string, error_message string, execution_time_ms double"
-_CANCEL_EVERY = 0.5
-_POLL_EVERY = 0.02
-CHUNK = 1000
+CHUNK, OPEN_SESSIONS = 256, 32
 
 
 @dataclass
 class Statement:
+    """``limit_seconds`` replaces the runner's limit for this statement."""
+
     item_id: int
     side: str
     db_id: str
     sql: str
+    limit_seconds: float | None = None
 
 
 @dataclass
 class Runner:
     """Executes statements over named databases of temporary views.
 
-    ``max_rows`` keeps the first rows of every result, by position; none compares
-    whole results. ``by_name`` aligns columns by name instead of by position.
+    ``max_rows`` keeps the first rows of every result, by position, and reads one more;
+    none compares whole results. ``by_name`` aligns columns by name instead of by position.
+    ``run_path`` is a folder all executors reach; without one the run has a folder of its
+    own and can't be resumed.
+
+    A database's session is made when its first statement comes. Between chunks, all but the
+    ``OPEN_SESSIONS`` used last are closed. Every worker thread has a scheduler pool: in a
+    session with FAIR scheduling the slots that a long statement's tasks free go to its
+    neighbours first. Running tasks are not taken from it before its limit.
     """
 
     spark: SparkSession
@@ -65,129 +76,70 @@ class Runner:
     max_rows: int | None = None
     by_name: bool = False
     threads: int = 8
-    _sessions: dict[str, SparkSession] = field(default_factory=dict)
+    run_path: str | None = None
+    _sessions: OrderedDict[str, SparkSession] = field(default_factory=OrderedDict)
 
     def __post_init__(self) -> None:
-        self.rows_path = scratch_path(self.spark, "result-rows")
-        for db_id, tables in self.databases.items():
-            session = self.spark.newSession()
-            for key, value in DIALECT.items():
-                session.conf.set(key, value)
-            for name, read in tables.items():
-                read(session).createOrReplaceTempView(name)
-            self._sessions[db_id] = session
+        self.ledger = Ledger(self.spark, self.run_path or scratch_path(self.spark, "run"))
+        self._lock, self._slots = threading.Lock(), SimpleQueue()
+        for slot in range(self.threads):
+            self._slots.put(slot)
 
     def run(self, statements: Iterable[Statement]) -> tuple[DataFrame, DataFrame]:
-        """(execution log, result rows with dense row_no).
-
-        Statements are taken in chunks and their log lines stored, so the driver
-        holds one chunk at a time.
-        """
-        log_path, any_rows = scratch_path(self.spark, "execution-log"), False
+        """(execution log, result rows with dense row_no) of these and all earlier statements
+        of the run folder. The driver holds one chunk at a time."""
         statements = iter(statements)
+        self.ledger.remove("work")  # of a run that was cut off
         with ThreadPoolExecutor(self.threads) as pool:
             while chunk := list(islice(statements, CHUNK)):
-                log = list(pool.map(self.execute, chunk))
-                any_rows = any_rows or any(line[2] == S.SUCCESS for line in log)
-                stored = self.spark.createDataFrame(log, LOG_SCHEMA).coalesce(1)
-                stored.write.mode("append").parquet(log_path)
-        if any_rows:
-            rows = self.spark.read.schema(ROWS_SCHEMA).parquet(self.rows_path)
-        else:
-            rows = self.spark.createDataFrame([], ROWS_SCHEMA)
-        return self.spark.read.schema(LOG_SCHEMA).parquet(log_path), self._numbered(rows)
-
-    def execute(self, s: Statement) -> tuple:
+                name = self.ledger.new_chunk()
+                log = list(pool.map(lambda s: self.execute(s, name), chunk))  # noqa: B023 - used up in this round
+                self.ledger.commit(name, log, [self.ledger.place(name, x[0], x[1]) for x in log if x[2] == S.SUCCESS])
+                self._close_sessions(OPEN_SESSIONS)
+        self._close_sessions(0)
+        return self.ledger.lines().drop("chunk"), self.ledger.rows()
+
+    def _session(self, db_id: str) -> SparkSession:
+        with self._lock:
+            if db_id not in self._sessions:
+                session = self.spark.newSession()
+                for key, value in DIALECT.items():
+                    session.conf.set(key, value)
+                for name, read in self.databases[db_id].items():
+                    read(session).createOrReplaceTempView(name)
+                self._sessions[db_id] = session
+            self._sessions.move_to_end(db_id)
+            return self._sessions[db_id]
+
+    def _close_sessions(self, keep: int) -> None:
+        while len(self._sessions) > keep:
+            db_id, session = self._sessions.popitem(last=False)
+            for name in self.databases[db_id]:
+                session.catalog.dropTempView(name)
+
+    def execute(self, s: Statement, chunk: str) -> tuple:
         """Run one statement; returns its log line."""
-        session = self._sessions.get(s.db_id)
-        if session is None:
+        if s.db_id not in self.databases:
             return (s.item_id, s.side, S.EXECUTION_ERROR, S.MISSING_DATABASE + s.db_id, 0.0)
-        started = time.perf_counter()
-        with _Deadline(self.spark, f"goldmatch-{s.item_id}-{s.side}-{id(s)}", self.timeout_seconds) as deadline:
-            try:
-                self._store(session, s)
-                status, message = S.SUCCESS, None
-            except Exception as e:  # noqa: BLE001 - every failure is an outcome of the statement
-                status, message = status_of_error(e)
-        if deadline.fired:  # also when the statement ended between two attempts to cancel it
-            status, message = S.TIMEOUT, f"interrupted after {self.timeout_seconds} s"
-        return (s.item_id, s.side, status, message, (time.perf_counter() - started) * 1000.0)
-
-    def _store(self, session: SparkSession, s: Statement) -> None:
+        limit, slot = s.limit_seconds or self.timeout_seconds, self._slots.get()
+        try:
+            session = self._session(s.db_id)
+            group = f"goldmatch-{chunk}-{s.item_id}-{s.side}"
+            outcome = run_limited(self.spark.sparkContext, group, f"goldmatch-{slot}", limit, lambda: self._store(session, s, chunk))
+        finally:
+            self._slots.put(slot)
+        status, message = status_of_error(outcome.error) if outcome.error else (S.SUCCESS, None)
+        if outcome.timed_out:  # also when the statement ended while it was being cancelled
+            status, message = S.TIMEOUT, f"interrupted after {limit} s"
+        return (s.item_id, s.side, status, message, outcome.seconds * 1000.0)
+
+    def _store(self, session: SparkSession, s: Statement, chunk: str) -> None:
         reject_commands(session, s.sql)
         result = session.sql(s.sql)
+        if self.max_rows is not None:
+            result = result.limit(self.max_rows + 1)
         placed = canonical_frame(result, self.by_name).select(F.monotonically_increasing_id().alias("at"), "cells")
-        placed.write.mode("overwrite").parquet(f"{self.rows_path}/item_id={s.item_id}/side={s.side}")
-
-    @staticmethod
-    def _numbered(rows: DataFrame) -> DataFrame:
-        """``at`` (task, place in task) to a dense position: the place plus the rows of
-        earlier tasks. The table of task sizes has a line per result file; stored, it
-        is broadcast."""
-        placed = rows.withColumn("_part", F.shiftrightunsigned("at", 33))
-        earlier = (
-            Window.partitionBy("item_id", "side").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-        )
-        sizes = (
-            placed.groupBy("item_id", "side", "_part")
-            .agg(F.count(F.lit(1)).alias("_n"))
-            .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-            .drop("_n")
-        )
-        sizes = dimension(sizes, "result-sizes")
-        place = F.col("at") - F.shiftleft("_part", 33)
-        return placed.join(sizes, ["item_id", "side", "_part"]).select(
-            "item_id", "side", (place + F.col("_before")).alias("row_no"), "cells"
-        )
-
-
-class _Deadline:
-    """Runs the body as a job group and cancels the group after ``seconds``.
-
-    The clock runs while tasks of the group run, so that waiting for other statements
-    doesn't count.
-
-    A single cancel is lost when no job of the group has started yet, so it is
-    repeated until the body returns.
-    """
-
-    def __init__(self, spark: SparkSession, group: str, seconds: float) -> None:
-        self._sc, self._group, self._seconds = spark.sparkContext, group, seconds
-        self._done = threading.Event()
-        self._fired = threading.Event()
-
-    @property
-    def fired(self) -> bool:
-        return self._fired.is_set()
-
-    def _running(self) -> bool:
-        tracker = self._sc.statusTracker()
-        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(self._group)]
-        stages = [tracker.getStageInfo(s) for j in jobs if j for s in j.stageIds]
-        return any(s and s.numActiveTasks for s in stages)
-
-    def _watch(self) -> None:
-        used, seen = 0.0, time.monotonic()
-        while used < self._seconds:
-            if self._done.wait(_POLL_EVERY):
-                return
-            now = time.monotonic()
-            used, seen = used + (now - seen if self._running() else 0.0), now
-        wait = 0.0
-        while not self._done.wait(wait):
-            self._fired.set()
-            self._sc.cancelJobGroup(self._group)
-            wait = _CANCEL_EVERY
-
-    def __enter__(self) -> _Deadline:
-        self._sc.setJobGroup(self._group, "evaluated statement", True)
-        self._thread = threading.Thread(target=self._watch, daemon=True)
-        self._thread.start()
-        return self
-
-    def __exit__(self, *exc) -> None:
-        self._done.set()
-        self._thread.join()
+        placed.write.mode("overwrite").parquet(self.ledger.place(chunk, s.item_id, s.side))
 
 
 class ReadOnlyError(Exception):
@@ -230,25 +182,41 @@ def evaluate(
     """(sample results, execution log) of items with ``gold_sql`` and ``raw_output``.
 
     Each item costs two driver-submitted statements, so their texts pass the driver,
-    a partition at a time; their results do not. The items are stored first, so what
-    produced them, e.g. a generator, runs once. With ``max_rows`` the samples carry
+    a partition at a time; their results do not. Items may bring ``db_path``, which the
+    message about an absent database names, and ``limit_seconds``, a time limit of their
+    own; a null text is an empty statement. With ``max_rows`` the samples carry
     ``truncated``: whether a result of the item had more rows.
+
+    The items are stored first, so what produced them, e.g. a generator, runs once. With
+    ``run_path`` (and the other options of :class:`Runner`) they are stored there: called
+    again, the run takes its items from that folder, executes only the statements without
+    a committed log line and returns the results of all.
     """
     spark = items.sparkSession
     if limit:
         items = items.orderBy("item_id").limit(limit)
-    items = written(items, "items")
-    texts = items.select("item_id", "db_id", "gold_sql", extract_sql(F.col("raw_output")).alias("pred"))
-    statements = (
-        Statement(r["item_id"], side, r["db_id"], r[column])
-        for r in texts.toLocalIterator()
-        for side, column in (("gold", "gold_sql"), ("pred", "pred"))
-    )
     runner = Runner(spark, databases, **options)
+    items = runner.ledger.items(items)
+    own_limit = F.col("limit_seconds") if "limit_seconds" in items.columns else F.lit(None)
+    path = F.col("db_path") if "db_path" in items.columns else F.col("db_id")
+    sides = F.array(
+        F.struct(F.lit("gold").alias("side"), F.col("gold_sql").alias("sql")),
+        F.struct(F.lit("pred").alias("side"), extract_sql(F.col("raw_output")).alias("sql")),
+    )
+    texts = items.select("item_id", "db_id", F.coalesce(path, "db_id").alias("db_path"), own_limit.cast("double").alias("limit_seconds"), F.explode(sides).alias("s"))
+    known = spark.createDataFrame([(d,) for d in databases], "db_id string")
+    guarded = written(exists_guard(texts, dimension(known, "databases")), "statements")
+    refused = guarded.where("guard_status IS NOT NULL").select(
+        "item_id", "s.side", F.col("guard_status").alias("status"), F.col("guard_message").alias("error_message"), F.col("guard_time_ms").alias("execution_time_ms")
+    )
+    ready = guarded.where("guard_status IS NULL").select("item_id", "s.side", "db_id", F.coalesce("s.sql", F.lit("")).alias("sql"), "limit_seconds")
+    rest = ready.join(runner.ledger.lines().select("item_id", "side"), ["item_id", "side"], "left_anti")
+    statements = (Statement(r["item_id"], r["side"], r["db_id"], r["sql"], r["limit_seconds"]) for r in rest.toLocalIterator())
     log, rows = runner.run(statements)
+    log = log.unionByName(refused)
     if runner.max_rows is None:
         return sample_results(items, executed_pairs(log), differing_items(rows)), log
-    kept = rows.where(F.col("row_no") < runner.max_rows)
     longer = rows.where(F.col("row_no") >= runner.max_rows).select("item_id", F.lit(True).alias("truncated")).distinct()
+    kept = cap_result_rows(rows, runner.max_rows)
     samples = sample_results(items, executed_pairs(log), differing_items(kept)).join(longer, "item_id", "left")
     return samples.withColumn("truncated", F.coalesce("truncated", F.lit(False))), log

@@ -453,7 +453,7 @@ def _pairs() -> str:
     lines = []
     for p in CORPUS:
         fails_gold = p.expected == S.GOLD_SQL_ERROR
-        fails_pred = p.expected in (S.SCHEMA_ERROR, S.SYNTAX_ERROR, S.EXECUTION_ERROR)
+        fails_pred = p.expected in (S.SCHEMA_ERROR, S.SYNTAX_ERROR, S.EXECUTION_ERROR, S.TIMEOUT)
         if fails_gold or fails_pred or p.kind in ("extra_column", "number_vs_text", "both_empty"):
             same = "true" if p.expected == CORRECT else "false"
         else:
@@ -598,7 +598,10 @@ def oracle_sql() -> dict[str, str]:
         "text_lengths": f"SELECT doc_id, len({TOKENS}) AS n_tokens, length(text) AS n_chars FROM documents",
         "percent_format": ctes(**a, g=group("db_id")) + f"SELECT db_id, {pct('accuracy * 100')} AS accuracy_text, printf('%+.2f%%', accuracy * 100 - 50) AS delta_text FROM g",
         "status_strings": ctes(**a) + "SELECT gold_status, pred_status, count(*) AS n FROM samples_a GROUP BY gold_status, pred_status",
-        "incremental_eval": ctes(**a) + long_of(),
+        "incremental_verdicts": ctes(**a) + long_of(),
+        "incremental_eval": ctes(samples_a=_pairs()) + long_of(),
+        "execution_times": f"SELECT CAST(i AS BIGINT) AS item_id, 'gold' AS side, '{S.SUCCESS}' AS status, true AS timed FROM range({len(SQL)}) AS r(i)",
+        "statement_timeout": f"SELECT CAST(0 AS BIGINT) AS item_id, side, status FROM (VALUES ('gold', '{S.SUCCESS}'), ('pred', '{S.TIMEOUT}')) AS v(side, status)",
         "with_predictions": f"SELECT item_id, concat({lit('```sql' + chr(10) + 'SELECT ')}, chr(39), question, chr(39), ';', {lit(chr(10) + '```')}) AS raw_output, concat('SELECT ', chr(39), question, chr(39)) AS predicted_sql FROM ({ITEMS}) AS i",
         "length_udf": f"SELECT doc_id, len({TOKENS}) AS n_tokens FROM documents",
     }

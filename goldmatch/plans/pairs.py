@@ -16,6 +16,7 @@ from goldmatch.plans.shapes import SQL
 
 CORRECT = "CORRECT"
 DATABASE = "warehouse"
+RUNAWAY_SECONDS = 15.0  # the limit of an item meant to run into it; the others have the caller's
 
 _SEGMENTS = "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment"
 _NATIONS = "SELECT c_nationkey FROM customer WHERE c_acctbal > 2000"
@@ -51,19 +52,21 @@ CHANGED = [
     Pair("runtime_failure", _NATIONS, "SELECT c_custkey / (c_nationkey - c_nationkey) FROM customer",
          S.EXECUTION_ERROR),
     Pair("write_attempt", _NATIONS, "INSERT INTO customer SELECT * FROM customer", S.EXECUTION_ERROR),
+    Pair("runaway", _NATIONS, "SELECT count(*) FROM range(3000000) AS a JOIN range(3000000) AS b ON a.id * 7 + b.id <> 3", S.TIMEOUT),
     Pair("broken_gold", _NATIONS.replace("FROM customer", "FROM clients"), _NATIONS, S.GOLD_SQL_ERROR),
 ]
 CORPUS = [Pair(f"identical_{name[2:]}", sql, sql, CORRECT) for name, sql in SQL.items()] + CHANGED
 
 
 def pair_items(spark: SparkSession, pairs: list[Pair] = CORPUS) -> DataFrame:
-    """The corpus as items; the prediction comes in a fence, as a generator gives it."""
+    """The corpus as items; the prediction comes in a fence, as a generator gives it. The gold
+    statement of an item with a limit of its own is a quick one."""
     rows = [
-        (no, DATABASE, p.kind, p.gold, f"/corpus/{DATABASE}", None, f"```sql\n{p.pred}\n```")
+        (no, DATABASE, p.kind, p.gold, f"/corpus/{DATABASE}", None, f"```sql\n{p.pred}\n```", RUNAWAY_SECONDS if p.expected == S.TIMEOUT else None)
         for no, p in enumerate(pairs)
     ]
     schema = "item_id long, db_id string, question string, gold_sql string, db_path string, difficulty string, "
-    return spark.createDataFrame(rows, schema + "raw_output string")
+    return spark.createDataFrame(rows, schema + "raw_output string, limit_seconds double")
 
 
 def outcome():

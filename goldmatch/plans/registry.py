@@ -19,11 +19,11 @@ from goldmatch.plans.evaluate import Runner, Statement, evaluate, parquet_databa
 from goldmatch.plans.shapes import SHAPES, SQL
 from goldmatch.session import dimension, scratch_path, written
 from goldmatch.sources import inventory, items, reports, samples
-from goldmatch.streaming.incremental import evaluated, incremental_eval
+from goldmatch.streaming.incremental import evaluated, incremental_eval, incremental_items
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-FIRST_ITEMS, ROW_CAP, BATCHES = 1000, 3, 2
+FIRST_ITEMS, ROW_CAP, BATCHES, ITEM_FILES = 1000, 3, 2, 4
 PAIR_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
 _QUERIES: dict[str, Query] = {}
 
@@ -410,19 +410,41 @@ def evaluate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def execution_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The times differ from run to run; that every statement has one does not."""
     runner = Runner(spark, {PC.DATABASE: parquet_database(sf_dir, PAIR_TABLES)}, timeout_seconds=600.0)
     log, _ = runner.run([Statement(i, "gold", PC.DATABASE, sql) for i, sql in enumerate(SQL.values())])
-    return log
+    return log.select("item_id", "side", "status", (F.col("execution_time_ms") > 0).alias("timed"))
+
+
+# Every triple of line items is looked at: a statement that ends at no size worth a test.
+ENDLESS = (
+    "SELECT count(*) AS n FROM lineitem AS a, lineitem AS b, lineitem AS c "
+    "WHERE a.l_extendedprice * b.l_discount + c.l_tax <> a.l_quantity - b.l_tax * c.l_extendedprice"
+)
 
 
 def statement_timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A statement over all line items under a limit it cannot keep."""
-    runner = Runner(spark, {PC.DATABASE: parquet_database(sf_dir, PAIR_TABLES)}, timeout_seconds=0.02)
-    log, _ = runner.run([Statement(0, "pred", PC.DATABASE, SQL["q_group_agg"])])
-    return log
+    """A statement that cannot keep its limit, next to one that has no need to."""
+    runner = Runner(spark, {PC.DATABASE: parquet_database(sf_dir, PAIR_TABLES)}, timeout_seconds=600.0)
+    statements = [Statement(0, "gold", PC.DATABASE, SQL["q_group_agg"]), Statement(0, "pred", PC.DATABASE, ENDLESS, limit_seconds=3.0)]
+    log, _ = runner.run(statements)
+    return log.select("item_id", "side", "status")
+
+
+def incremental_eval_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pair corpus as a stream of items: executed, judged and reported from the sink."""
+    root, given = scratch_path(spark, "stream"), PC.pair_items(spark)
+    given.repartition(ITEM_FILES, "item_id").write.parquet(f"{root}/source")
+    databases = {PC.DATABASE: parquet_database(sf_dir, PAIR_TABLES)}
+    incremental_items(
+        spark, f"{root}/source", given.schema, databases, f"{root}/sink", f"{root}/checkpoint",
+        files_per_batch=ITEM_FILES // BATCHES, timeout_seconds=600.0,
+    )
+    return metrics.metrics_long(evaluated(spark, f"{root}/sink/samples", reports.SAMPLE_SCHEMA))
 
 
 _QUERIES |= {f.__name__: f for f in (evaluate_pairs, execution_times, statement_timeout)}
+_QUERIES["incremental_eval"] = incremental_eval_items
 
 
 @query
@@ -551,7 +573,8 @@ def status_strings(t):
 
 
 @query
-def incremental_eval_(t):
+def incremental_verdicts(t):
+    """Pairs that were executed before, judged as a stream."""
     spark = _spark(t)
     root = scratch_path(spark, "incremental")
     joined = verdict.joined_pairs(W.items(t), W.executed(t), _differing(t))
@@ -565,9 +588,6 @@ def incremental_eval_(t):
     return metrics.metrics_long(done)
 
 
-_QUERIES["incremental_eval"] = _QUERIES.pop("incremental_eval_")
-
-
 @query
 def with_predictions(t):
     """The generator is a double that answers with the prompt's question, in a fence."""

@@ -1,14 +1,21 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from goldmatch.functions import prompts as P
 from goldmatch.operators import metrics as M
 from goldmatch.operators import predict
+from goldmatch.operators import verdict as V
+from goldmatch.operators.compare import differing_items
+from goldmatch.operators.verdict import executed_pairs
 from goldmatch.plans import evaluate as E
 from goldmatch.plans import pairs as PC
 from goldmatch.plans.evaluate import Runner, Statement, evaluate, parquet_database
+from goldmatch.plans.ledger import ROW_SCHEMA, Ledger
 from goldmatch.plans.registry import PAIR_TABLES
 from goldmatch.sources import items, reports
+from goldmatch.streaming.incremental import evaluated, incremental_items
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -23,7 +30,7 @@ def runner(spark):
 
 
 def run_one(runner, sql, db_id="shop"):
-    Runner.__post_init__(runner)  # a fresh folder for the rows
+    Runner.__post_init__(runner)  # a fresh run folder
     log, rows = runner.run([Statement(0, "gold", db_id, sql)])
     line = log.first()
     return line.status, [tuple(r.cells) for r in rows.orderBy("row_no").collect()], line
@@ -65,9 +72,12 @@ def test_unknown_database(runner):
     assert (status, line.error_message, line.execution_time_ms) == ("EXECUTION_ERROR", "Database file does not exist: elsewhere", 0.0)
 
 
+ENDLESS_RANGE = "SELECT count(*) FROM range(3000000) a JOIN range(3000000) b ON a.id * 7 + b.id <> 3"
+
+
 def test_runaway_statement_is_stopped(spark):
     runner = Runner(spark, {"d": {}}, timeout_seconds=1.0)
-    log, _ = runner.run([Statement(0, "pred", "d", "SELECT count(*) FROM range(3000000) a JOIN range(3000000) b ON a.id * 7 + b.id <> 3")])
+    log, _ = runner.run([Statement(0, "pred", "d", ENDLESS_RANGE)])
     line = log.first()
     assert line.status == "TIMEOUT" and line.execution_time_ms < 20000
     after = Runner(spark, {"d": {}}, timeout_seconds=60).run([Statement(0, "pred", "d", "SELECT 1")])[0]
@@ -96,11 +106,37 @@ def test_commands_are_refused(runner):
         assert run_one(runner, sql)[:2] == ("EXECUTION_ERROR", []), sql
 
 
-def test_waiting_is_not_a_timeout(spark):
-    slow = Statement(0, "pred", "d", "SELECT count(*) FROM range(3000000) a JOIN range(3000000) b ON a.id * 7 + b.id <> 3")
+SHORT_TASKS = "SELECT sum(hash(a.id * b.id)) FROM range(0, 40000, 1, 8000) a JOIN range(100000) b ON a.id + b.id <> 3"
+
+
+def with_neighbours(spark, sql):
     quick = [Statement(i, "pred", "d", f"SELECT sum(id) FROM range({i}000)") for i in range(1, 8)]
-    log, _ = Runner(spark, {"d": {}}, timeout_seconds=3.0).run([slow, *quick])
-    assert {r.item_id: r.status for r in log.collect()} == {0: "TIMEOUT"} | {i: "SUCCESS" for i in range(1, 8)}
+    log, _ = Runner(spark, {"d": {}}, timeout_seconds=10.0).run([Statement(0, "pred", "d", sql, limit_seconds=12.0), *quick])
+    lines = {r.item_id: r for r in log.collect()}
+    assert {i: r.status for i, r in lines.items()} == {0: "TIMEOUT"} | {i: "SUCCESS" for i in range(1, 8)}
+    return max(lines[i].execution_time_ms for i in range(1, 8))
+
+
+def test_waiting_is_not_a_timeout(spark):
+    """Tasks that run long hold all slots until their statement's limit; waiting for them does not count."""
+    with_neighbours(spark, ENDLESS_RANGE)
+
+
+def test_pools_share_the_slots(spark):
+    """Where tasks end, the next slots go to the neighbours first."""
+    assert with_neighbours(spark, SHORT_TASKS) < 11_000
+
+
+MANY_STAGES = "SELECT " + " + ".join(f"(SELECT count(*) FROM range({i + 10}) WHERE id % {i + 2} = 1)" for i in range(300))
+ON_THE_DRIVER = "SELECT aggregate(sequence(1, 9000), 0L, (a, x) -> a + aggregate(sequence(1, 9000), 0L, (b, y) -> b + x * y % 7)) AS s"
+
+
+@pytest.mark.parametrize("sql,seconds", [(MANY_STAGES, 1.0), (MANY_STAGES, 0.5), (ON_THE_DRIVER, 1.0), (ENDLESS_RANGE, 1.0)])
+def test_the_limit_holds(spark, sql, seconds):
+    """Many short stages, time spent while planning, one long stage: all end within twice the limit."""
+    log, _ = Runner(spark, {"d": {}}, timeout_seconds=seconds).run([Statement(0, "pred", "d", sql)])
+    line = log.first()
+    assert line.status == "TIMEOUT" and line.execution_time_ms < 2000 * seconds + 300
 
 
 def test_statements_in_chunks(spark, monkeypatch):
@@ -109,6 +145,117 @@ def test_statements_in_chunks(spark, monkeypatch):
     assert log.count() == 5 and sorted(r.cells[0] for r in rows.collect()) == [f"n:{i}" for i in range(5)]
 
 
+PEOPLE = "item_id long, db_id string, question string, gold_sql string, raw_output string, difficulty string"
+
+
+def numbers(spark, n, db=lambda i: "d"):
+    data = [(i, db(i), "", f"SELECT {i} AS x", f"SELECT {i if i % 3 else -1} AS y", "easy") for i in range(n)]
+    return spark.createDataFrame(data, PEOPLE)
+
+
+def folders(path):
+    return sorted(p.name for p in Path(path).iterdir() if p.is_dir()) if Path(path).exists() else []
+
+
+class Killed(Exception):
+    pass
+
+
+def test_a_run_goes_on_after_a_lost_driver(spark, tmp_path, monkeypatch):
+    """Killed while its third chunk runs, the run executes only what is not committed."""
+    monkeypatch.setattr(E, "CHUNK", 4)
+    executed, execute, commit = [], Runner.execute, Ledger.commit
+
+    def counted(self, s, chunk):
+        executed.append((s.item_id, s.side))
+        return execute(self, s, chunk)
+
+    monkeypatch.setattr(Runner, "execute", counted)
+    whole = sorted(tuple(r)[:11] for r in evaluate(numbers(spark, 10), {"d": {}}, timeout_seconds=60)[0].collect())
+    assert len(executed) == 20
+    executed.clear()
+
+    def dies(self, chunk, log, written):
+        if len(folders(f"{self.path}/log")) == 2:
+            commit(self, chunk, log, written)
+            Path(f"{self.path}/log/chunk={chunk}").rename(tmp_path / "torn")  # rows without their log
+            raise Killed
+        commit(self, chunk, log, written)
+
+    monkeypatch.setattr(Ledger, "commit", dies)
+    run = f"{tmp_path}/run"
+    with pytest.raises(Killed):
+        evaluate(numbers(spark, 10), {"d": {}}, timeout_seconds=60, run_path=run)
+    assert len(executed) == 12 and len(folders(f"{run}/log")) == 2 and len(folders(f"{run}/rows")) == 3
+    monkeypatch.setattr(Ledger, "commit", commit)
+    executed.clear()
+    samples, log = evaluate(numbers(spark, 10).where("false"), {"d": {}}, timeout_seconds=60, run_path=run)
+    assert len(executed) == 12 and log.count() == 20
+    assert sorted(tuple(r)[:11] for r in samples.collect()) == whole
+    executed.clear()
+    again, _ = evaluate(numbers(spark, 10), {"d": {}}, timeout_seconds=60, run_path=run)
+    assert executed == [] and sorted(tuple(r)[:11] for r in again.collect()) == whole
+
+
+def test_a_chunk_leaves_two_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(E, "CHUNK", 16)
+    monkeypatch.setattr(E, "OPEN_SESSIONS", 2)
+    opened = []
+
+    def table(db):
+        def read(s):
+            opened.append(db)
+            return s.range(3)
+
+        return {"t": read}
+
+    databases = {f"d{i}": table(f"d{i}") for i in range(6)}
+    runner = Runner(spark, databases, timeout_seconds=60, run_path=f"{tmp_path}/run")
+    assert opened == []  # sessions are made on first use
+    log, rows = runner.run(Statement(i, "gold", f"d{i % 5}", f"SELECT count(*) + {i} FROM t") for i in range(40))
+    assert log.count() == 40 and sorted(r.cells[0] for r in rows.collect()) == sorted(f"n:{i + 3}" for i in range(40))
+    assert len(folders(f"{tmp_path}/run/rows")) == len(folders(f"{tmp_path}/run/log")) == 3
+    assert folders(f"{tmp_path}/run/work") == [] and "d5" not in opened and not runner._sessions
+
+
+def test_absent_databases_and_null_texts(spark):
+    data = [(0, "d", "SELECT 1", "SELECT 1", "/x/d"), (1, "gone", "SELECT 1", "SELECT 1", "/x/gone.sqlite"), (2, "d", None, "SELECT 1", None), (3, "gone", "", None, None)]
+    table = spark.createDataFrame([(i, d, "", g, p, "easy", path) for i, d, g, p, path in data], PEOPLE + ", db_path string")
+    samples, log = evaluate(table, {"d": {}}, timeout_seconds=60)
+    got = {r.item_id: (r.is_correct, r.gold_status, r.pred_status, r.error_message) for r in samples.collect()}
+    absent = "EXECUTION_ERROR: Database file does not exist: "
+    assert got[0] == (True, "SUCCESS", "SUCCESS", None)
+    assert got[1] == (False, "EXECUTION_ERROR", "EXECUTION_ERROR", absent + "/x/gone.sqlite")
+    assert got[2][:3] == (False, "SYNTAX_ERROR", "SUCCESS") and got[3][3] == absent + "gone"
+    assert log.count() == 8
+    assert V.sample_results(table, executed_pairs(log.where("item_id > 0")), differing_items(spark.createDataFrame([], ROW_SCHEMA))).where("item_id = 0").first().error_message == "EXECUTION_ERROR: statement was not executed"
+
+
+def test_items_as_a_stream(spark, tmp_path, monkeypatch):
+    """A batch killed in its second chunk comes again and executes the rest; the sink equals batch."""
+    monkeypatch.setattr(E, "CHUNK", 4)
+    executed, execute = [], Runner.execute
+
+    def counted(self, s, chunk):
+        executed.append(s.item_id)
+        if len(executed) == 7 and not (tmp_path / "died").exists():
+            (tmp_path / "died").touch()
+            raise Killed
+        return execute(self, s, chunk)
+
+    monkeypatch.setattr(Runner, "execute", counted)
+    numbers(spark, 6).repartition(2, "item_id").write.parquet(f"{tmp_path}/in")
+    args = (spark, f"{tmp_path}/in", PEOPLE, {"d": {}}, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    options = {"files_per_batch": 5, "timeout_seconds": 60}
+    with pytest.raises(Exception):
+        incremental_items(*args, **options)
+    before = len(executed)
+    assert incremental_items(*args, **options) == 1 and len(executed) - before == 8
+    done = lambda: sorted(tuple(r)[:11] for r in evaluated(spark, f"{tmp_path}/out/samples", reports.SAMPLE_SCHEMA).collect())
+    assert done() == sorted(tuple(r)[:11] for r in evaluate(numbers(spark, 6), {"d": {}}, timeout_seconds=60)[0].collect())
+    assert incremental_items(*args, **options) == 0 and len(done()) == 6
+
+
 def test_pair_corpus(spark):
     databases = {PC.DATABASE: parquet_database(SMALL, PAIR_TABLES)}
     results, log = evaluate(PC.pair_items(spark), databases, timeout_seconds=300)
@@ -117,7 +264,7 @@ def test_pair_corpus(spark):
     assert log.count() == 2 * len(PC.CORPUS)
     errors = {r.category: r.n for r in M.error_breakdown(results).collect()}
     assert errors["RESULT_MISMATCH"] == 7 and errors["SCHEMA_ERROR"] == 2
-    assert M.overall_metrics(results).first().valid_sql_queries == len(PC.CORPUS) - 5
+    assert M.overall_metrics(results).first().valid_sql_queries == len(PC.CORPUS) - 6 and errors["TIMEOUT"] == 1
 
 
 def test_columns_by_name(spark):

@@ -20,6 +20,7 @@ spec.loader.exec_module(check)
 
 # The rest is compared by tools/check_oracle.py; these stand for every group.
 COMPARED = [
+    "execution_times", "statement_timeout", "incremental_eval",
     "load_items_union", "split_labelled_scan", "write_samples_jsonl", "write_report_json", "read_metrics_json",
     "normalize_types", "normalize_fks", "overlength_cut", "ordered_compare", "bag_compare_by_name",
     "compare_runs_errors", "leakage_audit", "tier_table", "metrics_long", "length_by_part", "render_ddl",
@@ -44,14 +45,10 @@ def test_query_agrees_with_sql(spark, con, name):
 def test_registry_is_consistent():
     optional = re.compile(r"op\d+_|pipeline$")
     without_sql = {n for n in set(entry.queries()) - set(entry.oracle_sql()) if not optional.match(n)}
-    assert without_sql == {"execution_times", "statement_timeout"}
+    assert without_sql == set()
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_timeout_query(spark):
-    assert [r.status for r in entry.queries()["statement_timeout"](spark, SMALL).collect()] == ["TIMEOUT"]
-
-
 def plan(df):
     return df._jdf.queryExecution().explainString(
         df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
