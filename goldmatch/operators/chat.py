@@ -54,21 +54,23 @@ def system_turn(first_role: Column, first_content: Column, tools: list[dict] | N
     return _turn(F.lit("system"), F.concat(F.lit("\n"), text, F.lit(listed)))
 
 
-def tool_call_text(calls: Column, arguments_type: T.DataType) -> Column:
+def _call_text(call: Column, call_type: T.StructType) -> Column:
+    """One call as a JSON object: ``{name, arguments}``, or that as the field ``function``."""
+    own = None
+    if "arguments" in call_type.names:
+        own = F.concat(
+            F.lit('{"name": "'), F.coalesce(call["name"], F.lit("")), F.lit('", "arguments": '),
+            json_text(call["arguments"], call_type["arguments"].dataType), F.lit("}"),
+        )
+    if "function" not in call_type.names:
+        return own
+    inner = _call_text(call["function"], call_type["function"].dataType)
+    return inner if own is None else F.when(call["function"].isNotNull(), inner).otherwise(own)
+
+
+def tool_call_text(calls: Column, call_type: T.StructType) -> Column:
     """``<tool_call>`` blocks of one assistant turn."""
-    return F.array_join(
-        F.transform(
-            calls,
-            lambda c: F.concat(
-                F.lit(CALL_BEFORE + '{"name": "'),
-                F.coalesce(c["name"], F.lit("")),
-                F.lit('", "arguments": '),
-                json_text(c["arguments"], arguments_type),
-                F.lit("}" + CALL_AFTER),
-            ),
-        ),
-        "",
-    )
+    return F.array_join(F.transform(calls, lambda c: F.concat(F.lit(CALL_BEFORE), _call_text(c, call_type), F.lit(CALL_AFTER))), "")
 
 
 def opens_tool_turn(role: Column, previous: Column) -> Column:
@@ -80,14 +82,14 @@ def closes_tool_turn(role: Column, following: Column) -> Column:
 
 
 def turn_text(
-    m: Column, previous: Column, following: Column, first: Column, arguments_type: T.DataType | None
+    m: Column, previous: Column, following: Column, first: Column, call_type: T.StructType | None
 ) -> Column:
     """Text of one message given its neighbours' roles. The first message's system
     text is part of :func:`system_turn`; consecutive tool messages share a turn."""
     role, content = m["role"], F.coalesce(m["content"], F.lit(""))
     plain = _turn(role, F.concat(F.lit("\n"), content))
     out = F.when((role == "user") | ((role == "system") & ~first), plain)
-    if arguments_type is None:
+    if call_type is None:
         out = out.when(role == "assistant", plain)
     else:
         calls = m["tool_calls"]
@@ -95,7 +97,7 @@ def turn_text(
         body = F.when(content != "", F.concat(F.lit("\n"), content)).otherwise(F.lit(""))
         out = out.when((role == "assistant") & ~has_calls, plain)
         out = out.when(
-            role == "assistant", _turn(role, F.concat(body, tool_call_text(calls, arguments_type)))
+            role == "assistant", _turn(role, F.concat(body, tool_call_text(calls, call_type)))
         )
     tool = F.concat(
         F.when(opens_tool_turn(role, previous), F.lit(TURN_START + "user")).otherwise(F.lit("")),
@@ -107,10 +109,10 @@ def turn_text(
     return out.when(role == "tool", tool).otherwise(F.lit(""))
 
 
-def _arguments_type(message_type: T.StructType) -> T.DataType | None:
+def _call_type(message_type: T.StructType) -> T.StructType | None:
     if "tool_calls" not in message_type.names:
         return None
-    return message_type["tool_calls"].dataType.elementType["arguments"].dataType
+    return message_type["tool_calls"].dataType.elementType
 
 
 def render_messages(
@@ -120,7 +122,7 @@ def render_messages(
     add_generation_prompt: bool = False,
 ) -> Column:
     """Template text of an array of messages."""
-    args = _arguments_type(message_type)
+    args = _call_type(message_type)
     turns = F.transform(
         messages,
         lambda m, i: turn_text(
@@ -174,7 +176,7 @@ def render_turns(
     position are its text. The first one has the system turn, the last one the prompt."""
     first, last = F.col("_pos") == 0, F.col("_pos") == F.col("_size") - 1
     message = {c: F.col(c) for c in turns.columns}
-    text = turn_text(message, F.col("_previous"), F.col("_following"), first, _arguments_type(turns.schema))
+    text = turn_text(message, F.col("_previous"), F.col("_following"), first, _call_type(turns.schema))
     head = F.when(first, system_turn(F.col("role"), F.col("content"), tools)).otherwise(F.lit(""))
     tail = F.when(last, F.lit(OPEN_TURN if add_generation_prompt else "")).otherwise(F.lit(""))
     return _placed(turns, block_turns).select(

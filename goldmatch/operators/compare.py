@@ -6,7 +6,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -76,6 +76,17 @@ def cap_result_rows(rows: DataFrame, max_rows: int) -> DataFrame:
     return rows.where(F.col("row_no") < max_rows)
 
 
+def capped_results(rows: DataFrame, max_rows: int) -> DataFrame:
+    """The first ``max_rows`` rows of every result, with ``truncated``: whether it has more.
+
+    Positions are dense, so the row after the last one kept answers that; rows beyond it are
+    dropped before anything moves, and a group has ``max_rows`` + 1 rows at most.
+    """
+    near = rows.where(F.col("row_no") <= max_rows)
+    last = F.max("row_no").over(Window.partitionBy("item_id", "side"))
+    return cap_result_rows(near.withColumn("truncated", last == max_rows), max_rows)
+
+
 def truncated_results(rows: DataFrame, max_rows: int) -> DataFrame:
     """Row counts per result and whether the cap would cut it."""
     return (

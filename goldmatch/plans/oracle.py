@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 from goldmatch.functions import prompts as P
 from goldmatch.functions import sqltext as Q
 from goldmatch.functions import statuses as S
 from goldmatch.functions.text import WHITESPACE
 from goldmatch.operators import chat
-from goldmatch.operators.lengths import MAX_TOKENS, PERCENTILES, THRESHOLDS, TOKEN
+from goldmatch.operators.lengths import MAX_TOKENS, PERCENTILES, SKETCH_ERROR, THRESHOLDS, TOKEN
 from goldmatch.operators.metrics import QUERY_TYPES, TIERS
 from goldmatch.operators.runs import BIG_WIN_POINTS, TIER_ORDER, TYPE_ORDER
 from goldmatch.operators.schema import INTERNAL_TABLES
 from goldmatch.plans import workload as W
-from goldmatch.plans.pairs import CORPUS, CORRECT
+from goldmatch.plans.pairs import CORPUS, CORRECT, DATABASE
 from goldmatch.plans.registry import FIRST_ITEMS, ROW_CAP
 from goldmatch.plans.shapes import SQL
 
@@ -483,6 +485,65 @@ def _pairs() -> str:
     )
 
 
+# Spark's names of the given tables' types
+_TYPE_NAMES = {"VARCHAR": "STRING", "INTEGER": "INT", "TIMESTAMP": "TIMESTAMP_NTZ", "FLOAT[]": "ARRAY<FLOAT>"}
+
+
+def _own_columns() -> str:
+    """Catalog lines of the given tables, from the tables."""
+    named = "CASE t " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _TYPE_NAMES.items()) + " ELSE t END"
+    lines = [
+        f"SELECT {no} AS table_no, '{table}' AS table_name, {cid} AS cid, '{name}' AS name, max(typeof({name})) AS t, "
+        f"count(*) = count({name}) AS not_null, {'true' if name in W.DATA_KEYS.get(table, []) else 'false'} AS is_primary_key FROM {table}"
+        for no, (table, columns) in enumerate(W.CATALOG) if table in W.GIVEN_TABLES
+        for cid, (name, *_) in enumerate(columns)
+    ]
+    return f"SELECT table_no, table_name, cid, name, {named} AS data_type, not_null, is_primary_key FROM ({' UNION ALL '.join(lines)}) AS c"
+
+
+def _own_ddl() -> str:
+    keys = _values([[lit(table), lit(", ".join(key)), str(len(key))] for table, key in W.DATA_KEYS.items()])
+    edges = _values([[lit(table), str(no), lit(f"    FOREIGN KEY ({c}) REFERENCES {to}({to_c})")] for no, (table, c, to, to_c) in enumerate(W.DATA_EDGES)])
+    single = "CASE WHEN is_primary_key AND k.n = 1 THEN ' PRIMARY KEY' ELSE '' END"
+    return ctes(
+        col=_own_columns(),
+        k=f"SELECT * FROM ({keys}) AS v(table_name, pks, n)",
+        line=f"SELECT table_no, col.table_name, 1 AS part, cid AS no, concat('    ', name, ' ', data_type, {single}) AS txt FROM col LEFT JOIN k ON col.table_name = k.table_name "
+        "UNION ALL SELECT (SELECT min(table_no) FROM col WHERE col.table_name = k.table_name), table_name, 2, 0, concat('    PRIMARY KEY (', pks, ')') FROM k WHERE n > 1 "
+        f"UNION ALL SELECT (SELECT min(table_no) FROM col WHERE col.table_name = e.table_name), table_name, 3, no, txt FROM ({edges}) AS e(table_name, no, txt)",
+        tab="SELECT table_no, concat('CREATE TABLE ', table_name, ' (', chr(10), string_agg(txt, concat(',', chr(10)) ORDER BY part, no), chr(10), ');') AS ddl FROM line GROUP BY table_no, table_name",
+    ) + f"SELECT '{DATABASE}' AS db_id, string_agg(ddl, concat(chr(10), chr(10)) ORDER BY table_no) AS ddl FROM tab"
+
+
+def _sketch_profile(rel: str) -> str:
+    gamma = (1 + SKETCH_ERROR) / (1 - SKETCH_ERROR)
+    value = f"CASE WHEN bucket < 0 THEN high ELSE least(greatest(2.0 * pow({gamma!r}, bucket) / {gamma + 1!r}, low), high) END"
+    names = zip(PERCENTILES, ["median_len", "p90", "p95", "p99"])
+    quantiles = ", ".join(f"round(arg_min(v, bucket) FILTER (WHERE upto > floor({p} * (every - 1))), 4) AS {n}" for p, n in names)
+    return ctes(
+        s=f"SELECT part, CASE WHEN len <= 0 THEN -1 ELSE CAST(ceil(ln(len) / {math.log(gamma)!r}) AS INTEGER) END AS bucket, count(*) AS n, sum(len) AS total, min(len) AS low, max(len) AS high FROM ({rel}) AS l GROUP BY 1, 2",
+        p=f"SELECT *, CAST({value} AS DOUBLE) AS v, sum(n) OVER (PARTITION BY part ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY part) AS every FROM s",
+    ) + f"SELECT part, CAST(sum(n) AS BIGINT) AS n, min(low) AS min_len, round(sum(total) / sum(n), 4) AS mean_len, {quantiles}, max(high) AS max_len FROM p GROUP BY part"
+
+
+def _canonical_cells() -> str:
+    plain = lambda x: f"regexp_replace({x}, '\\.?0+$', '')"
+    number = lambda x: f"concat('n:', {plain(f'printf({lit(chr(37) + chr(46) + chr(52) + chr(102))}, {x})')})"
+    quoted = lambda x: f"concat('\"', {x}, '\"')"
+    text = lambda x: f"concat('s:', {strip(x)})"
+    flags = f"concat('[', {quoted(text('l_returnflag'))}, ',', CASE WHEN l_linenumber > 3 THEN {quoted(text('l_linestatus'))} ELSE 'null' END, ']')"
+    pair = lambda k, x: f"concat('[', {quoted(lit('s:' + k))}, ',', {quoted(number(x))}, ']')"
+    seconds = "epoch(l_shipdate) - epoch(TIMESTAMP '1992-01-01')"
+    return (
+        "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, concat('n:', CAST(CAST(l_orderkey * 100000000000000::HUGEINT AS HUGEINT) AS VARCHAR)) AS wide, "
+        f"concat('n:', {plain('CAST(CAST(round(CAST(l_partkey AS DECIMAL(18,0)) * 123456789.123456::DECIMAL(18,6), 4) AS DECIMAL(30,4)) AS VARCHAR)')}) AS exact, "
+        f"{number('l_extendedprice * l_discount')} AS real, "
+        f"concat('i:INTERVAL ', chr(39), CAST(({seconds})::BIGINT // 86400 AS VARCHAR), ' ', strftime(l_shipdate, '%H:%M:%S'), chr(39), ' DAY TO SECOND') AS since, "
+        f"concat('a:', {flags}) AS flags, concat('m:[', {pair('qty', 'l_quantity')}, ',', {pair('tax', 'l_tax')}, ']') AS named, "
+        f"concat('t:[', {quoted('concat(' + lit('n:') + ', l_suppkey)')}, ',', {quoted('replace(concat(' + lit('a:') + ', ' + flags + '), chr(34), concat(chr(92), chr(34)))')}, ']') AS nested FROM lineitem"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     a, both = samples_ctes("a"), {**samples_ctes("a"), **samples_ctes("b")}
     it = {"it": ITEMS}
@@ -512,6 +573,12 @@ def oracle_sql() -> dict[str, str]:
         "load_items_union": f"SELECT row_number() OVER (ORDER BY item_id NOT IN ({done}), item_id) - 1 AS item_id, db_id, question, gold_sql, difficulty FROM ({ITEMS}) AS i",
         "split_labelled_scan": ctes(**it, tr=TRAINING) + f"SELECT item_id, db_id, difficulty, CASE split WHEN 'val' THEN 'validation' ELSE 'train' END AS split, CAST(3 AS BIGINT) AS n_messages, md5({USER}) AS user_md5, {ANSWER} AS answer FROM tr",
         "source_inventory": f"SELECT DISTINCT db_id FROM ({ITEMS}) AS i",
+        "folder_inventory": f"SELECT DISTINCT db_id FROM ({ITEMS}) AS i",
+        "missing_folders": f"SELECT DISTINCT db_id FROM ({ITEMS}) AS i WHERE db_id NOT IN (SELECT db_id FROM ({ITEMS}) AS j WHERE difficulty = 'hard' AND item_id NOT IN ({done}))",
+        "catalog_columns": f"SELECT table_name, cid, name, data_type, not_null, is_primary_key FROM ({_own_columns()}) AS c",
+        "catalog_ddl": _own_ddl(),
+        "length_profile_sketch": _sketch_profile(f"SELECT 'documents' AS part, len({TOKENS}) AS len FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'conversations', len({TOKENS}) FROM conversations WHERE text IS NOT NULL"),
+        "canonical_cells": _canonical_cells(),
         "missing_required": "SELECT DISTINCT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 40)",
         "write_samples_jsonl": ctes(**it, sp=split_of("(SELECT * FROM it)", "db_id")) + "SELECT split, count(*) AS n_lines, CAST(count_if(difficulty IS NULL) AS BIGINT) AS n_null_difficulty FROM sp GROUP BY split",
         "write_report_json": ctes(**a) + "SELECT * FROM samples_a",
@@ -570,6 +637,10 @@ def oracle_sql() -> dict[str, str]:
         "group_split": f"SELECT doc_id, source, split FROM ({split_of('documents', 'source')}) AS s",
         "limit_items": f"SELECT item_id, gold_sql FROM ({ITEMS}) AS i ORDER BY item_id LIMIT {FIRST_ITEMS}",
         "cap_result_rows": ctes(**sides()) + (
+            f"SELECT item_id, side, row_no, part, CAST(price AS DOUBLE) AS price, flag, n > {ROW_CAP} AS truncated FROM (SELECT *, count(*) OVER (PARTITION BY item_id, side) AS n "
+            f"FROM (SELECT 'gold' AS side, * FROM gold_a UNION ALL SELECT 'pred', * FROM pred_a) AS s) AS c WHERE row_no < {ROW_CAP}"
+        ),
+        "truncated_results": ctes(**sides()) + (
             f"SELECT item_id, side, count(*) AS n_rows, least(count(*), {ROW_CAP}) AS kept_rows, count(*) > {ROW_CAP} AS truncated "
             "FROM (SELECT item_id, 'gold' AS side FROM gold_a UNION ALL SELECT item_id, 'pred' FROM pred_a) AS s GROUP BY item_id, side"
         ),

@@ -18,7 +18,7 @@ from goldmatch.plans import workload as W
 from goldmatch.plans.evaluate import Runner, Statement, evaluate, parquet_database
 from goldmatch.plans.shapes import SHAPES, SQL
 from goldmatch.session import dimension, scratch_path, written
-from goldmatch.sources import inventory, items, reports, samples
+from goldmatch.sources import catalog, inventory, items, reports, samples
 from goldmatch.streaming.incremental import evaluated, incremental_eval, incremental_items
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +94,29 @@ def source_inventory(t):
     return inventory.databases_of(files, F.col("path"))
 
 
+@query
+def folder_inventory(t):
+    """A real folder: a file per database of the items, and copies where they do not count."""
+    root = scratch_path(_spark(t), "corpus")
+    found = W.items(t).select("db_id").distinct()
+    # file names are Spark's, so the folder alone names the database here
+    for place in ("database", "backup/database", "database/old"):
+        found.withColumn("named", F.col("db_id")).repartition(1).write.partitionBy("db_id").json(f"{root}/{place}")
+    return inventory.source_inventory(_spark(t), root, "database/db_id=*/*.json", r"^database/db_id=([^/]+)/[^/]+$")
+
+
+@query
+def missing_folders(t):
+    """Databases of the items without a folder: those whose orders are all finished have none."""
+    root, items_ = scratch_path(_spark(t), "corpus"), W.items(t)
+    open_ = t("orders").where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("item_id"))
+    present = items_.join(open_, "item_id", "left_semi").where("difficulty = 'hard'").select("db_id").distinct()
+    present.withColumn("named", F.col("db_id")).repartition(1).write.partitionBy("db_id").json(f"{root}/database")
+    items_.select("db_id").distinct().withColumn("named", F.col("db_id")).repartition(1).write.partitionBy("db_id").json(f"{root}/database/copy")
+    found = inventory.source_inventory(_spark(t), root, "database/db_id=*/*.json", r"^database/db_id=([^/]+)/[^/]+$")
+    return inventory.missing_required(items_, found, "db_id")
+
+
 @query
 def missing_required(t):
     present = t("lineitem").where(F.col("l_quantity") > 40).select(F.col("l_partkey").alias("p_partkey"))
@@ -128,6 +151,25 @@ def read_metrics_json(t):
     return reports.metrics_of(stored).unionByName(errors)
 
 
+def _warehouse(t):
+    """The given tables as one database."""
+    return {PC.DATABASE: {name: (lambda _, name=name: t(name)) for name in W.GIVEN_TABLES}}
+
+
+@query
+def catalog_columns(t):
+    """Columns, types and observed nullability of the given tables themselves."""
+    columns = catalog.catalog_columns(_spark(t), _warehouse(t), W.DATA_KEYS, observe=True)
+    return schema.normalize_types(columns).select("table_name", "cid", "name", "data_type", "not_null", "is_primary_key")
+
+
+@query
+def catalog_ddl(t):
+    """Schema text of the given tables themselves."""
+    columns = catalog.catalog_columns(_spark(t), _warehouse(t), W.DATA_KEYS)
+    return schema.schema_text(columns, catalog.catalog_fks(_spark(t), _warehouse(t), W.DATA_EDGES))
+
+
 # --- projections and filters -------------------------------------------------
 
 
@@ -310,6 +352,19 @@ def length_profile(t):
     return lengths.length_profile(_token_lengths(t), ["part"])
 
 
+@query
+def length_profile_sketch(t):
+    """One stored sketch per batch of texts, merged; every source is a batch."""
+    path = scratch_path(_spark(t), "sketches")
+    docs = t("documents").select(F.lit("documents").alias("part"), F.coalesce("source", F.lit("")).alias("batch"), "text")
+    talk = t("conversations").select(F.lit("conversations").alias("part"), F.coalesce("role", F.lit("")).alias("batch"), "text")
+    for texts in (docs, talk):
+        measured = texts.select("part", "batch", lengths.token_count(F.col("text")).cast("long").alias("len"))
+        lengths.length_sketch(measured, ["batch", "part"]).write.mode("append").partitionBy("batch").parquet(path)
+    stored = _spark(t).read.parquet(path)
+    return lengths.sketch_profile(lengths.merge_sketches(stored, ["part"]), ["part"])
+
+
 @query
 def length_coverage(t):
     docs = t("documents").select("text")
@@ -375,6 +430,15 @@ def limit_items(t):
 
 @query
 def cap_result_rows(t):
+    """The rows kept, with the flag of their result."""
+    value = lambda i: F.substr(F.get("cells", F.lit(i)), F.lit(3))
+    return compare.capped_results(W.result_rows(t), ROW_CAP).select(
+        "item_id", "side", "row_no", value(0).cast("long").alias("part"), value(1).cast("double").alias("price"), value(2).alias("flag"), "truncated"
+    )
+
+
+@query
+def truncated_results(t):
     return compare.truncated_results(W.result_rows(t), ROW_CAP)
 
 
@@ -459,6 +523,25 @@ def normalize_cells(t):
     return lines.select(*[C.normalize_value(F.col(c), types[c]).alias(c) for c in lines.columns])
 
 
+@query
+def canonical_cells(t):
+    """Tagged texts of cells of every family, nested ones too."""
+    lines = t("lineitem")
+    flags = F.array(F.concat(F.lit(" "), F.col("l_returnflag")), F.when(F.col("l_linenumber") > 3, F.col("l_linestatus")))
+    values = {
+        "wide": F.col("l_orderkey").cast("double") * 1e14,
+        "exact": (F.col("l_partkey").cast("decimal(20,0)") * F.lit("123456789.123456").cast("decimal(18,6)")),
+        "real": F.col("l_extendedprice") * F.col("l_discount"),
+        "since": F.col("l_shipdate") - F.lit("1992-01-01 00:00:00").cast("timestamp_ntz"),
+        "flags": flags,
+        "named": F.create_map(F.lit("tax"), F.col("l_tax"), F.lit("qty"), F.col("l_quantity")),
+        "nested": F.struct(F.col("l_suppkey").alias("s"), flags.alias("f")),
+    }
+    wide = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[c.alias(n) for n, c in values.items()])
+    types = {f.name: f.dataType for f in wide.schema.fields}
+    return wide.select(*[C.canonical_cell(F.col(c), types[c]).alias(c) if c in values else F.col(c) for c in wide.columns])
+
+
 @query
 def classify_errors(t):
     return verdict.classify_errors(W.execution_log(t)).select("item_id", "side", "status", "error_message")

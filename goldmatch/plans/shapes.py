@@ -136,19 +136,18 @@ def q_in_subquery(t: Table) -> DataFrame:
 
 
 def not_in(left: DataFrame, key: str, listed: DataFrame, item: str) -> DataFrame:
-    """``key NOT IN (SELECT item …)`` with SQL's three-valued meaning.
+    """``key NOT IN (SELECT item …)`` with SQL's three-valued meaning, as one lazy plan.
 
     The planner would broadcast the list, whatever its size, to test it for nulls.
-    Here a null is looked for first, which file statistics answer without reading
-    much, and the rest is an ordinary anti join with a distinct list: a null in the
-    list removes every row, and a null key passes only an empty list.
+    Here the join is an ordinary anti join with a distinct list, and a scalar subquery
+    counts the list's rows and nulls: a null in the list removes every row, and a null
+    key passes only an empty list.
     """
-    if not listed.where(F.col(item).isNull()).isEmpty():
-        return left.where(F.lit(False))
-    if listed.isEmpty():
-        return left
-    values = listed.select(F.col(item).alias("_v")).distinct()
-    return left.where(F.col(key).isNotNull()).join(values, F.col(key) == F.col("_v"), "left_anti")
+    counts = F.struct(F.count(F.lit(1)).alias("rows"), F.count_if(F.col(item).isNull()).alias("nulls"))
+    found = listed.agg(counts.alias("found")).scalar()
+    values = listed.where(F.col(item).isNotNull()).select(F.col(item).alias("_v")).distinct()
+    kept = left.join(values, F.col(key) == F.col("_v"), "left_anti")
+    return kept.where((found["rows"] == 0) | ((found["nulls"] == 0) & F.col(key).isNotNull()))
 
 
 def q_not_in_subquery(t: Table) -> DataFrame:

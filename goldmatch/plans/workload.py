@@ -24,7 +24,7 @@ from goldmatch.sources.items import database_path
 DB_ROOT = "/corpus"
 CUSTOMERS_PER_DB = 10
 CATALOG_BALANCE = 8000
-LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_returnflag"]
 
 # ``{k}`` is the customer key. One template per query shape.
 GOLD_TEMPLATES = [
@@ -111,6 +111,7 @@ FOREIGN_KEYS = [
     ("labels", "doc_id", "documents", None),
     ("pages", None, "documents", "doc_id"),
 ]
+GIVEN_TABLES = [name for name, columns in CATALOG if name != "sqlite_sequence"]
 DATA_KEYS = {
     "region": ["r_regionkey"],
     "nation": ["n_nationkey"],
@@ -259,7 +260,7 @@ def executed(t: Table, run: str = "a") -> DataFrame:
 def numbered_lines(t: Table) -> DataFrame:
     """Line items as result rows: item_id, row_no, n_rows and three cells."""
     lines = t("lineitem").select(
-        F.col("l_orderkey").alias("item_id"), *LINE_ORDER, "l_discount", "l_returnflag"
+        F.col("l_orderkey").alias("item_id"), *LINE_ORDER
     )
     return row_ordinals(lines, ["item_id"], LINE_ORDER, "row_no", size="n_rows").select(
         "item_id",
@@ -308,13 +309,21 @@ def chat_turns(t: Table) -> DataFrame:
     o = t("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     args = "struct<custkey:bigint,status:string,note:string>"
-    call = lambda name, note: F.struct(
-        F.lit(name).alias("name"),
-        F.struct(
-            cust.alias("custkey"), F.col("o_orderstatus").alias("status"), note.cast("string").alias("note")
-        ).alias("arguments"),
-    )
-    none = F.lit(None).cast(f"array<struct<name:string,arguments:{args}>>")
+    flat = f"struct<name:string,arguments:{args}>"
+
+    def call(name: str, note: Column) -> Column:
+        """Every fourth conversation has its calls in function form."""
+        said = F.struct(
+            F.lit(name).alias("name"),
+            F.struct(cust.alias("custkey"), F.col("o_orderstatus").alias("status"), note.cast("string").alias("note")).alias("arguments"),
+        ).cast(flat)
+        plain = F.when(key % 4 != 0, said)
+        return F.struct(
+            plain["name"].alias("name"), plain["arguments"].alias("arguments"),
+            F.when(key % 4 == 0, F.lit("function")).alias("type"), F.when(key % 4 == 0, said).alias("function"),
+        )
+
+    none = F.lit(None).cast(f"array<struct<name:string,arguments:{args},type:string,function:{flat}>>")
 
     def turn(role: str, content: Column, calls: Column = none) -> Column:
         return F.struct(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,23 +13,37 @@ REQUIRED_DATABASES = ["concert_singer", "pets_1", "car_1", "flight_2", "stadium"
 DATABASE_FILE = r"([^/]+)/([^/]+)\.sqlite$"
 
 
-def databases_of(files: DataFrame, path: Column) -> DataFrame:
-    """db_id of every path that ends in ``<name>/<name>.sqlite``."""
-    folder = F.regexp_extract(path, DATABASE_FILE, 1)
-    stem = F.regexp_extract(path, DATABASE_FILE, 2)
+def databases_of(files: DataFrame, path: Column, pattern: str = DATABASE_FILE) -> DataFrame:
+    """db_id of every path that ends in ``<name>/<name>.sqlite``, or as ``pattern`` says."""
+    folder = F.regexp_extract(path, pattern, 1)
+    stem = F.regexp_extract(path, pattern, min(2, re.compile(pattern).groups))
     return files.where((folder != "") & (folder == stem)).select(folder.alias("db_id")).distinct()
 
 
-def source_inventory(spark: SparkSession, root: str) -> DataFrame:
-    """Databases below ``<root>/database``; file contents are not read."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.sqlite")
-        .option("recursiveFileLookup", "true")
-        .load(f"{root.rstrip('/')}/database")
-        .select("path")
-    )
-    return databases_of(files, F.col("path"))
+def files_below(spark: SparkSession, root: str, globs: list[str]) -> DataFrame:
+    """``name``: paths below ``root``, relative to it, that match one of ``globs``.
+
+    Patterns are anchored at the root and list only the folders they name; Spark spreads the
+    listing over tasks where there are many. Contents are not read. A pattern that
+    nothing matches adds nothing.
+    """
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    folder = jvm.org.apache.hadoop.fs.Path(root)
+    fs = folder.getFileSystem(conf)
+    full = fs.makeQualified(folder).toString().rstrip("/")
+    met = [f"{full}/{g}" for g in globs if fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{full}/{g}"))]
+    if not met:
+        return spark.createDataFrame([], "name string")
+    files = spark.read.format("binaryFile").load(met).select("path")
+    return files.select(F.substr("path", F.lit(len(full) + 2)).alias("name")).distinct()
+
+
+def source_inventory(spark: SparkSession, root: str, glob: str = "database/*/*.sqlite", pattern: str = DATABASE_FILE) -> DataFrame:
+    """Databases below ``root``: ``db_id`` of the files at ``glob`` that name their folder.
+
+    ``pattern`` has the folder's name and the file's stem as its groups, or the name alone.
+    """
+    return databases_of(files_below(spark, root, [glob]), F.col("name"), pattern)
 
 
 def missing_required(required: DataFrame, present: DataFrame, key: str) -> DataFrame:
@@ -35,12 +51,9 @@ def missing_required(required: DataFrame, present: DataFrame, key: str) -> DataF
     return required.select(key).distinct().join(present.select(key).distinct(), key, "left_anti")
 
 
-def missing_sources(spark: SparkSession, root: str) -> DataFrame:
-    """Missing required files and databases below ``root``."""
-    names = REQUIRED_FILES + [f"database/{d}/{d}.sqlite" for d in REQUIRED_DATABASES]
+def missing_sources(spark: SparkSession, root: str, files: list[str] = REQUIRED_FILES, databases: list[str] = REQUIRED_DATABASES) -> DataFrame:
+    """Missing required files and databases below ``root``. Each has one place; a copy in
+    another folder does not count, and only the required places are looked at."""
+    names = files + [f"database/{d}/{d}.sqlite" for d in databases]
     required = spark.createDataFrame([(n,) for n in names], "name string")
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
-    )
-    tail = F.regexp_extract("path", r"(database/[^/]+/[^/]+\.sqlite|[^/]+\.json)$", 1)
-    return missing_required(required, files.select(tail.alias("name")), "name")
+    return missing_required(required, files_below(spark, root, names), "name")

@@ -45,15 +45,15 @@ def summary(samples: DataFrame) -> DataFrame:
     return stacked.agg(*[F.first(n, ignorenulls=True).alias(n) for n in names])
 
 
-def write_metrics_json(samples: DataFrame, path: str) -> None:
+def write_metrics_json(samples: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """The flat metrics file: one object, one line."""
-    summary(samples).coalesce(1).write.json(path)
+    summary(samples).coalesce(1).write.mode(mode).json(path)
 
 
-def write_report_json(samples: DataFrame, path: str) -> None:
+def write_report_json(samples: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """``<path>/summary`` (one object) and ``<path>/samples`` (JSON lines)."""
-    write_metrics_json(samples, f"{path}/summary")
-    samples.select(*SAMPLE_FIELDS).write.option("ignoreNullFields", "false").json(f"{path}/samples")
+    write_metrics_json(samples, f"{path}/summary", mode)
+    samples.select(*SAMPLE_FIELDS).write.mode(mode).option("ignoreNullFields", "false").json(f"{path}/samples")
 
 
 def read_samples_json(spark: SparkSession, path: str) -> DataFrame:
