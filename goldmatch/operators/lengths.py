@@ -19,8 +19,10 @@ THRESHOLDS = [512, 1024, 1536, 2048]
 PERCENTILES = [0.5, 0.9, 0.95, 0.99]
 MAX_TOKENS = 1024
 TOKEN = r"[\p{L}\p{M}\p{N}_]+|[^\s\p{L}\p{M}\p{N}_]"
-# White space, or a border of a token: a mark ends at once, a word before a mark.
-TOKEN_BORDER = r"\s+|(?<=[^\s\p{L}\p{M}\p{N}_])(?!\s|$)|(?<=[\p{L}\p{M}\p{N}_])(?=[^\s\p{L}\p{M}\p{N}_])"
+# White space, or a border of a token: after a mark, or between a word and a mark. The last
+# code point, itself a mark, makes the look behind go by code points instead of code units.
+_WORD, _MARK = r"[\p{L}\p{M}\p{N}_&&[^%s]]" % chr(0x10FFFF), r"[%s[^\s\p{L}\p{M}\p{N}_]]" % chr(0x10FFFF)
+TOKEN_BORDER = rf"\s+|(?<={_MARK})(?!\s|$)|(?<={_WORD})(?={_MARK})"
 SKETCH_ERROR = 0.01
 
 Measure = Callable[[Column], Column]

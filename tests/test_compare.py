@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
+from goldmatch.functions.cells import canonical_frame, normalize_value
 from goldmatch.operators import compare
 from goldmatch.operators.ordinals import row_ordinals, spread_positions
 
@@ -107,3 +108,58 @@ def test_hot_group_is_spread_over_tasks(spark):
     df = spark.range(20000).select(F.lit(1).alias("g"), F.col("id").alias("v"))
     out = spread_positions(df, ["g"], ["v"])
     assert out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 20000
+
+
+def cells_of(spark, *expressions):
+    row = canonical_frame(spark.sql("SELECT " + ", ".join(expressions))).first()
+    return list(row.cells)
+
+
+def test_numbers_of_all_types_agree(spark):
+    for same in (
+        ["10000000000000000", "1e16", "CAST(10000000000000000 AS DECIMAL(30,5))", "CAST(1e16 AS FLOAT) * CAST(1 AS DOUBLE)"][:3],
+        ["CAST(2.50000 AS DECIMAL(10,5))", "2.5D", "CAST(2.5 AS FLOAT)", "2.50004D"],
+        ["0", "-0.0D", "CAST(0 AS DECIMAL(5,2))", "CAST(0.00001 AS DECIMAL(8,5))", "false"],
+        ["1.00005D * 0 + 100", "100", "CAST(100 AS DECIMAL(3,0))", "CAST(100 AS DECIMAL(20,10))"],
+        ["9007199254740993", "CAST(9007199254740993 AS DECIMAL(20,0))"],
+    ):
+        assert len(set(cells_of(spark, *same))) == 1, same
+    for apart in (
+        ["CAST(12345678901234567.1 AS DECIMAL(30,1))", "CAST(12345678901234567.2 AS DECIMAL(30,1))"],
+        ["9007199254740993", "9007199254740992D", "'9007199254740993'"],
+        ["CAST(1.0001 AS DECIMAL(9,4))", "CAST(1.0002 AS DECIMAL(9,4))", "1.0003D"],
+        ["CAST('NaN' AS DOUBLE)", "CAST('Infinity' AS DOUBLE)", "1e300", "1.5e39", "1e38"],
+    ):
+        assert len(set(cells_of(spark, *apart))) == len(apart), apart
+
+
+def test_intervals_times_and_nested_cells(spark):
+    assert len(set(cells_of(spark, "INTERVAL '2' DAY", "INTERVAL '48' HOUR", "INTERVAL '2 00:00' DAY TO MINUTE"))) == 1
+    assert len(set(cells_of(spark, "INTERVAL '1' YEAR", "INTERVAL '12' MONTH", "INTERVAL '1' DAY"))) == 2
+    assert cells_of(spark, "TIME '12:30:00'", "CAST(NULL AS INTERVAL DAY)", "CAST(NULL AS ARRAY<INT>)", "array()") == ["s:12:30:00", None, None, "a:[]"]
+    equal = [
+        ("array(1, 2.00001D, null)", "array(CAST(1 AS DECIMAL(5,3)), 2, null)"),
+        ("array(' a', 'b')", "array('a', 'b\t')"),
+        ("map('x', 1, 'y', 2)", "map('y', 2.0D, 'x', 1.0D)"),
+        ("named_struct('p', 1, 'q', array(' z'))", "named_struct('r', 1.0D, 's', array('z'))"),
+    ]
+    for a, b in equal:
+        one, other = cells_of(spark, a, b)
+        assert one == other, (a, b)
+    for a, b in (("array('a,b')", "array('a', 'b')"), ("array('1')", "array(1)"), ("array(array(1), array())", "array(array(), array(1))"), ("array('a\"', 'b')", "array('a', '\"b')"), ("map('x', 1)", "map('x', 2)")):
+        one, other = cells_of(spark, a, b)
+        assert one != other, (a, b)
+
+
+def test_typed_rule_reaches_nested_values(spark):
+    df = spark.sql("SELECT array(1.00004D, null) AS a, named_struct('s', ' x ', 'd', CAST(1.23456 AS DECIMAL(9,5))) AS s, map('k', 0.123456D) AS m, CAST(null AS STRUCT<x: DOUBLE>) AS n")
+    types = {f.name: f.dataType for f in df.schema.fields}
+    row = df.select(*[normalize_value(F.col(c), types[c]).alias(c) for c in df.columns]).first()
+    assert row.a == [1.0, None] and row.s.s == "x" and str(row.s.d) == "1.2346" and row.m == {"k": 0.1235} and row.n is None
+
+
+def test_capped_results(spark):
+    rows = spark.createDataFrame([(i, side, n, ["x"]) for i, side, size in ((1, "gold", 5), (1, "pred", 3), (2, "gold", 2)) for n in range(size)], ROWS)
+    got = sorted((r.item_id, r.side, r.row_no, r.truncated) for r in compare.capped_results(rows, 3).collect())
+    assert got == [(1, "gold", n, True) for n in range(3)] + [(1, "pred", n, False) for n in range(3)] + [(2, "gold", n, False) for n in range(2)]
+    assert compare.capped_results(rows.limit(0), 3).collect() == []

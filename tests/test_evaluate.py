@@ -11,6 +11,7 @@ from goldmatch.operators.compare import differing_items
 from goldmatch.operators.verdict import executed_pairs
 from goldmatch.plans import evaluate as E
 from goldmatch.plans import pairs as PC
+from goldmatch.plans.benchmark import benchmark
 from goldmatch.plans.evaluate import Runner, Statement, evaluate, parquet_database
 from goldmatch.plans.ledger import ROW_SCHEMA, Ledger
 from goldmatch.plans.registry import PAIR_TABLES
@@ -313,3 +314,25 @@ def test_end_to_end(spark, tmp_path):
     assert calls.read_text() == "xxx"  # the generator ran once for each item
     first, _ = evaluate(answered, {"atlas": {"rivers": rivers}}, limit=1, timeout_seconds=60)
     assert [r.item_id for r in first.collect()] == [0]
+
+
+def test_one_call_from_schema_to_report(spark, tmp_path):
+    """Prompts hold the tables' own schema; called again, the run neither generates nor executes."""
+    calls = tmp_path / "calls"
+
+    def make_generator():
+        def answer(prompt):
+            with open(calls, "a") as f:
+                f.write("x")
+            assert "river_id INT PRIMARY KEY" in prompt and "km INT" in prompt
+            return "SELECT max(km) FROM rivers" if "longest" in prompt else "SELECT name FROM rivers"
+
+        return answer
+
+    asked = [(0, "atlas", "How long is the longest?", "SELECT 1094"), (1, "atlas", "All names?", "SELECT name FROM rivers ORDER BY name DESC")]
+    table = spark.createDataFrame([(*r, None) for r in asked], "item_id long, db_id string, question string, gold_sql string, difficulty string")
+    for _ in range(2):
+        samples, log = benchmark(table, {"atlas": {"rivers": rivers}}, make_generator, f"{tmp_path}/run", keys={"rivers": ["river_id"]}, demonstrations=False, timeout_seconds=60)
+        assert [r.is_correct for r in samples.orderBy("item_id").collect()] == [True, False] and log.count() == 4
+        assert reports.read_samples_json(spark, f"{tmp_path}/run/report/samples").count() == 2
+    assert calls.read_text() == "xx"

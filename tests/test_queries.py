@@ -20,7 +20,8 @@ spec.loader.exec_module(check)
 
 # The rest is compared by tools/check_oracle.py; these stand for every group.
 COMPARED = [
-    "execution_times", "statement_timeout", "incremental_eval",
+    "execution_times", "statement_timeout", "incremental_eval", "folder_inventory", "missing_folders", "catalog_columns", "catalog_ddl",
+    "length_profile_sketch", "canonical_cells", "truncated_results",
     "load_items_union", "split_labelled_scan", "write_samples_jsonl", "write_report_json", "read_metrics_json",
     "normalize_types", "normalize_fks", "overlength_cut", "ordered_compare", "bag_compare_by_name",
     "compare_runs_errors", "leakage_audit", "tier_table", "metrics_long", "length_by_part", "render_ddl",
@@ -64,6 +65,16 @@ def test_not_in_has_three_values(spark):
     assert ids(shapes.not_in(left, "k", spark.createDataFrame([(1,), (None,)], "v int"), "v")) == []
 
 
+def test_not_in_is_one_lazy_plan(spark, table):
+    tracker, _ = spark.sparkContext.statusTracker(), [table(name) for name in ("part", "lineitem")]  # footers are read
+    spark.sparkContext.setJobGroup("lazy", "no job before the action")
+    try:
+        df = shapes.q_not_in_subquery(table)
+        assert "Subquery" in plan(df) and not tracker.getJobIdsForGroup("lazy")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_shapes_avoid_products_and_push_down(table):
     for name in ("q_comma_join", "q_not_in_subquery", "q_in_subquery", "q_correlated", "q_multi_join", "q_except"):
         text = plan(shapes.SHAPES[name](table))

@@ -48,28 +48,29 @@ SAMPLES = "item_id long, difficulty string, query_type string, is_correct boolea
 
 
 @pytest.fixture(scope="module")
-def three(spark):
+def several(spark):
     rows = [
-        sample(0, "easy", "single_table", True, "SUCCESS"),
-        sample(1, "easy", "single_table", False, "SCHEMA_ERROR"),
-        sample(2, "hard", "join", True, "SUCCESS"),
+        sample(3, "medium", "nested", True, "SUCCESS"),
+        sample(5, "medium", "nested", False, "TIMEOUT"),
+        sample(6, "medium", "aggregation", True, "SUCCESS"),
+        sample(8, "extra", "nested", False, "SUCCESS"),
+        sample(9, "extra", "nested", False, "SYNTAX_ERROR"),
     ]
     return spark.createDataFrame(rows, SAMPLES)
 
 
-def test_metrics_of_three_samples(three):
-    o = M.overall_metrics(three).first()
-    assert (o.total_queries, o.correct_queries, o.valid_sql_queries) == (3, 2, 2)
-    assert o.execution_accuracy == o.valid_sql_rate == 2 / 3
-    assert {r.difficulty: (r.total, r.correct, r.accuracy) for r in M.tier_metrics(three).collect()} == {
-        "easy": (2, 1, 0.5), "hard": (1, 1, 1.0),
+def test_metrics_of_samples(several):
+    o = M.overall_metrics(several).first()
+    assert (o.total_queries, o.correct_queries, o.valid_sql_queries) == (5, 2, 3)
+    assert (o.execution_accuracy, o.valid_sql_rate) == (2 / 5, 3 / 5)
+    assert {r.difficulty: (r.total, r.correct, r.accuracy) for r in M.tier_metrics(several).collect()} == {
+        "medium": (3, 2, 2 / 3), "extra": (2, 0, 0.0),
     }
-    assert {r.category: r.n for r in M.error_breakdown(three).collect()} == {"SCHEMA_ERROR": 1}
-    table = [(r.label, r.total, r.correct, r.accuracy) for r in M.tier_table(three).collect()]
-    assert table == [
-        ("Easy", 2, 1, "50.00%"), ("Medium", 0, 0, "0.00%"), ("Hard", 1, 1, "100.00%"), ("Extra", 0, 0, "0.00%"), ("OVERALL", 3, 2, "66.67%"),
-    ]
-    labels = [r.label for r in M.type_table(three).collect()]
+    assert {r.category: r.n for r in M.error_breakdown(several).collect()} == {"TIMEOUT": 1, "SYNTAX_ERROR": 1, "RESULT_MISMATCH": 1}
+    table = {r.label: (r.total, r.correct, r.accuracy) for r in M.tier_table(several).collect()}
+    assert list(table) == ["Easy", "Medium", "Hard", "Extra", "OVERALL"]
+    assert table["Medium"] == (3, 2, "66.67%") and table["Hard"] == (0, 0, "0.00%") and table["OVERALL"] == (5, 2, "40.00%")
+    labels = [r.label for r in M.type_table(several).collect()]
     assert labels == ["Single table", "Join", "Aggregation", "Nested"]
 
 
@@ -134,17 +135,17 @@ def test_derived_runs_keep_the_invariants(table):
         check_invariants(M.metrics_long(samples), M.error_breakdown(samples), M.overall_metrics(samples).first().valid_sql_queries)
 
 
-def test_report_files(spark, three, tmp_path):
-    full = three.select(*[F.col(c) if c in three.columns else F.lit(None).cast("double" if c == "execution_time_ms" else "string").alias(c) for c in V.SAMPLE_FIELDS])
+def test_report_files(spark, several, tmp_path):
+    full = several.select(*[F.col(c) if c in several.columns else F.lit(None).cast("double" if c == "execution_time_ms" else "string").alias(c) for c in V.SAMPLE_FIELDS])
     reports.write_report_json(full, f"{tmp_path}/report")
     lines = [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/report/samples").collect()]
-    assert len(lines) == 3 and set(lines[0]) == set(V.SAMPLE_FIELDS) and lines[0]["error_message"] is None
+    assert len(lines) == 5 and set(lines[0]) == set(V.SAMPLE_FIELDS) and lines[0]["error_message"] is None
     summary = json.loads(spark.read.text(f"{tmp_path}/report/summary").first().value)
-    assert summary["tier_accuracy"]["easy"] == {"total": 2, "correct": 1, "accuracy": 0.5}
-    assert summary["error_breakdown"] == {"SCHEMA_ERROR": 1} and len(summary) == 8
+    assert summary["tier_accuracy"]["extra"] == {"total": 2, "correct": 0, "accuracy": 0.0}
+    assert summary["error_breakdown"] == {"TIMEOUT": 1, "SYNTAX_ERROR": 1, "RESULT_MISMATCH": 1} and len(summary) == 8
     back = reports.read_metrics_json(spark, f"{tmp_path}/report/summary")
     assert reports.metrics_of(back).count() == 5
-    assert reports.read_samples_json(spark, f"{tmp_path}/report/samples").count() == 3
+    assert reports.read_samples_json(spark, f"{tmp_path}/report/samples").count() == 5
 
 
 def test_verdict_precedence(spark):
