@@ -78,7 +78,10 @@ def re_pair(ids: np.ndarray, starts: np.ndarray, base: int, rounds: int | None =
         inside = np.ones(len(left), bool)
         cuts = starts[(starts > 0) & (starts < len(symbols))] - 1
         inside[cuts] = False
-        keys = np.sort((left.astype(np.uint64) << np.uint64(32) | right)[inside])
+        slots = slot_of(left, right)
+        # a pair is no more frequent than its slot, so only pairs of frequent slots are sorted
+        likely = inside & (np.bincount(slots[inside], minlength=SLOTS) >= least)[slots]
+        keys = np.sort(left[likely].astype(np.uint64) << np.uint64(32) | right[likely])
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
         counts = np.diff(np.append(first, len(keys)))
         often = np.flatnonzero(counts >= least)
@@ -95,7 +98,7 @@ def re_pair(ids: np.ndarray, starts: np.ndarray, base: int, rounds: int | None =
         number = np.full(kept[-1] + 1, -1, np.int32)
         number[kept] = np.arange(len(kept))
         table[table >= 0] = number[table[table >= 0]]
-        rule = table[slot_of(left, right)]
+        rule = table[slots]
         hit = np.flatnonzero((rule >= 0) & inside)
         hit = hit[(made[rule[hit], 0] == left[hit]) & (made[rule[hit], 1] == right[hit])]
         fresh = np.concatenate([[True], np.diff(hit) > 1])
@@ -210,7 +213,8 @@ def encoded_shards(docs: DataFrame, path: str, end_id: int = 0, shard_ids: int =
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     splits, cores = wanted.rdd.getNumPartitions(), docs.sparkSession.sparkContext.defaultParallelism
     parts = max(1, min(splits, cores), splits // 8)
-    return wanted.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(run, SCHEMA)
+    order = ("doc_id", F.xxhash64("text"))  # texts under one doc_id, or under none, spread too
+    return wanted.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, SCHEMA)
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, **how: int) -> None:
