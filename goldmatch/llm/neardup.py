@@ -55,6 +55,11 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys
 
 
+def set_key(hashes: np.ndarray) -> bytes | None:
+    """What stands for a whole set; nothing for an empty one."""
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None
+
+
 def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, set_key (of the whole set), bands (keys; none for an empty set)."""
 
@@ -70,7 +75,7 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 [
                     batch.column("doc_id").cast(pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                    pa.array([set_key(s) for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(each)]), pa.int32()), pa.array(keys.ravel())),
                 ],
                 ["doc_id", "n_shingles", "set_key", "bands"],
@@ -82,15 +87,16 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, hashes: the ascending distinct shingle hashes as little-endian bytes."""
+    """set_key, hashes: the ascending distinct shingle hashes as little-endian bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, size=4 << 20):
             sets = shingle_sets(*buffer_of(batch.column("text")), k)
+            keys = pa.array([set_key(s) for s in sets], pa.binary())
             hashes = pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), hashes], ["doc_id", "hashes"])
+            yield pa.RecordBatch.from_arrays([keys, hashes], ["set_key", "hashes"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, hashes binary")
+    return docs.select("text").mapInArrow(run, "set_key binary, hashes binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -107,8 +113,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * shared >= percent * (len(both) - shared))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    a = sets.select(F.col("doc_id").alias("u"), F.col("hashes").alias("a"))
-    b = sets.select(F.col("doc_id").alias("v"), F.col("hashes").alias("b"))
+    a = sets.select(F.col("node").alias("u"), F.col("hashes").alias("a"))
+    b = sets.select(F.col("node").alias("v"), F.col("hashes").alias("b"))
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
@@ -179,7 +185,7 @@ def block_links(open_: DataFrame, sets: DataFrame, percent: int, block: int = BL
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     few = dealt.where("c <> main").select("cluster", own("few_blocks").alias("i"), each("all_blocks").alias("j"), F.lit(0).alias("side"), "rep", "c")
     all_ = dealt.select("cluster", each("few_blocks").alias("i"), own("all_blocks").alias("j"), F.lit(1).alias("side"), "rep", "c")
-    rows = few.union(all_).join(sets.select(F.col("doc_id").alias("rep"), "hashes"), "rep")
+    rows = few.union(all_).join(sets.select(F.col("node").alias("rep"), "hashes"), "rep")
     rows = rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,6 +215,13 @@ def block_links(open_: DataFrame, sets: DataFrame, percent: int, block: int = BL
     return rows.select("cluster", "i", "j", "side", "rep", "c", "hashes").mapInArrow(run, "u long, v long")
 
 
+def texts_of_one_id(full: DataFrame, member: DataFrame) -> DataFrame:
+    """Links (u, v) between the classes of doc_ids that have several texts."""
+    of = full.select("doc_id", "set_key").distinct().join(member, "set_key").select("doc_id", "rep")
+    several = of.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("last")).where("u <> last").select("doc_id", "u")
+    return of.join(several, "doc_id").where("rep <> u").select("u", F.col("rep").alias("v"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Near-duplicate groups of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept.
 
@@ -230,36 +243,35 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
     Null or empty texts and texts without words have n_shingles 0, are linked with
     nothing and are kept. Rows with the same doc_id and text give equal rows; rows with
-    one doc_id and different texts are linked as one document. A null doc_id stays
+    one doc_id and different texts are linked as one document, with the links of all of
+    its texts (texts without words have none). A null doc_id stays
     alone under a null component and is kept. Columns beside doc_id and text are left out.
     """
     sig = written(signatures(docs, k, bands, rows), "signatures")
     full = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = written(
-        full.groupBy("set_key").agg(
-            F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.min_by("bands", "doc_id").alias("bands")
-        ),
-        "classes",
-    )
-    member = classes.select("set_key", "rep")
+    classes = full.groupBy("set_key").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    # a class has a number of its own, fixed once it is stored
+    classes = written(classes.select(F.monotonically_increasing_id().alias("rep"), "*"), "classes")
+    member = classes.select("set_key", "rep", "first_id")
     buckets = classes.select("rep", "n", F.explode("bands").alias("key"))
     stars = buckets.groupBy("key").agg(F.min("rep").alias("center"), F.min_by("n", "rep").alias("n_u"), F.count("*").alias("size"))
     shared = written(
         buckets.join(stars.where("size > 1"), "key").select("key", "rep", "n", "center", "n_u"), "buckets"
     )
-    nodes = shared.select(F.col("rep").alias("doc_id")).distinct()
-    reps = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(nodes, "doc_id", "left_semi")
-    sets = written(full_sets(reps.dropDuplicates(["doc_id", "text"]), k).dropDuplicates(["doc_id"]), "sets")
+    nodes = member.join(shared.select("rep").distinct(), "rep", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("first_id"), "text").join(nodes.select("first_id").distinct(), "first_id", "left_semi")
+    once = full_sets(texts.dropDuplicates(["first_id", "text"]), k).dropDuplicates(["set_key"])
+    sets = written(once.join(nodes.select("set_key", F.col("rep").alias("node")), "set_key").select("node", "hashes"), "sets")
 
     pairs = shared.where("rep <> center").withColumnRenamed("n", "n_v").where(similar_enough(percent))
     pairs = written(pairs.select(F.col("center").alias("u"), F.col("rep").alias("v")).distinct(), "pairs")
-    links = written(confirmed(pairs, sets, percent), "links")
+    links = written(confirmed(pairs, sets, percent).union(texts_of_one_id(full, member)), "links")
     open_ = written(open_buckets(shared, components(links)), "open")
     if not open_.isEmpty():
         links = links.union(written(block_links(open_, sets, percent), "block-links"))
     found = written(components(links), "components").withColumnRenamed("node", "rep")
-    # every document to its class, every class to its component
-    class_of = sig.join(member, "set_key", "left")
-    by_class = class_of.join(found, "rep", "left")
-    named = by_class.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
-    return named.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    # every document to its class, every class to its component, which has its smallest doc_id's name
+    named = member.join(found, "rep").groupBy("component").agg(F.min("first_id").alias("component_id"))
+    by_class = member.join(found.join(named, "component"), "rep", "left").select("set_key", F.coalesce("component_id", "first_id").alias("component_id"))
+    out = sig.join(by_class, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -10,6 +10,14 @@ from goldmatch.session import written
 BINS = 1024
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` behind as many underscores as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def running_sum(df: DataFrame, keys: list[str], order: list[str | Column], value: Column, spread: Column, to: str, bins: int = BINS) -> DataFrame:
     """Add ``to``: the sum of ``value`` over the earlier rows of the same keys.
 
