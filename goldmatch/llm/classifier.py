@@ -241,7 +241,8 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, **how: float) -> Da
 
     The model learns from the rows of ``labels(doc_id, label)`` that meet ``learn``, a
     condition on doc_id; labels other than 0 and 1, null or conflicting ones are left out,
-    repeated ones count once. Only statistics of the text are inputs. Null and empty texts
+    repeated ones count once, and of several texts under one doc_id one fixed by its
+    statistics is learnt from. Only statistics of the text are inputs. Null and empty texts
     are scored like any other. Without both labels to learn from, every score is 0.5.
     Repeated rows get equal scores; a null doc_id is scored and never learnt from. An empty
     table gives an empty result. Columns beside the named ones are left out.
@@ -249,7 +250,9 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, **how: float) -> Da
     stats = written(document_statistics(docs), "statistics")
     known = labels.where(learn & F.col("label").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     known = known.agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
-    model = fit(stats.dropDuplicates(["doc_id"]).join(known, "doc_id"), **how)
+    # of several texts under one doc_id the one with the smallest statistics is learnt from
+    one = stats.join(known, "doc_id").groupBy("doc_id").agg(F.min("stats").alias("stats"), F.min("label").alias("label"))
+    model = fit(one, **how)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -102,7 +102,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
     labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     scored = classifier.score(_table(spark, sf_dir, "documents").select("doc_id", "text"), labels, fold != 0)
-    return scored.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 @query
