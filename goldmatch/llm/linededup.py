@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from goldmatch.llm.pieces import in_large_tasks
+from goldmatch.llm.scale import free_name
 from goldmatch.llm.text import buffer_of, chunks, mix, runs, span_hashes, words
 from goldmatch.session import dimension, written
 
@@ -329,11 +330,12 @@ def without_lines(docs: DataFrame, removed: DataFrame, drop_emptied: bool = Fals
 
     With ``drop_emptied`` a document whose lines with a word all go is left out itself.
     """
-    gone = removed.where("size(removed) > 0").select(
-        F.col("doc_id").alias("_id"), F.col("removed").alias("_gone"), (F.col("n_lines") == F.size("removed")).alias("_emptied")
+    id_, gone, emptied = (free_name(docs, n) for n in ("id", "gone", "emptied"))
+    listed = removed.where("size(removed) > 0").select(
+        F.col("doc_id").alias(id_), F.col("removed").alias(gone), (F.col("n_lines") == F.size("removed")).alias(emptied)
     )
-    joined = docs.join(dimension(gone.dropDuplicates(["_id"]), "removed"), F.col("doc_id").cast("long") == F.col("_id"), "left")
+    joined = docs.join(dimension(listed.dropDuplicates([id_]), "removed"), docs["doc_id"].cast("long") == F.col(id_), "left")
     if drop_emptied:
-        joined = joined.where("_emptied IS NULL OR NOT _emptied")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    return joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+        joined = joined.where(F.col(emptied).isNull() | ~F.col(emptied))
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    return joined.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from goldmatch.llm.scale import free_name
+
 BLANK = r"[\x20\x09-\x0D]+"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words")
 BLANKS, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
@@ -110,6 +112,20 @@ def compiled(rules: tuple[Rule, ...], of: Column) -> Column:
     return holds
 
 
+def judged(text: Column, rules: tuple[Rule, ...], min_words: int, max_repeat_percent: int) -> Column:
+    """``quality, base_failed, kept`` of a text as one struct."""
+    failed = lambda q: (q["n_words"] < min_words) | (q["n_repeat_words"] * 100 > q["n_words"] * max_repeat_percent)
+    return bind(
+        measures(text),
+        lambda q: F.struct(q.alias("quality"), failed(q).alias("base_failed"), (~failed(q) & compiled(rules, q)).alias("kept")),
+    )
+
+
+def keeps(text: Column, rules: tuple[Rule, ...] = RULES, min_words: int = 50, max_repeat_percent: int = 50) -> Column:
+    """The verdict alone, as a condition on a text."""
+    return judged(text, rules, min_words, max_repeat_percent)["kept"]
+
+
 def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
     """``docs`` with ``quality`` (the measures), ``base_failed`` and ``kept``.
 
@@ -123,12 +139,8 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_words: i
     row is judged alone, so repeated rows get equal results, and an empty table gives an
     empty one.
     """
-    failed = lambda q: (q["n_words"] < min_words) | (q["n_repeat_words"] * 100 > q["n_words"] * max_repeat_percent)
-    judged = bind(
-        measures(F.col("text")),
-        lambda q: F.struct(q.alias("quality"), failed(q).alias("base_failed"), (~failed(q) & compiled(rules, q)).alias("kept")),
-    )
     names = ("quality", "base_failed", "kept")
-    return docs.drop(*names).withColumn("_judged", judged).select(
-        *[c for c in docs.columns if c not in names], *[F.col(f"_judged.{name}") for name in names]
-    )
+    others = [c for c in docs.columns if c.lower() not in names]
+    verdict = judged(F.col("text"), rules, min_words, max_repeat_percent)
+    by_name = docs.select(*others, verdict.alias(own := free_name(docs, "judged")))
+    return by_name.select(*others, *[F.col(own)[name].alias(name) for name in names])

@@ -270,3 +270,16 @@ def test_near_duplicates_planted(spark, monkeypatch, block):
         else:
             assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.component_id == r.doc_id)
     assert neardup.near_duplicates(table.limit(0)).count() == 0
+
+
+def test_several_texts_under_one_id_keep_all_their_links(spark):
+    """Whatever the rows' order: A (1) - A' (2), B (2) - B' (3) make one component."""
+    rng = np.random.default_rng(11)
+    long = lambda seed: [f"w{seed}x{i}" for i in range(60)]
+    a, b, c = long(1), long(2), long(3)
+    near = lambda words: " ".join([*words[:-1], "other"])
+    data = [(1, " ".join(a)), (2, " ".join(b)), (2, near(a)), (3, near(b)), (4, " ".join(c)), (2, ""), (5, near(c)), (5, " ".join(long(5))), (6, " ".join(long(5))), (None, " ".join(a))]
+    for _ in range(4):
+        table = spark.createDataFrame([data[i] for i in rng.permutation(len(data))], "doc_id long, text string").coalesce(2)
+        got = {(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(table, k=4).collect()}
+        assert got == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (5, 4, False), (6, 4, False), (None, None, True), (2, 2, True)}  # the text without words

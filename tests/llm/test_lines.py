@@ -4,11 +4,13 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from goldmatch.llm import classifier, linededup, quality
 from goldmatch.llm import queries as Q
+from goldmatch.session import written
 
 SMALL = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -186,6 +188,24 @@ def test_pipeline_keeps_different_texts_under_one_id(spark):
     assert {(r.doc_id, r.text) for r in near.collect()} == set(texts[:3]) and near.count() == 3
 
 
+CLASHING = ["quality", "kept", "base_failed", "judged", "id", "gone", "emptied", "place", "times", "turn", "number", "doc_id_was", "text_hash", "_id", "_gone", "_place", "_times", "_doc_id", "count", "words"]
+
+
+@pytest.mark.parametrize("several", [False, True])
+def test_pipeline_leaves_other_columns_alone(spark, several):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id < 60")
+    if several:  # different texts under one doc_id
+        docs = docs.union(docs.where("doc_id IN (7, 9, 11)").withColumn("doc_id", F.lit(8).cast("long")))
+    docs = docs.select("*", *[F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string"), F.lit("-"), F.crc32(F.col("source").cast("binary"))).alias(c) for c in CLASHING])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = written(stage(spark, docs, SMALL), "stage")
+        assert out.columns == docs.columns and out.count() > 0
+        for r in out.collect():
+            assert all(r[c].startswith(f"{c}-{r.doc_id}-") for c in CLASHING)
+        docs = out
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() >= docs.count()
+
+
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):

@@ -190,3 +190,33 @@ def test_packing_edges(spark):
     for r in rows:
         assert sequences[r.sequence_id][4 * r.offset : 4 * (r.offset + r.length)] == bytes(r.ids)
     assert packing.packed_documents(table.limit(0), FILES["word_bpe_49k.json"]).count() == 0
+
+
+@pytest.mark.parametrize("size,letters", [(3000, 12), (40_000, 300), (20_000, 4000)])
+def test_rules_are_the_most_frequent_pairs(size, letters):
+    rng = np.random.default_rng(size)
+    ids = (rng.pareto(0.7, size) * 3).astype(np.int64) % letters
+    starts = np.sort(rng.choice(size, 20, replace=False))
+    starts[0] = 0
+    ends = set((starts - 1).tolist())
+    seen = Counter((int(a), int(b)) for i, (a, b) in enumerate(zip(ids[:-1], ids[1:])) if i not in ends)
+    ranked = sorted((-n, pair) for pair, n in seen.items() if n >= token_store.MIN_COUNT)[: token_store.ROUND_RULES]
+    taken, want = set(), []
+    for _, pair in ranked:  # a pair that shares its slot with a more frequent one waits
+        slot = int(token_store.slot_of(np.array([pair[0]], np.uint32), np.array([pair[1]], np.uint32))[0])
+        if slot not in taken:
+            taken.add(slot)
+            want.append(pair)
+    rules = token_store.re_pair(ids.astype(np.uint32), starts, letters, rounds=1).rules
+    assert [tuple(r) for r in rules.tolist()] == want and want
+
+
+def test_hot_and_missing_ids_spread(spark, tmp_path):
+    """A third of the rows under one doc_id and a third under none still go to several tasks."""
+    texts = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text number {i} of a hot group") for i in range(600)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(24)
+    token_store.write_store(docs, f"{tmp_path}/store", FILES["byte_bpe_50k.json"])
+    got = token_store.document_digests(spark, f"{tmp_path}/store")
+    assert Counter(r.doc_id for r in got.collect()) == Counter(d for d, _ in texts)
+    parts = [r.doc_ids for r in spark.read.parquet(f"{tmp_path}/store").collect()]
+    assert sum(any(d == 7 for d in p) for p in parts) > 1
