@@ -1,106 +1,7 @@
 """The corpus pipeline: five stages over documents, each written and read again."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from goldmatch.llm import linededup, mixing, neardup, packing, quality
-from goldmatch.session import dimension, written
-
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-
-
-def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality.quality_rules(docs).where("kept").select(*docs.columns)
-
-
-def by_text(docs: DataFrame) -> DataFrame:
-    """``docs`` whose doc_id is a number of its own per (doc_id, text), in the order of doc_id
-    and then of the text's hash; ``_doc_id`` has the doc_id as it was.
-
-    Where no doc_id has several texts, the doc_id is that number already. Only otherwise
-    are the pairs sorted and numbered, and the rows stored with their number.
-    """
-    pair = {"_id": F.col("doc_id").cast("long"), "_text": F.xxhash64("text")}
-    ids = docs.where("doc_id IS NOT NULL").select(*[c.alias(n) for n, c in pair.items()])
-    ends = ids.groupBy("_id").agg(F.min("_text").alias("low"), F.max("_text").alias("high"))
-    named = docs.withColumn("_doc_id", F.col("doc_id"))
-    if ends.where("low <> high").isEmpty():
-        return named
-    numbers = ids.distinct().orderBy("_id", "_text").withColumn("_number", F.monotonically_increasing_id())
-    numbered = named.withColumns(pair).join(dimension(numbers, "numbers"), ["_id", "_text"], "left")
-    return written(numbered.withColumn("doc_id", F.col("_number")).select(*named.columns), "by-text")
-
-
-def _original(named: DataFrame, docs: DataFrame) -> DataFrame:
-    return named.withColumn("doc_id", F.col("_doc_id")).select(*docs.columns)
-
-
-def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that repeat earlier ones; one that loses all goes.
-
-    Rows equal in doc_id and text come once; different texts under one doc_id are separate
-    documents, and rows without a doc_id stay as they are. Only rows of repeated documents
-    are grouped, and the lists that meet the texts are measured, so the texts themselves
-    stay where they are, unless a doc_id has several texts.
-    """
-    named = by_text(docs)
-    removed = linededup.repeated_lines(named.select("doc_id", "text"))
-    cleaned = linededup.without_lines(named, removed, drop_emptied=True)
-    counts = named.where("doc_id IS NOT NULL").groupBy("doc_id").count()
-    again = dimension(counts.where("count > 1").select("doc_id"), "repeated-ids")
-    single = cleaned.join(again, "doc_id", "left_anti")
-    once = single.unionByName(cleaned.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return _original(once, docs)
-
-
-def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one that names it. Rows without a doc_id
-    stay; different texts under one doc_id are separate documents."""
-    named = by_text(docs)
-    copies = neardup.near_duplicates(named, k=5, percent=80).where("NOT kept").select("doc_id").distinct()
-    return _original(named.join(dimension(copies, "copies"), "doc_id", "left_anti"), docs)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a document comes once for each time that the mix reads at least half of it.
-
-    Rows and their reads meet on the hash of doc_id and text, so rows without a doc_id take
-    part. Rows equal in both share their reads evenly, rounded up.
-    """
-    mixed, documents = mixing.mix(docs)
-    reads = mixed.groupBy("doc_no", "epoch").agg(F.sum("length").alias("words"))
-    read = documents.join(reads, "doc_no").where("2 * words >= size").groupBy(F.col("doc_no.place").alias("_place")).agg(F.count("*").alias("_reads"))
-    rows = documents.groupBy(F.col("doc_no.place").alias("_place")).agg(F.count("*").alias("_rows"))
-    times = read.join(rows, "_place").select("_place", F.ceil(F.col("_reads") / F.col("_rows")).alias("_times"))
-    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))
-    return docs.withColumn("_place", mixing.place()).join(times, "_place").withColumn("_time", each).select(*docs.columns)
-
-
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces with their place in sequences of 4096 tokens, and their ids."""
-    return packing.packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
-
-
-STAGES: list[tuple[str, Stage]] = [
-    ("quality rules", keep_good),
-    ("line dedup", drop_repeated_lines),
-    ("near-duplicates", keep_first_copies),
-    ("source mix", mix_sources),
-    ("best-fit packing", pack_sequences),
-]
+from goldmatch.llm.stages import STAGES, drop_repeated_lines, keep_first_copies, keep_good, mix_sources, pack_sequences, run
 
 ORACLE_SQL = None
 
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "drop_repeated_lines", "keep_first_copies", "keep_good", "mix_sources", "pack_sequences", "run"]
