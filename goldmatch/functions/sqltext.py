@@ -97,13 +97,13 @@ def extract_sql(raw: Column) -> Column:
     """SQL out of a generator's answer: fenced block, else statement, else all.
 
     An empty fence yields the empty text, so a match is tested by ``rlike`` and
-    not by the extracted value.
+    not by the extracted value; only texts with a mark of one are looked through for that. A
+    statement is never empty, so one search both tests and extracts it.
     """
     text = strip(raw)
-    found = (
-        F.when(F.rlike(text, F.lit(FENCE)), F.regexp_extract(text, FENCE, 1))
-        .when(F.rlike(text, F.lit(STATEMENT)), F.regexp_extract(text, STATEMENT, 1))
-        .otherwise(text)
+    fenced = F.contains(text, F.lit("```")) & F.rlike(text, F.lit(FENCE))
+    found = F.when(fenced, F.regexp_extract(text, FENCE, 1)).otherwise(
+        F.coalesce(F.regexp_substr(text, F.lit(STATEMENT)), text)
     )
     body = strip(F.substring_index(strip(found), "```", 1))
     return F.when(
