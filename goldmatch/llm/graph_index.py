@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from goldmatch.session import written
 
-SHARD_ROWS, DEGREE, BEAM, ALPHA = 4096, 32, 64, 1.2
+SHARD_ROWS, DEGREE, LONG, BEAM, BUILD_BEAM, ALPHA, ENTRIES = 16384, 32, 8, 96, 40, 1.2, 16
 BLOCK = 256
 
 
@@ -22,18 +22,20 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def beam_search(points: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """Greedy best-first search of a block of queries at once.
+def beam_search(points: np.ndarray, graph: np.ndarray, entries: np.ndarray, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """Greedy best-first search of a block of queries at once, from all ``entries``.
 
     ``graph`` has a row of neighbours per point, -1 where there is none. In each step
     every query expands its best point that isn't expanded yet. Returns the beam's
     points (-1: none) and cosines, best first.
     """
-    n_q = len(queries)
-    ids = np.full((n_q, beam), -1, np.int64)
-    near = np.full((n_q, beam), -np.inf)
+    n_q, beam = len(queries), max(beam, len(entries))
+    ids = np.full((n_q, beam), -1, np.int32)
+    near = np.full((n_q, beam), -np.inf, points.dtype)
     done = np.zeros((n_q, beam), bool)
-    ids[:, 0], near[:, 0] = start, queries @ points[start]
+    score = queries @ points[entries].T
+    order = np.argsort(-score, axis=1, kind="stable")
+    ids[:, : len(entries)], near[:, : len(entries)] = entries[order], np.take_along_axis(score, order, axis=1)
     rows = np.arange(n_q)
     while len(rows):
         ready = (ids[rows] >= 0) & ~done[rows]
@@ -45,7 +47,7 @@ def beam_search(points: np.ndarray, graph: np.ndarray, start: int, queries: np.n
         step = graph[ids[rows, best]]
         known = (step[:, :, None] == ids[rows][:, None, :]).any(axis=2)
         step = np.where(known, -1, step)
-        score = np.einsum("qrd,qd->qr", points[step], queries[rows])
+        score = (points[step] @ queries[rows][:, :, None])[:, :, 0]
         score[step < 0] = -np.inf
         all_ids = np.concatenate([ids[rows], step], axis=1)
         all_near = np.concatenate([near[rows], score], axis=1)
@@ -71,7 +73,7 @@ def robust_prune(points: np.ndarray, at: np.ndarray, candidates: np.ndarray, alp
     block = np.take_along_axis(block, order[:, :, None], 1)
     between = 2 - 2 * (block @ block.transpose(0, 2, 1))
     alive, rows = candidates >= 0, np.arange(len(at))
-    out = np.full((len(at), degree), -1, np.int64)
+    out = np.full((len(at), degree), -1, np.int32)
     for i in range(degree):
         has = alive.any(axis=1)
         if not has.any():
@@ -83,31 +85,45 @@ def robust_prune(points: np.ndarray, at: np.ndarray, candidates: np.ndarray, alp
     return out
 
 
-def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, seed: int = 7) -> tuple[np.ndarray, int]:
-    """A robust-pruned graph over unit vectors, by greedy searches from the medoid.
-
-    Points are inserted in blocks, each searched on the graph as it stands. Edges are made
-    both ways; a row has room for half as many again as ``degree`` and is pruned when that
-    is full. A last pass prunes every row to ``degree``."""
-    n, rng, room = len(points), np.random.default_rng(seed), degree + degree // 2
-    graph = np.full((n, room), -1, np.int64)
+def spread_points(points: np.ndarray, count: int) -> np.ndarray:
+    """The medoid, then one point after the other that is farthest from all chosen ones."""
+    chosen = [int(np.argmax(points @ points.mean(axis=0)))]
+    nearest = points @ points[chosen[0]]
+    while len(chosen) < min(count, len(points)):
+        chosen.append(int(np.argmin(nearest)))
+        nearest = np.maximum(nearest, points @ points[chosen[-1]])
+    return np.unique(chosen).astype(np.int32)
+
+
+def build_graph(
+    points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA, long: int = LONG, entries: int = ENTRIES, seed: int = 7
+) -> tuple[np.ndarray, np.ndarray]:
+    """A robust-pruned graph over unit vectors, and the points where searches enter it.
+
+    It starts as a random graph: ``long`` edges a point that no pruning removes, so that
+    every point can be reached and a dense group is not closed in itself. Two passes, with
+    factor 1 and then ``alpha``, search each point on the graph as it stands and prune what
+    they met to ``degree - long`` edges. Edges are made both ways; a row has room for
+    half as many again and is pruned when that is full, and once more at the end."""
+    n, rng, long = len(points), np.random.default_rng(seed), min(long, degree // 4)
+    kept = degree - long
+    room = kept + kept // 2
+    graph = np.full((n, room + long), -1, np.int32)
+    graph[:, room:] = rng.integers(0, n, (n, long))
     filled = np.zeros(n, np.int64)
-    start = int(np.argmax(points @ points.mean(axis=0)))
-
-    def put(rows: np.ndarray, near: np.ndarray) -> None:
-        graph[rows] = -1
-        graph[rows, :degree] = robust_prune(points, rows, near, alpha, degree)
-        filled[rows] = (graph[rows] >= 0).sum(axis=1)
-
-    order, at, size = rng.permutation(n), 0, 1
-    while at < n:
-        block = order[at : at + size]
-        at, size = at + size, min(2 * size, BLOCK)
-        found, _ = beam_search(points, graph, start, points[block], beam)
-        put(block, np.concatenate([found, graph[block]], axis=1))
-        to, source = graph[block].ravel(), np.repeat(block, room)
+    begin = spread_points(points, entries)
+
+    def put(rows: np.ndarray, near: np.ndarray, factor: float) -> None:
+        graph[rows, :room] = -1
+        graph[rows, :kept] = robust_prune(points, rows, near, factor, kept)
+        filled[rows] = (graph[rows, :room] >= 0).sum(axis=1)
+
+    def insert(block: np.ndarray, factor: float) -> None:
+        found, _ = beam_search(points, graph, begin, points[block], beam)
+        put(block, np.concatenate([found, graph[block, :room]], axis=1), factor)
+        to, source = graph[block, :kept].ravel(), np.repeat(block, kept)
         to, source = to[to >= 0], source[to >= 0]
-        new = ~(graph[to] == source[:, None]).any(axis=1)
+        new = ~(graph[to, :room] == source[:, None]).any(axis=1)
         to, source = to[new], source[new]
         by = np.argsort(to, kind="stable")
         to, source = to[by], source[by]
@@ -117,24 +133,34 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alph
         fits = np.repeat(roomy, counts)
         graph[to[fits], place[fits]] = source[fits]
         filled[targets[roomy]] += counts[roomy]
-        over = targets[~roomy]
+        over, first, counts = targets[~roomy], first[~roomy], counts[~roomy]
         for i in range(0, len(over), BLOCK):
-            rows = over[i : i + BLOCK]
-            width = int(np.max(np.searchsorted(to, rows, "right") - np.searchsorted(to, rows)))
-            extra = np.full((len(rows), width), -1, np.int64)
-            for j, q in enumerate(rows):
-                more = source[np.searchsorted(to, q) : np.searchsorted(to, q, "right")]
-                extra[j, : len(more)] = more
-            put(rows, np.concatenate([graph[rows], extra], axis=1))
+            rows, part = over[i : i + BLOCK], counts[i : i + BLOCK]
+            column = np.arange(part.max())
+            extra = np.where(column < part[:, None], source[np.minimum(first[i : i + BLOCK, None] + column, len(source) - 1)], -1)
+            put(rows, np.concatenate([graph[rows, :room], extra], axis=1), factor)
+
+    for factor in (1.0, alpha):
+        order, at, size = rng.permutation(n), 0, 1
+        while at < n:
+            insert(order[at : at + size], factor)
+            at, size = at + size, min(2 * size, BLOCK)
     for i in range(0, n, BLOCK):
         rows = np.arange(i, min(i + BLOCK, n))
-        put(rows, graph[rows])
-    return graph[:, :degree], start
+        put(rows, graph[rows, :room], alpha)
+    graph = np.sort(np.concatenate([graph[:, :kept], graph[:, room:]], axis=1), axis=1)
+    graph[:, 1:][graph[:, 1:] == graph[:, :-1]] = -1
+    return graph, begin
+
 
+def answers(asking: pd.DataFrame, points: np.ndarray, ids: list, narrow: np.ndarray, graph: np.ndarray, entries: np.ndarray, k: int, beam: int) -> pd.DataFrame:
+    """The k best of one shard for a block of queries, without the query itself.
 
-def answers(asking: pd.DataFrame, points: np.ndarray, ids: list, graph: np.ndarray, start: int, k: int, beam: int) -> pd.DataFrame:
-    """The k best of one shard for a block of queries, without the query itself."""
-    found, near = beam_search(points, graph, start, unit(np.stack(asking["v"].to_numpy())), beam)
+    The search goes over ``narrow``, the points in single precision; what it finds is
+    scored in double precision."""
+    queries = unit(np.stack(asking["v"].to_numpy()))
+    found, _ = beam_search(narrow, graph, entries, queries.astype(np.float32), beam)
+    near = (points[found] @ queries[:, :, None])[:, :, 0]
     rows = []
     for query, f, s in zip(asking["query_id"], found, near, strict=True):
         best = [(-x, v) for p, x in zip(f, s, strict=True) if p >= 0 for v in ids[p] if v != query]
@@ -152,8 +178,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
     Equal vectors fold into one point that keeps its k + 1 smallest vec_ids, which is all
     that k neighbours besides the query itself can need. Distinct points are dealt by
     hash to shards of about ``shard_rows``; each shard builds its graph in one task of
-    bounded memory, and all queries visit every shard in blocks. Shard results are cut
-    to k per query before they meet.
+    bounded memory, and all queries visit every shard in blocks, which is work queries x
+    shards: larger shards cost fewer visits and more memory (64 dimensions: about 1.3 KB a
+    point). Shard results are cut to k per query before they meet.
 
     Vectors that are null, empty, zero, or hold null or non-finite components take no
     part, neither as points nor as queries; neither do rows with a null vec_id. Only
@@ -193,7 +220,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
                     if not len(points):
                         continue
                     block = unit(np.stack(points["v"].to_numpy()))
-                    index = (block, points["ids"].to_list(), *build_graph(block, degree, beam, alpha))
+                    narrow = block.astype(np.float32)
+                    index = (block, points["ids"].to_list(), narrow, *build_graph(narrow, degree, alpha=alpha))
                 for i in range(0, len(asking), BLOCK):
                     yield answers(asking.iloc[i : i + BLOCK], *index, k, beam)
 

@@ -207,6 +207,39 @@ def test_neighbours_edges(spark):
     assert graph_index.search(table.limit(0), table).count() == 0 and graph_index.search(table, table.limit(0)).count() == 0
 
 
+def grouped(rng, groups, size, noise, d=64):
+    centres = graph_index.unit(rng.normal(size=(groups, d)))
+    return np.repeat(centres, size, axis=0) + noise * rng.normal(size=(groups * size, d))
+
+
+@pytest.mark.parametrize("shape", [(400, 10, 0.05, 0), (40, 100, 0.1, 0), (8, 500, 0.05, 0), (1, 1000, 0.0001, 3000), (1, 3000, 0.01, 1096)])
+def test_neighbours_among_dense_groups(shape):
+    """One shard at production parameters; the random vectors beside a group are measured apart."""
+    groups, size, noise, alone = shape
+    rng = np.random.default_rng(1)
+    points = graph_index.unit(np.concatenate([grouped(rng, groups, size, noise), rng.normal(size=(alone, 64))]))
+    narrow = points.astype(np.float32)
+    graph, entries = graph_index.build_graph(narrow)
+    asked = [rng.choice(groups * size, 200, replace=False)] + ([groups * size + rng.choice(alone, 200, replace=False)] if alone else [])
+    for q in asked:
+        found, _ = graph_index.beam_search(narrow, graph, entries, narrow[q], graph_index.BEAM)
+        exact = points[q] @ points.T
+        exact[np.arange(len(q)), q] = -2
+        near = np.where((found >= 0) & (found != q[:, None]), np.take_along_axis(exact, np.maximum(found, 0), 1), -2)
+        mine = np.take_along_axis(found, np.argsort(-near, axis=1)[:, :5], 1)
+        best = np.argsort(-exact, axis=1)[:, :5]
+        assert (mine[:, :, None] == best[:, None, :]).any(axis=2).mean() >= 0.9
+
+
+def test_neighbours_of_several_lengths_and_huge_components(spark):
+    data = [(i, [float(i), 1.0]) for i in range(4)] + [(10 + i, [1.0, float(i), 2.0]) for i in range(3)] + [(20, [1e308, 1e308]), (21, [-1e308, 1e308])]
+    table = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = graph_index.search(table, table).collect()
+    for length in (2, 3):
+        ids = [i for i, v in data if len(v) == length]
+        assert recall([r for r in got if r.query_id in ids], ids, np.array([v for _, v in data if len(v) == length]), ids) == 1.0
+
+
 # --- near duplicates ---------------------------------------------------------
 
 
