@@ -17,6 +17,8 @@ from goldmatch.llm.text import buffer_of, chunks, mix, runs, span_hashes, words
 from goldmatch.session import dimension, written
 
 PERCENT, COUNTERS, SLICES, BLOCK, CHUNK = 80, 1 << 22, 64, 8192, 2 << 20
+NARROW = 48  # sets of up to so many tokens get a sketch of 64 parities instead of 128
+MAYBE_LARGE = 1 << 31
 _U = np.uint64
 
 
@@ -92,12 +94,14 @@ def token_counters(docs: DataFrame, counters: int) -> np.ndarray:
 def line_sets(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
     """Lines with a token: doc_id, line, n (distinct tokens), k0, k1 (key of the set), prefix, s0, s1.
 
-    ``prefix`` has the rarest tokens: 32 bits of each above its place in the order of rarity.
+    ``prefix`` has the rarest tokens: 32 bits of each above its place in the order of rarity,
+    with ``MAYBE_LARGE`` set where its counter allows more than ``BLOCK`` lines.
     Tokens that occur once in all texts stand in no other line and are left out of it. The
     32-bit numbers only propose pairs. ``s0`` and ``s1`` are 128 parities: each token turns
-    one bit, so two sets differ in at least as many tokens as their sketches in bits.
+    one bit, so two sets differ in at least as many tokens as their sketches in bits. Small
+    sets have both halves folded into ``s0``, 64 parities, and 0 in ``s1``.
     """
-    counters = len(counts)
+    counters, block = len(counts), BLOCK
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,10 +119,14 @@ def line_sets(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
             keys = [np.add.reduceat(mix(tokens ^ _U(salt)), first).view(np.int64) for salt in (0x6A09E667F3BCC908, 0xBB67AE8584CAA73B)]
             bit, upper = _U(1) << (tokens >> _U(20) & _U(63)), tokens >> _U(26) & _U(1)
             sketch = [np.bitwise_xor.reduceat(np.where(upper == _U(half), bit, _U(0)), first).view(np.int64) for half in (1, 0)]
+            narrow = n <= NARROW
+            sketch = [np.where(narrow, sketch[0] ^ sketch[1], sketch[0]), np.where(narrow, 0, sketch[1])]
             place = np.arange(len(of)) - np.repeat(first, n)
-            use = (place < np.repeat(np.where(n > 1, prefix_length(n, percent), 0), n)) & (often[(tokens % _U(counters)).astype(np.int64)] > 1)
+            count = often[(tokens % _U(counters)).astype(np.int64)]
+            use = (place < np.repeat(np.where(n > 1, prefix_length(n, percent), 0), n)) & (count > 1)
             sizes = np.add.reduceat(use.astype(np.int64), first)
-            prefix = (tokens[use] << _U(32) | place[use].astype(_U)).view(np.int64)
+            at = np.where(count > block, place | MAYBE_LARGE, place)[use].astype(_U)
+            prefix = (tokens[use] << _U(32) | at).view(np.int64)
             at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -132,8 +140,15 @@ def line_sets(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, line int, n int, k0 long, k1 long, prefix array<long>, s0 long, s1 long")
 
 
+def lines_with_words(text: Column) -> Column:
+    """Numbers of the lines that hold a word, ascending."""
+    numbers = F.transform(F.split(text, "\n"), lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), i))
+    return F.filter(numbers, lambda i: i.isNotNull())
+
+
 def candidates(postings: DataFrame, percent: int, first_only: bool) -> DataFrame:
     """Pairs (later line, earlier line) that pass the filters, of ``postings`` by token.
+    Only lines that ask are later ones; without a column ``asks`` all do.
 
     With ``first_only`` each later line gets the earliest partner of each token and whether
     it has more there (2 partners) or not (1), else all of them. Rows come by block pair of a
@@ -160,10 +175,11 @@ def candidates(postings: DataFrame, percent: int, first_only: bool) -> DataFrame
     def found(rows: pa.RecordBatch, edges: np.ndarray) -> pa.RecordBatch:
         column = {c: np.asarray(rows.column(c)) for c in rows.schema.names}
         order = np.lexsort((column["line"], column["doc_id"], column["pair"]))
-        pair, doc, line, own, cross, asks = (column[c][order] for c in ("pair", "doc_id", "line", "own", "cross", "asks"))
-        n, place = (column[c][order].astype(np.int64) for c in ("n", "place"))
+        pair, doc, line, cut, size = (column[c][order] for c in ("pair", "doc_id", "line", "cut", "size"))
+        own, cross, n, place = cut >> 1, cut & 1 > 0, size >> 32, size & MAYBE_LARGE - 1
         s0, s1 = (column[c][order].view(_U) for c in ("s0", "s1"))
-        later = np.flatnonzero(asks)
+        folded, wide = s0 ^ s1, n > NARROW
+        later = np.flatnonzero(column["asks"][order]) if "asks" in column else np.arange(len(n))
         begin = np.repeat(edges[:-1], np.diff(edges))[later]
         partners, first = np.zeros(len(n), np.int64), np.full(len(n), -1)
         pairs_y, pairs_x = [], []
@@ -174,7 +190,8 @@ def candidates(postings: DataFrame, percent: int, first_only: bool) -> DataFrame
             overlap = needed_overlap(n[x], n[y], percent)
             # the tokens from this one on must suffice; of two blocks only pairs across count
             good = (np.minimum(n[x] - place[x], n[y] - place[y]) >= overlap) & ~(cross[y] & (own[x] == own[y]))
-            differ = np.bitwise_count(s0[x] ^ s0[y]) + np.bitwise_count(s1[x] ^ s1[y]).astype(np.int64)
+            halves = np.bitwise_count(s0[x] ^ s0[y]) + np.bitwise_count(s1[x] ^ s1[y]).astype(np.int64)
+            differ = np.where(wide[x] & wide[y], halves, np.bitwise_count(folded[x] ^ folded[y]))
             good &= differ <= n[x] + n[y] - 2 * overlap
             hit = y[good]
             if first_only:
@@ -206,8 +223,9 @@ def _token(t: Column) -> Column:
 
 
 def large_tokens(classes: DataFrame) -> DataFrame:
-    """token, blocks: the prefix tokens with more than ``BLOCK`` lines."""
-    counts = classes.select(F.explode(F.transform("prefix", _token)).alias("token")).groupBy("token").count()
+    """token, blocks: the prefix tokens with more than ``BLOCK`` lines. Only those are counted whose counter allows it."""
+    maybe = F.filter("prefix", lambda t: t.bitwiseAND(F.lit(MAYBE_LARGE)) != 0)
+    counts = classes.select(F.explode(F.transform(maybe, _token)).alias("token")).groupBy("token").count()
     large = counts.where(F.col("count") > BLOCK)
     return dimension(large.select("token", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "blocks")
 
@@ -217,17 +235,21 @@ def posted(classes: DataFrame, blocks: DataFrame) -> DataFrame:
 
     Large tokens are cut into blocks by a hash of the line; a line goes to every pair of
     its block with another, so no task holds more than two blocks.
-    ``pair`` is a hash of token and blocks: rows that meet by its chance are only tested more.
+    ``pair`` is the token above a hash of the blocks (0: not cut): rows that meet by its
+    chance are only tested more. Rows are narrow, as they are the bulk of what is shuffled:
+    ``size`` has n above place, ``cut`` the own block above whether the other one differs.
     """
     each = classes.select("doc_id", "line", "n", "s0", "s1", F.explode("prefix").alias("t"))
-    place = F.col("t").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
-    each = each.select(_token(F.col("t")).alias("token"), "doc_id", "line", "n", "s0", "s1", place.alias("place"))
+    size = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("t").bitwiseAND(F.lit(MAYBE_LARGE - 1))).alias("size")
+    each = each.select(_token(F.col("t")).alias("token"), "doc_id", "line", size, "s0", "s1")
     each = each.join(blocks, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = F.pmod(F.xxhash64("doc_id", "line"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("doc_id", "line"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = each.withColumn("own", own).withColumn("other", other)
-    pair = F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("pair")
-    return dealt.select(pair, "doc_id", "line", "n", "place", "s0", "s1", "own", (F.col("own") != F.col("other")).alias("cross"), F.lit(True).alias("asks"))
+    met = F.xxhash64(F.least("own", "other"), F.greatest("own", "other")).bitwiseAND(F.lit(0xFFFFFFFF))
+    pair = F.shiftleft(F.col("token").cast("long"), 32).bitwiseOR(F.when(F.col("blocks") > 1, met).otherwise(0)).alias("pair")
+    cut = (2 * F.col("own") + (F.col("own") != F.col("other")).cast("long")).alias("cut")
+    return dealt.select(pair, "doc_id", "line", "size", "s0", "s1", cut)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -299,7 +321,7 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, counters: int = COUN
     """
     one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = one.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    lines = written(line_sets(texts, token_counters(in_large_tasks(texts), counters), percent), "lines")
+    lines = line_sets(texts, token_counters(in_large_tasks(texts), counters), percent)
     first = F.min(F.struct("doc_id", "line")).alias("first")
     classes = lines.groupBy("k0", "k1").agg(first, *[F.first(c).alias(c) for c in ("n", "prefix", "s0", "s1")])
     classes = written(classes.select("first.doc_id", "first.line", "n", "prefix", "s0", "s1"), "classes")
@@ -311,18 +333,17 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, counters: int = COUN
     more = tried.where("partners > 1").join(gone, ["doc_y", "line_y"], "left_anti")
     more = written(more.select("pair", F.col("doc_y").alias("doc_id"), F.col("line_y").alias("line")).distinct(), "open")
     if not more.isEmpty():
-        again = postings.drop("asks").join(dimension(more.select("pair").distinct(), "pairs"), "pair", "left_semi")
+        again = postings.join(dimension(more.select("pair").distinct(), "pairs"), "pair", "left_semi")
         again = again.join(more.withColumn("asks", F.lit(True)), ["pair", "doc_id", "line"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
         rest = candidates(again, percent, first_only=False).select("doc_y", "line_y", "doc_x", "line_x").distinct()
         rest = written(rest.join(pairs, ["doc_y", "line_y", "doc_x", "line_x"], "left_anti"), "rest")
         gone = written(gone.union(verified(rest, texts, percent)), "gone")
-    stays = classes.join(gone, (F.col("doc_id") == F.col("doc_y")) & (F.col("line") == F.col("line_y")), "left_anti").select("doc_id", "line", F.lit(True).alias("stays"))
-    marked = lines.select("doc_id", "line").distinct().join(stays, ["doc_id", "line"], "left")
-    per_doc = marked.groupBy("doc_id").agg(
-        F.count("*").alias("n_lines"), F.sort_array(F.collect_list(F.when(F.col("stays").isNull(), F.col("line")))).alias("removed")
-    )
+    first_ones = classes.join(gone, (F.col("doc_id") == F.col("doc_y")) & (F.col("line") == F.col("line_y")), "left_anti")
+    stays = first_ones.groupBy("doc_id").agg(F.collect_list("line").alias("stays"))
     none = F.array().cast("array<int>")
-    return one.select("doc_id").join(per_doc, "doc_id", "left").select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("removed", none).alias("removed"))
+    numbered = one.select("doc_id", F.when(F.col("doc_id").isNotNull(), lines_with_words(F.col("text"))).alias("lines"))
+    listed = numbered.join(stays, "doc_id", "left").withColumn("lines", F.coalesce("lines", none))
+    return listed.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.array_except("lines", F.coalesce("stays", none)).alias("removed"))
 
 
 def without_lines(docs: DataFrame, removed: DataFrame, drop_emptied: bool = False) -> DataFrame:
