@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from goldmatch.llm.quality import STOP_WORDS
+
 _SQL: dict[str, str] = {}
 
 _SQL["op11_hard_negatives"] = """
@@ -40,6 +42,33 @@ FROM parts LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_h
 QUALIFY row_number() OVER (PARTITION BY row_no ORDER BY length(rule_host || rule_path) DESC NULLS LAST, length(rule_host) DESC) = 1
 """
 
+_SQL["op6_quality_rules"] = rf"""
+WITH parts AS (
+  SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         [x for x in string_split(coalesce(text, ''), chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] AS l
+  FROM documents
+), windows AS (
+  SELECT row_no, i, [w[i], w[i + 1], w[i + 2]] AS three FROM (SELECT row_no, w, unnest(range(1, len(w) - 1)) AS i FROM parts)
+), again AS (
+  SELECT row_no, i FROM windows QUALIFY count(*) OVER (PARTITION BY row_no, three) > 1
+), covered AS (
+  SELECT row_no, count(DISTINCT p) AS n_repeat_words FROM (SELECT row_no, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY row_no
+), counts AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, len(l) AS n_lines,
+         CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         len([x for x in w if list_contains({STOP_WORDS!r}, x)]) AS n_stop_words
+  FROM parts LEFT JOIN covered USING (row_no)
+), based AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND word_chars / n_words BETWEEN 2.0 AND 14.0 AND n_symbols / n_words <= 0.2
+         AND n_stop_words / n_words >= 0.03 AND n_dup_lines / n_lines <= 0.5 AS kept
+FROM based
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)

@@ -4,11 +4,12 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from goldmatch.llm import chatformat, graph_index, mixing, neardup, quality
+from goldmatch.llm import chatformat, graph_index, mixing, neardup, quality, sql
 from goldmatch.llm import queries as Q
 
 SMALL = "/root/testdata/sf0.001"
@@ -104,6 +105,28 @@ def test_quality_edges(spark):
     assert quality.quality_rules(documents(spark, [])).count() == 0
 
 
+def test_quality_sql_agrees_on_edges(spark):
+    """The SQL states the verdict a second time, thresholds included."""
+    stop = "the of and to in a is that for it " * 8
+    data = EDGES + [(10 + i, t) for i, t in enumerate([
+        " ".join(f"w{i}" for i in range(60)),  # no stop words
+        " ".join(f"w{i} the" for i in range(60)),
+        " ".join(f"w{i} of # |" for i in range(40)),  # symbols
+        "\n".join(["the same line"] * 30 + [f"a{i} b{i} c{i} d{i} e{i} f{i} g{i}" for i in range(29)]),
+        " ".join(f"{'long' * 5}{i} the" for i in range(60)),
+        stop,
+    ])]
+    table = documents(spark, data)
+    judged = quality.quality_rules(table)
+    got = judged.select("doc_id", "quality.n_words", "quality.word_chars", "quality.n_symbols", "quality.n_dup_lines", "quality.n_repeat_words", "base_failed", "kept")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [d[:2] for d in data])
+    want = con.execute(sql.oracle_sql()["op6_quality_rules"]).fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert {r.kept for r in got.where("NOT base_failed").collect()} == {True, False}
+
+
 def test_quality_keeps_clean_documents(spark):
     judged = Q.op6_quality_rules(spark, "/root/testdata/sf0.01")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
