@@ -96,7 +96,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
         for batch in chunks(batches, size=CHUNK_BYTES):
             data, offsets = buffer_of(batch.column("text"))
             starts, ends, first = piece_spans(data, offsets)
-            codes, one = distinct(data, starts, ends)
+            codes, one, _ = distinct(data, starts, ends)
             raw, per_piece = data.tobytes(), np.zeros(len(one), np.int64)
             kinds: dict[str, int] = {}
             owner, kind = [], []

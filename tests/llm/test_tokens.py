@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from goldmatch.llm import packing, token_counts, token_store
 from goldmatch.llm import queries as Q
-from goldmatch.llm.pieces import Encoder
+from goldmatch.llm.pieces import Encoder, Known, gathered
 from goldmatch.llm.text import buffer_of
 
 SMALL = "/root/testdata/sf0.001"
@@ -44,6 +44,31 @@ def documents(spark, texts):
     return spark.createDataFrame(rows + rows[:3], "doc_id long, text string, piece string, length int")
 
 
+@pytest.mark.parametrize("name", list(FILES))
+def test_encoder_forgets_and_cuts_before_marks(name):
+    encoder, rng = Encoder(FILES[name]), np.random.default_rng(3)
+    encoder.known = Known(most=40)
+    syllables = ["don't", "x's.", "a...b", "Ok!?", "(z)", "é.", "e\u0301,", "ß'S", "K%", "1.5", "'ll", "n'T", "<|endoftext|>", "a<|", "|>.", "q&&& "]
+    for _ in range(12):
+        texts = ["".join(rng.choice(syllables + [" ", "\n"], 30)) for _ in range(20)]
+        ids, at = encoder.encode(*buffer_of(pa.array(texts)))
+        for i, text in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(encoder.known.keys) <= 40 + 40 * 20
+
+
+def test_known_pieces_drop_those_not_asked_for():
+    known, key = Known(most=4), lambda *x: np.array(x, np.uint64)
+    known.add(key(9, 3, 5), np.array([1, 0, 2]), np.array([90, 50, 51], np.uint32))
+    known.find(key(5))
+    known.add(key(1, 7), np.array([1, 1]), np.array([10, 70], np.uint32))
+    at, there = known.find(key(1, 3, 5, 7, 9))
+    assert there.tolist() == [True, False, True, True, False]
+    assert gathered(known.flat, known.starts[at[there]], known.lengths[at[there]]).tolist() == [10, 50, 51, 70]
+    known.add(key(2, 4), np.array([1, 1]), np.array([20, 40], np.uint32))
+    assert known.keys.tolist() == [2, 4]
+
+
 def test_token_counts(spark):
     texts, library = nasty_texts(), Tokenizer.from_file(FILES["byte_bpe_50k.json"])
     table = documents(spark, texts)
