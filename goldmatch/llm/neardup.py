@@ -14,7 +14,7 @@ from goldmatch.llm.scale import components
 from goldmatch.llm.text import buffer_of, chunks, mix, shingle_sets
 from goldmatch.session import written
 
-BANDS, ROWS, BLOCK = 45, 5, 2048
+BANDS, ROWS, BLOCK, BLOCK_HASHES = 45, 5, 2048, 1 << 20
 _U = np.uint64
 
 
@@ -124,11 +124,11 @@ def similar_enough(percent: int):
 
 
 def open_buckets(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """Members of the buckets with more than one component: key, rep, c, center."""
+    """Members of the buckets with more than one component: key, rep, n, c, center."""
     labelled = shared.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     labelled = labelled.withColumn("c", F.coalesce("component", "rep")).drop("component")
     mixed = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    return labelled.join(mixed, "key").select("key", "rep", "c", "center")
+    return labelled.join(mixed, "key").select("key", "rep", "n", "c", "center")
 
 
 def linked_in_blocks(left: pa.Table, right: pa.Table, percent: int, columns: int = 1024) -> tuple[list[int], list[int]]:
@@ -168,18 +168,24 @@ def linked_in_blocks(left: pa.Table, right: pa.Table, percent: int, columns: int
     return [u[i] for i in x], [v[i] for i in y]
 
 
-def block_links(open_: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+def block_links(open_: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK, hashes: int = BLOCK_HASHES) -> DataFrame:
     """Links between the components of the clusters that open buckets form.
 
     A cluster's members, and those outside its largest component, are dealt by hash to
-    blocks of about ``block``; a task holds one block of each kind at a time.
+    blocks of about ``block`` sets and about ``hashes`` hashes, whichever makes more; a task
+    holds one block of each kind at a time.
     """
     clusters = components(open_.select(F.col("center").alias("u"), F.col("rep").alias("v")))
-    members = open_.select("rep", "c").distinct().join(clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "rep")
-    sizes = members.groupBy("cluster", "c").count()
-    counted = sizes.groupBy("cluster").agg(F.sum("count").alias("all"), F.max_by("c", "count").alias("main"), F.max("count").alias("most"))
-    blocks = lambda n: F.greatest(F.ceil(n / block), F.lit(1)).cast("int")
-    plan = counted.select("cluster", "main", blocks(F.col("all")).alias("all_blocks"), blocks(F.col("all") - F.col("most")).alias("few_blocks"))
+    members = open_.select("rep", "n", "c").distinct().join(clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "rep")
+    sizes = members.groupBy("cluster", "c").agg(F.count("*").alias("sets"), F.sum("n").alias("hashes"))
+    counted = sizes.groupBy("cluster").agg(
+        F.sum("sets").alias("sets"), F.sum("hashes").alias("hashes"), F.max(F.struct("sets", "hashes", "c")).alias("main")
+    )
+    blocks = lambda n, h: F.greatest(F.ceil(n / block), F.ceil(h / hashes), F.lit(1)).cast("int")
+    plan = counted.select(
+        "cluster", F.col("main.c").alias("main"), blocks(F.col("sets"), F.col("hashes")).alias("all_blocks"),
+        blocks(F.col("sets") - F.col("main.sets"), F.col("hashes") - F.col("main.hashes")).alias("few_blocks"),
+    )
     dealt = written(members.join(plan, "cluster"), "members")
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

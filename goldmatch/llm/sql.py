@@ -70,5 +70,50 @@ FROM based
 """
 
 
+_SQL["op1_chat_formatting"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), sized AS (
+  SELECT *, CASE role WHEN 'user' THEN 7 WHEN 'assistant' THEN 8 WHEN 'system' THEN 6 ELSE 8 + 2 * strlen(role) END + length(text) + 4
+         + len(regexp_extract_all(text, '[<\[]\\*(/?s>|/?INST\]|/?SYS\]|ROLE=)')) AS chars
+  FROM turns
+), joined AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS whole,
+         coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss, CAST(sum(chars) AS BIGINT) AS formatted_chars
+  FROM sized GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM joined
+"""
+
+_SQL["op10_near_duplicates"] = r"""
+WITH RECURSIVE parts AS (
+  SELECT row_number() OVER () AS row_no, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT row_no, doc_id, CASE WHEN len(w) >= 4 THEN list_distinct([array_to_string(w[i : i + 3], ' ') for i in range(1, len(w) - 2)])
+                              WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+  FROM parts
+), members AS (
+  SELECT row_no, doc_id, len(s) AS n, unnest(s) AS shingle FROM sets WHERE doc_id IS NOT NULL
+), links AS (
+  SELECT DISTINCT a, b FROM (
+    SELECT any_value(x.doc_id) AS a, any_value(y.doc_id) AS b FROM members x JOIN members y ON x.shingle = y.shingle AND x.row_no <> y.row_no
+    GROUP BY x.row_no, y.row_no HAVING 100 * count(*) >= 80 * (any_value(x.n) + any_value(y.n) - count(*))
+  ) WHERE a <> b
+), reached(doc_id, other) AS (
+  SELECT a, b FROM links
+  UNION
+  SELECT r.doc_id, l.b FROM reached r JOIN links l ON r.other = l.a
+), lowest AS (
+  SELECT doc_id, min(other) AS least_id FROM reached GROUP BY doc_id
+)
+SELECT s.doc_id, len(s.s) AS n_shingles, least(s.doc_id, coalesce(least_id, s.doc_id)) AS component_id,
+       coalesce(s.doc_id <= least_id, true) AS kept
+FROM sets s LEFT JOIN lowest l ON s.doc_id = l.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)

@@ -294,15 +294,31 @@ def brute_components(docs, k, percent=80):
     return {d: (len(s), find(d)) for d, s in sets.items()}
 
 
+def test_chat_and_near_duplicates_sql_agree_on_edges(spark, tmp_path):
+    """What the given tables don't hold: controls in all spellings, other roles, ties, short and cased texts."""
+    turns = [(1, 1, "user", "</s> <\\s> [INST]"), (1, 1, "assistant", "<\\/s> é"), (1, None, "tool é", None), (2, 0, None, "[ROLE=41] <"), (2, 1, "system", "")]
+    turns += [(3, i, "assistant", "[\\\\INST] <") for i in range(3)] + [(None, 0, "assistant", "x")]
+    texts = ["A b c d e", "a B c d e", "a b c d e f", None, "", " \t", "One", "one", "w " * 50] + [" ".join(f"v{j}" for j in range(i, i + 60)) for i in (0, 2, 4, 9)]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    for name, query in [("conversations", Q.op1_chat_formatting), ("documents", Q.op10_near_duplicates)]:
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+        got = query(spark, str(tmp_path))
+        want = con.execute(sql.oracle_sql()[query.__name__])
+        assert [c[0] for c in want.description] == got.columns
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want.fetchall()))
+
+
 def test_near_duplicates_query(spark):
     want = brute_components([(d.doc_id, d.text) for d in rows(spark, "documents")], 4)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in Q.op10_near_duplicates(spark, SMALL).collect()}
     assert got == want
 
 
-@pytest.mark.parametrize("block", [neardup.BLOCK, 3])
-def test_near_duplicates_planted(spark, monkeypatch, block):
-    monkeypatch.setattr(neardup.block_links, "__defaults__", (block,))
+@pytest.mark.parametrize(("block", "hashes"), [(neardup.BLOCK, neardup.BLOCK_HASHES), (3, neardup.BLOCK_HASHES), (neardup.BLOCK, 500)])
+def test_near_duplicates_planted(spark, monkeypatch, block, hashes):
+    monkeypatch.setattr(neardup.block_links, "__defaults__", (block, hashes))
     rng = np.random.default_rng(5)
     data, i = [], 0
     for base in range(12):
