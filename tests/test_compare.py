@@ -163,3 +163,14 @@ def test_capped_results(spark):
     got = sorted((r.item_id, r.side, r.row_no, r.truncated) for r in compare.capped_results(rows, 3).collect())
     assert got == [(1, "gold", n, True) for n in range(3)] + [(1, "pred", n, False) for n in range(3)] + [(2, "gold", n, False) for n in range(2)]
     assert compare.capped_results(rows.limit(0), 3).collect() == []
+
+
+def test_positions_are_dealt_by_rows(spark):
+    """A task gets a bounded number of rows, however small they are when compressed."""
+    df = spark.range(3000).select((F.col("id") % 300).alias("g"), F.lit("same").alias("same"), F.col("id").alias("v"))
+    out = row_ordinals(df, ["g"], ["v"], size="n", sample=1.0, task_rows=300)
+    per_task = out.groupBy(F.spark_partition_id()).count().collect()
+    assert len(per_task) > 5 and max(r["count"] for r in per_task) < 900
+    plain = row_ordinals(df, ["g"], ["v"], size="n", sample=1.0)
+    assert {tuple(r) for r in out.collect()} == {tuple(r) for r in plain.collect()}
+    assert row_ordinals(df.limit(0), ["g"], ["v"]).collect() == []
