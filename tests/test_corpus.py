@@ -435,3 +435,22 @@ def test_samples_round_trip(spark, tmp_path):
     assert {(r.item_id, r.split, r.messages[2].content) for r in back.collect()} == {
         (1, "train", "```sql\nSELECT 1\n```"), (2, "validation", "```sql\nSELECT 2\n```"),
     }
+
+
+def test_samples_are_stored_small(spark, tmp_path):
+    """Files are compressed, and long rows are not sorted by their split."""
+    text = F.repeat(F.lit("CREATE TABLE t (a TEXT);\n"), 100)
+    df = spark.range(400).select(
+        F.col("id").alias("item_id"), F.lit("d").alias("db_id"), F.lit("q").alias("question"), F.lit("SELECT 1").alias("gold_sql"),
+        F.lit(None).cast("string").alias("difficulty"), text.alias("schema_ddl"), F.when(F.col("id") % 4 == 0, "val").otherwise("train").alias("split"),
+    )
+    conf, name = spark.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(name, "0")
+    for compression, suffix in (("gzip", "json.gz"), ("none", "json")):
+        samples.write_samples_jsonl(samples.sft_samples(df), f"{tmp_path}/{suffix}", compression)
+        assert conf.get(name, "0") == before
+        lines = spark.read.text(f"{tmp_path}/{suffix}").groupBy("split").count()
+        assert {(r.split, r["count"]) for r in lines.collect()} == {("train", 300), ("val", 100)}
+    samples.write_samples_jsonl(samples.sft_samples(df), f"{tmp_path}/default")
+    size = {d: sum(f.stat().st_size for f in (tmp_path / d).glob("split=*/part-*")) for d in ("default", "json")}
+    assert size["default"] * 10 < size["json"]
