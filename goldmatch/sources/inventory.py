@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,17 +25,20 @@ def files_below(spark: SparkSession, root: str, globs: list[str]) -> DataFrame:
     """``name``: paths below ``root``, relative to it, that match one of ``globs``.
 
     Patterns are anchored at the root and list only the folders they name; Spark spreads the
-    listing over tasks where there are many. Contents are not read. A pattern that
-    nothing matches adds nothing.
+    listing over tasks where there are many. Contents are not read. Each pattern is looked
+    up once; one that nothing matches adds nothing.
     """
     jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
     folder = jvm.org.apache.hadoop.fs.Path(root)
     fs = folder.getFileSystem(conf)
     full = fs.makeQualified(folder).toString().rstrip("/")
-    met = [f"{full}/{g}" for g in globs if fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{full}/{g}"))]
-    if not met:
-        return spark.createDataFrame([], "name string")
-    files = spark.read.format("binaryFile").load(met).select("path")
+    files = spark.createDataFrame([], "path string")
+    for g in globs:
+        try:
+            files = files.union(spark.read.format("binaryFile").load(f"{full}/{g}").select("path"))
+        except AnalysisException as e:
+            if (e.getCondition() or "") != "PATH_NOT_FOUND":
+                raise
     return files.select(F.substr("path", F.lit(len(full) + 2)).alias("name")).distinct()
 
 

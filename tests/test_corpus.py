@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from goldmatch.functions import prompts as P
 from goldmatch.operators import chat, keys, lengths, predict, schema, split
+from goldmatch.plans import registry
 from goldmatch.sources import catalog, inventory, items, samples
 
 COLS = "db_id string, table_no int, table_name string, cid int, name string, data_type string, not_null int, default_value string, pk int"
@@ -454,3 +455,14 @@ def test_samples_are_stored_small(spark, tmp_path):
     samples.write_samples_jsonl(samples.sft_samples(df), f"{tmp_path}/default")
     size = {d: sum(f.stat().st_size for f in (tmp_path / d).glob("split=*/part-*")) for d in ("default", "json")}
     assert size["default"] * 10 < size["json"]
+
+
+def test_folders_are_written_by_many_tasks(spark, tmp_path):
+    names = spark.range(30).select(F.concat(F.lit("db_"), F.col("id").cast("string")).alias("db_id"))
+    registry._write_folders(names, f"{tmp_path}/database", per_task=5)
+    files = list((tmp_path / "database").glob("db_id=*/part-*.json"))
+    assert len(files) == 30 and len({f.name.split("-")[1] for f in files}) > 2
+    found = inventory.source_inventory(spark, str(tmp_path), "database/db_id=*/*.json", r"^database/db_id=([^/]+)/[^/]+$")
+    assert {r.db_id for r in found.collect()} == {f"db_{i}" for i in range(30)}
+    registry._write_folders(names.limit(0), f"{tmp_path}/none")
+    assert not list((tmp_path / "none").glob("db_id=*"))
