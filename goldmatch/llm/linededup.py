@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from goldmatch.llm.pieces import in_large_tasks
-from goldmatch.llm.scale import free_name
+from goldmatch.llm.scale import free_name, in_batches
 from goldmatch.llm.text import buffer_of, chunks, mix, runs, span_hashes, words
 from goldmatch.session import dimension, written
 
@@ -83,7 +83,7 @@ def token_counters(docs: DataFrame, counters: int) -> np.ndarray:
         whole = [np.minimum(x, (1 << 31) - 1).astype("<i4").tobytes() for x in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(whole, pa.binary())], ["slice", "counts"])
 
-    parts = docs.select("text").mapInArrow(count, "slice int, counts binary")
+    parts = in_batches(docs.select("text"), count, "slice int, counts binary")
     rows = parts.repartition(SLICES, "slice").mapInArrow(add, "slice int, counts binary").collect()
     out = np.zeros((SLICES, width), np.int32)
     for r in rows:
@@ -137,7 +137,7 @@ def line_sets(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
                 ["doc_id", "line", "n", "k0", "k1", "prefix", "s0", "s1"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, line int, n int, k0 long, k1 long, prefix array<long>, s0 long, s1 long")
+    return in_batches(docs, run, "doc_id long, line int, n int, k0 long, k1 long, prefix array<long>, s0 long, s1 long")
 
 
 def lines_with_words(text: Column) -> Column:
@@ -292,10 +292,10 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             keep = 100 * shared >= percent * (sizes[0] + sizes[1] - shared)
             yield batch.select(["doc_y", "line_y"]).filter(pa.array(keep))
 
-    found = written(texts.select("doc_id", "text", "lines").mapInArrow(sets, "doc_id long, line int, tokens binary"), "sets")
+    found = written(in_batches(texts.select("doc_id", "text", "lines"), sets, "doc_id long, line int, tokens binary"), "sets")
     for e in "xy":
         pairs = pairs.join(found.select(F.col("doc_id").alias(f"doc_{e}"), F.col("line").alias(f"line_{e}"), F.col("tokens").alias(f"tokens_{e}")), [f"doc_{e}", f"line_{e}"])
-    return pairs.select("doc_y", "line_y", "tokens_x", "tokens_y").mapInArrow(similar, "doc_y long, line_y int").distinct()
+    return in_batches(pairs.select("doc_y", "line_y", "tokens_x", "tokens_y"), similar, "doc_y long, line_y int").distinct()
 
 
 def repeated_lines(docs: DataFrame, percent: int = PERCENT, counters: int = COUNTERS) -> DataFrame:

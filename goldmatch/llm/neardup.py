@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from goldmatch.llm.scale import components
+from goldmatch.llm.scale import components, in_batches
 from goldmatch.llm.text import buffer_of, chunks, mix, shingle_sets
 from goldmatch.session import written
 
@@ -81,9 +81,8 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 ["doc_id", "n_shingles", "set_key", "bands"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, set_key binary, bands array<long>"
-    )
+    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return in_batches(wanted, run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -96,7 +95,7 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
             hashes = pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([keys, hashes], ["set_key", "hashes"])
 
-    return docs.select("text").mapInArrow(run, "set_key binary, hashes binary")
+    return in_batches(docs.select("text"), run, "set_key binary, hashes binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -115,7 +114,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     a = sets.select(F.col("node").alias("u"), F.col("hashes").alias("a"))
     b = sets.select(F.col("node").alias("v"), F.col("hashes").alias("b"))
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    return in_batches(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b"), run, "u long, v long")
 
 
 def similar_enough(percent: int):
@@ -218,7 +217,7 @@ def block_links(open_: DataFrame, sets: DataFrame, percent: int, block: int = BL
         if held:
             yield links()
 
-    return rows.select("cluster", "i", "j", "side", "rep", "c", "hashes").mapInArrow(run, "u long, v long")
+    return in_batches(rows.select("cluster", "i", "j", "side", "rep", "c", "hashes"), run, "u long, v long")
 
 
 def texts_of_one_id(full: DataFrame, member: DataFrame) -> DataFrame:

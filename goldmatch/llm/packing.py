@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from goldmatch.llm.pieces import CHUNK_BYTES, Encoder, in_large_tasks
-from goldmatch.llm.scale import running_sum
+from goldmatch.llm.scale import in_batches, running_sum
 from goldmatch.llm.text import buffer_of, chunks
 from goldmatch.session import dimension, written
 
@@ -44,7 +44,7 @@ def token_pieces(docs: DataFrame, path: str, end_id: int = 1, max_length: int =
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     wanted = in_large_tasks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return wanted.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return in_batches(wanted, run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def best_fit_plan(histogram: dict[int, int], capacity: int = MAX_LENGTH) -> list[tuple[int, int, int, int, int, int]]:

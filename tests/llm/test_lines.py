@@ -4,11 +4,13 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from goldmatch.llm import classifier, linededup, quality
+from goldmatch.llm import classifier, linededup, neardup, packing, quality, scale
 from goldmatch.llm import queries as Q
 from goldmatch.session import written
 
@@ -212,3 +214,28 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
         stage(spark, docs, SMALL).write.parquet(f"{tmp_path}/{i}")
         docs = spark.read.parquet(f"{tmp_path}/{i}")
     assert docs.count() == 0
+
+
+def test_whole_texts_come_in_batches_of_bounded_size(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "bytes"])
+
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1000).alias("text"))
+    before = spark.conf.get(scale.BATCH_LIMIT, None)
+    spark.conf.unset(scale.BATCH_LIMIT)
+    try:
+        got = scale.in_batches(docs, sizes, "n long, bytes long").collect()
+        assert sum(r.n for r in got) == 3000 and max(r.bytes for r in got) < 2 * scale.BATCH_BYTES
+        # every pass over whole texts asks for it, and a limit of the caller's own stays
+        for ask in (lambda: neardup.signatures(docs, 5, 45, 5), lambda: neardup.full_sets(docs, 5), lambda: packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json")),
+                    lambda: linededup.line_sets(docs, np.ones(1 << 12, np.int32), 80)):
+            spark.conf.unset(scale.BATCH_LIMIT)
+            ask()
+            assert int(spark.conf.get(scale.BATCH_LIMIT)) == scale.BATCH_BYTES
+        spark.conf.set(scale.BATCH_LIMIT, "1000000")
+        assert max(r.n for r in scale.in_batches(docs, sizes, "n long, bytes long").collect()) < 300
+    finally:
+        spark.conf.unset(scale.BATCH_LIMIT)
+        if before:
+            spark.conf.set(scale.BATCH_LIMIT, before)
