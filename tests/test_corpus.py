@@ -1,15 +1,19 @@
 import hashlib
 import json
+import os
 import random
 import re
+from functools import reduce
 
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, DataFrameReader, DataFrameWriter, Row
 from pyspark.sql import functions as F
 
 from goldmatch.functions import prompts as P
 from goldmatch.operators import chat, keys, lengths, predict, schema, split
 from goldmatch.plans import registry
+from goldmatch.session import mounted_path, qualified
 from goldmatch.sources import catalog, inventory, items, samples
 
 COLS = "db_id string, table_no int, table_name string, cid int, name string, data_type string, not_null int, default_value string, pk int"
@@ -466,3 +470,116 @@ def test_folders_are_written_by_many_tasks(spark, tmp_path):
     assert {r.db_id for r in found.collect()} == {f"db_{i}" for i in range(30)}
     registry._write_folders(names.limit(0), f"{tmp_path}/none")
     assert not list((tmp_path / "none").glob("db_id=*"))
+
+
+def test_folders_are_made_in_place(spark, tmp_path):
+    """The folders and lines of Spark's writer, at many places by one job, without Hadoop's local files."""
+    odd = ["a", "a", None, "", "x/y=z", "50%", 'q"#\'*:?\\{[]^', "tab\there", "päd é", "."]
+    names = spark.createDataFrame([(n,) for n in odd], "db_id string")
+    places = [tmp_path / "database", tmp_path / "backup" / "database", tmp_path / "database" / "old"]
+    registry._write_folders(names, *map(str, places), per_task=4)
+    names.withColumn("named", F.col("db_id")).write.partitionBy("db_id").json(f"{tmp_path}/spark")
+
+    def lines(place):
+        return sorted((f.parent.name, line) for f in place.glob("db_id=*/part-*.json") for line in f.read_text().splitlines())
+
+    for place in places:
+        assert lines(place) == lines(tmp_path / "spark") and len(lines(place)) == len(odd)
+        assert not list(place.rglob("*.crc")) and not (place / "_temporary").exists()
+
+
+def test_a_folder_task_may_run_again(tmp_path, monkeypatch):
+    monkeypatch.setattr(registry.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda _: 3})())
+    make, row = registry._folder_maker([str(tmp_path)]), Row("db_id", "line")
+    for _ in range(2):
+        make([row("a", "1"), row("b", "2"), row("a", "3")])
+    assert (tmp_path / "db_id=a" / "part-00003.json").read_text() == "1\n3\n"
+    assert (tmp_path / "db_id=b" / "part-00003.json").read_text() == "2\n"
+
+
+def _odd_tree(root):
+    files = ["dev.json", "top.sqlite", "database/a/a.sqlite", "database/a/b.sqlite", "database/a/_h.sqlite", "database/a/.h.sqlite", "database/a/x._COPYING_",
+             "database/a/_k=v.sqlite", "database/a/_metadata.sqlite", "database/.b/b.sqlite", "database/_c/c.sqlite", "database/d e/d e.sqlite", "database/50%/50%25.sqlite",
+             "database/a+b/a+b.sqlite", "database/deep/er/er.sqlite", "database/é/é.sqlite", "database/flat.sqlite", "other/a/a.sqlite", "database/star*/s.sqlite"]
+    for f in files:
+        (root / f).parent.mkdir(parents=True, exist_ok=True)
+        (root / f).write_bytes(b"x")
+    (root / "database/linked").symlink_to(root / "other" / "a")
+    (root / "database/a/gone.sqlite").symlink_to(root / "nowhere")
+
+
+GLOBS = ["database/*/*.sqlite", "database/a/*", "*/?/?.sqlite", "database/[ad]*/*", "database/[!a]/*", "database/{a,deep/er}/*.sqlite", "{dev,no}.json", "dev.json", "dev.json/x",
+         "no.json", "*/*/*/*", "*", "*/a/a.sqlite", "database/star\\*/*.sqlite", "database//a/a.sqlite", "database/a/_h.sqlite", "database/a/gone.sqlite", "nowhere/*/*", "database/a+b/*", "database/50%/*"]
+
+
+def test_listing_agrees_with_sparks_readers(spark, tmp_path):
+    _odd_tree(tmp_path)
+    full = qualified(spark, str(tmp_path))
+    fs = full.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    globbed, by_spark, by_tasks = {}, [], []
+    for glob in GLOBS:
+        found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{full.toString()}/{glob}")) or []
+        globbed[glob] = {x.getPath().toString().removeprefix(f"{full.toString()}/") for x in found}
+        by_spark.append(inventory._looked_up(spark, full.toString(), glob).withColumn("glob", F.lit(glob)))
+        by_tasks.append(inventory._listed(spark, str(tmp_path), [glob]).withColumn("glob", F.lit(glob)))
+    by_spark, by_tasks = ({(r.glob, r.name) for r in reduce(DataFrame.union, x).coalesce(4).collect()} for x in (by_spark, by_tasks))
+    assert by_tasks == {(g, n) for g, n in by_spark if n in globbed[g]}  # Spark enters a folder that matches
+    assert len(by_tasks) > 20
+    both = inventory.files_below(spark, f"file://{tmp_path}/", ["database/*/*.sqlite", "dev.json", "database/a/*"])
+    assert both.count() == len(set(both.collect())) and {"dev.json", "database/linked/a.sqlite"} <= {r.name for r in both.collect()}
+
+
+def test_listing_passes_over_names_that_are_no_text(spark, tmp_path):
+    for folder in (b"a", b"bad\xff"):
+        os.makedirs(os.fsencode(tmp_path) + b"/database/" + folder)
+        for file in (b"a.sqlite", b"\xfe.sqlite"):
+            open(os.fsencode(tmp_path) + b"/database/" + folder + b"/" + file, "wb").close()
+    assert [r.name for r in inventory.files_below(spark, str(tmp_path), ["database/*/*"]).collect()] == ["database/a/a.sqlite"]
+
+
+def test_tasks_list_the_folders(spark, tmp_path, monkeypatch):
+    """The driver neither looks the pattern up nor holds the paths; found once, the names stay."""
+    for i in range(40):
+        (tmp_path / f"database/db_{i}").mkdir(parents=True)
+        (tmp_path / f"database/db_{i}/db_{i}.sqlite").write_bytes(b"x")
+
+    def unwanted(*_, **__):
+        raise AssertionError("looked up by the driver")
+
+    monkeypatch.setattr(DataFrameReader, "load", unwanted)
+    found = inventory.source_inventory(spark, str(tmp_path))
+    monkeypatch.undo()
+    (tmp_path / "database/db_0/db_0.sqlite").unlink()
+    assert {r.db_id for r in found.collect()} == {f"db_{i}" for i in range(40)}
+
+
+def _only_tasks(spark, monkeypatch, query, orders):
+    """``query`` over these orders, without folders moved or looked up by the driver."""
+    tables = {"orders": spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string"), "region": spark.range(1)}
+
+    def unwanted(*_, **__):
+        raise AssertionError("by the driver")
+
+    monkeypatch.setattr(DataFrameReader, "load", unwanted)
+    monkeypatch.setattr(DataFrameWriter, "partitionBy", unwanted)
+    return {r.db_id for r in query(tables.__getitem__).collect()}
+
+
+def test_folder_inventory_by_tasks(spark, monkeypatch):
+    orders = [(i, i, "O") for i in range(3000)] + [(7, None, "O"), (7, 7, "F"), (None, 30_000, None)]
+    found = _only_tasks(spark, monkeypatch, registry.folder_inventory, orders)
+    assert found == {f"db_{i}" for i in range(300)} | {"db_3000", "__HIVE_DEFAULT_PARTITION__"}
+
+
+def test_stores_that_only_spark_reaches(spark, tmp_path):
+    """Written and listed by Spark there, with the same names."""
+    root = f"viewfs://{tmp_path.name.replace('_', '-')}/in"
+    spark.conf.set(f"fs.viewfs.mounttable.{tmp_path.name.replace('_', '-')}.link./in", f"file://{tmp_path}")
+    names = spark.range(7).select(F.concat(F.lit("db_"), F.col("id").cast("string")).alias("db_id"))
+    assert mounted_path(spark, root) is None and mounted_path(spark, f"{tmp_path}/") == str(tmp_path)
+    registry._write_folders(names, f"{root}/database", f"{root}/backup/database", per_task=3)
+    for place in ("database", "backup/database"):
+        found = inventory.source_inventory(spark, root, f"{place}/db_id=*/*.json", rf"^{place}/db_id=([^/]+)/[^/]+$")
+        assert {r.db_id for r in found.collect()} == {f"db_{i}" for i in range(7)}
+    assert inventory.source_inventory(spark, root).collect() == []
+
