@@ -571,6 +571,14 @@ def test_folder_inventory_by_tasks(spark, monkeypatch):
     assert found == {f"db_{i}" for i in range(300)} | {"db_3000", "__HIVE_DEFAULT_PARTITION__"}
 
 
+def test_missing_folders_by_tasks(spark, monkeypatch):
+    orders = [(20 * i, 10 * i, "O" if i % 3 else "F") for i in range(300)]  # all hard: every third database is finished
+    orders += [(41, 30_000, "O"), (6020, None, "O"), (None, 40_000, "O"), (20, 50_000, "F"), (40, 60_000, None), (40, 70_000, "O")]
+    found = _only_tasks(spark, monkeypatch, registry.missing_folders, orders)
+    # keys repeat: 20 is open in another row; a database without a name is always missing
+    assert found == {f"db_{i}" for i in range(0, 300, 3)} | {"db_3000", "db_4000", None}
+
+
 def test_stores_that_only_spark_reaches(spark, tmp_path):
     """Written and listed by Spark there, with the same names."""
     root = f"viewfs://{tmp_path.name.replace('_', '-')}/in"
